@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from shapelake.llm import bpe, exact_dedup, mixing, quality
+from shapelake.llm import bpe, chat, exact_dedup, language, mixing, pii, quality, token_store
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_store": token_store.op5_token_store,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_language_id": language.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_chat_format": chat.OP7_SQL,
 }
