@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shapelake.llm import bpe, chat, exact_dedup, language, mixing, pii, quality, token_store
+from shapelake.llm import bpe, chat, exact_dedup, language, mixing, pii, quality, substring_dedup, token_store
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_store": token_store.op5_token_store,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": language.op10_language_id,
 }
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
 }
