@@ -7,6 +7,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +43,7 @@ class Bpe:
         self.token_starts = np.cumsum(self.token_lens) - self.token_lens
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
         self.decimal = [str(i) for i in range(n)]
-        self.memo = PieceTable(self.merge)
+        self.memo = PieceTable(self._joined)
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -101,6 +102,10 @@ class Bpe:
                     out[k] = ids
         return out
 
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.merge(texts)
+        return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+
     def _merge_matrix(self, rows: list[bytes], width: int) -> list[np.ndarray]:
         """Each round merges the leftmost pair of least rank of every row; rows without a pair leave the matrix."""
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -162,7 +167,7 @@ class Bpe:
         """The ids of all texts in a row, and how many each text has; null counts as empty."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        ids, lens = self.memo.ids(self.memo.lookup([p for s in split for p in s]))
+        ids, lens = self.memo.ids(self.memo.lookup(chain.from_iterable(split)))
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(ends)
 

@@ -80,48 +80,59 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(total, dtype=np.int64)
 
 
+class Numbered(dict):
+    """A dict that gives each unknown key the next number and notes it in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class PieceTable:
     """Memo from text pieces to id sequences: each distinct piece is encoded once per worker.
 
     The table is emptied when it holds over `limit` pieces, so its memory is bounded whatever the input.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
+        self.index = Numbered()
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
-    def lookup(self, parts: list) -> np.ndarray:
+    def lookup(self, parts: Iterable) -> np.ndarray:
         """Row number of every part, encoding those not seen before."""
-        found = list(map(self.index.get, parts))
-        if None in found:
-            if len(self.index) > self.limit:
+        if len(self.index) > self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.index.__getitem__, parts), np.int64)
+        if self.index.new:
+            new, self.index.new = self.index.new, []
+            try:
+                self._add(len(self.index) - len(new), *self.encode(new))
+            except BaseException:
                 self.clear()
-            new = list(dict.fromkeys(p for p in parts if p not in self.index))
-            self._add(new)
-            found = list(map(self.index.get, parts))
-        return np.array(found, dtype=np.int64)
-
-    def _add(self, new: list) -> None:
-        coded = self.encode(new)
-        lens = np.fromiter((len(c) for c in coded), np.int32, len(coded))
-        at, total = len(self.index), int(lens.sum())
-        while at + len(new) > len(self.starts):
+                raise
+        return rows
+
+    def _add(self, at: int, flat: np.ndarray, lens: np.ndarray) -> None:
+        while at + len(lens) > len(self.starts):
             self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
-        while self.used + total > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.lens[at : at + len(new)] = lens
-        self.starts[at : at + len(new)] = self.used + np.cumsum(lens) - lens
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(coded)
-        self.used += total
-        self.index.update(zip(new, range(at, at + len(new))))
+        self.lens[at : at + len(lens)] = lens
+        self.starts[at : at + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The concatenated ids of the rows, and the number of ids of each row."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shapelake.llm import bpe, chat, exact_dedup, language, mixing, pii, quality, substring_dedup, token_store
+from shapelake.llm import bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, substring_dedup, token_store
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_store": token_store.op5_token_store,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_byte_bpe": bpe.op9_byte_bpe,

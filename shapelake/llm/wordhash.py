@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -20,22 +22,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
+class WordHashes(dict):
     """Memo of 64-bit word hashes, emptied beyond `limit` words so that its memory is bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit, self.known = limit, {}
+    limit = 1_000_000
 
-    def of(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            found = list(map(self.known.get, words))
-        return np.array(found, dtype=np.uint64)
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, words: Iterable[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64)
 
 
 _hashes = WordHashes()
@@ -47,7 +46,7 @@ def split(text: str | None) -> list[str]:
 
 def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and the number of words of each text."""
-    return _hashes.of([w for t in texts for w in t]), np.fromiter(map(len, texts), np.int64, len(texts))
+    return _hashes.of(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
 def rolling(v: np.ndarray, width: int, base: int) -> np.ndarray:
