@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -73,27 +74,51 @@ def anchors(words: np.ndarray, lens: np.ndarray, width: int = WINDOW) -> tuple[n
     text = np.repeat(np.arange(len(lens)), many)
     place = ragged(np.zeros(len(lens), np.int64), many)
     p = stops[text] + 1 + place
-    lo, hi = np.searchsorted(first, p), np.searchsorted(end, p + width, side="right")
-    key = mix(sym ^ np.uint64(BASE_2))
-    best, arg = np.full(len(p), 2**64 - 1, np.uint64), np.full(len(p), -1)
-    for j in range(int((hi - lo).max(initial=0))):
-        i = np.minimum(lo + j, len(sym) - 1)
-        better = (lo + j < hi) & ((arg < 0) | (key[i] < best))
-        best[better], arg[better] = key[i[better]], i[better]
+    lo = before(first, len(flat) + 1)[p]
+    hi = before(end, len(flat) + 2)[p + width + 1]
+    arg = least_between(mix(sym ^ np.uint64(BASE_2)), lo, hi)
     # neighbouring windows with the same anchor are one row
     new = np.ones(len(p), bool)
     new[1:] = (arg[1:] != arg[:-1]) | (arg[1:] < 0) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     until = np.append(at[1:], len(p))
     a = arg[at]
-    name = np.zeros(len(at), np.uint64)
-    own, size = a < 0, np.zeros(len(at), np.int64)
-    size[~own], size[own] = (end - first)[a[~own]], width
-    begin = np.where(own, p[at], first[np.maximum(a, 0)]) if len(at) else np.zeros(0, np.int64)
-    for j in range(width):
-        inside = size > j
-        name[inside] = name[inside] * np.uint64(BASE_1) + flat[begin[inside] + j]
-    return text[at], mix(name + size.astype(np.uint64)), place[at], place[at] + until - at
+    own = a < 0
+    begin, stop = p[at], p[at] + width
+    begin[~own], stop[~own] = first[a[~own]], end[a[~own]]
+    name = ranges_hash(flat, begin, stop)
+    return text[at], mix(name + (stop - begin).astype(np.uint64)), place[at], place[at] + until - at
+
+
+def before(points: np.ndarray, n: int) -> np.ndarray:
+    """At i < n: how many of the points are below i."""
+    return np.concatenate([[0], np.cumsum(np.bincount(points, minlength=n))])[:n]
+
+
+def least_between(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place of the least key in each [lo, hi), the first of equal ones; -1 for empty ranges."""
+    size = hi - lo
+    tables = [np.arange(len(key))]
+    while 2 << (len(tables) - 1) <= int(size.max(initial=0)):
+        t, step = tables[-1], 1 << (len(tables) - 1)
+        x, y = t, np.append(t[step:], t[len(t) - step :])
+        tables.append(np.where(key[y] < key[x], y, x))
+    out = np.full(len(lo), -1)
+    some = np.flatnonzero(size > 0)
+    level = np.log2(size[some]).astype(np.int64)
+    table = np.stack(tables)
+    x, y = table[level, lo[some]], table[level, hi[some] - (1 << level)]
+    out[some] = np.where(key[y] < key[x], y, x)
+    return out
+
+
+def ranges_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hash of values[start:stop] for each range, from one running sum."""
+    n = len(values)
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, BASE_1, np.uint64)]))
+    inverse = np.multiply.accumulate(np.full(n, pow(BASE_1, -1, 2**64), np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * inverse)])
+    return (sums[stop] - sums[start]) * powers[stop]
 
 
 def scan(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -114,10 +139,14 @@ def scan(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(run, "k long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>")
 
 
-def in_ranges(ranges: list[dict]) -> np.ndarray:
-    """Ascending places of the windows in the ranges."""
-    a = np.array([r["a"] for r in ranges], np.int64)
-    return np.unique(ragged(a, np.array([r["b"] for r in ranges], np.int64) - a))
+def marked(ranges: pa.ListArray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words start a window in the ranges of their text; begin: the first word of each text."""
+    offset = np.repeat(begin, ranges.value_lengths().to_numpy(zero_copy_only=False))
+    flat = ranges.flatten()
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, offset + flat.field(0).to_numpy(), 1)
+    np.add.at(edge, offset + flat.field(1).to_numpy(), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def window_keys(found: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -125,18 +154,16 @@ def window_keys(found: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, texts, ranges = (batch.column(c).to_pylist() for c in range(3))
+            texts, ks = batch.column(1).to_pylist(), batch.column(0).to_numpy()
             for i, j in pieces(texts):
                 hashes, lens = word_hashes([split(t) for t in texts[i:j]])
-                h, g = rolling(hashes, width, BASE_1), rolling(mix(hashes), width, BASE_2)
-                places = [in_ranges(r) for r in ranges[i:j]]
-                counts = np.fromiter(map(len, places), np.int64, len(places))
-                p = np.concatenate(places)
-                at = np.repeat(np.cumsum(lens) - lens, counts) + p
-                k = np.repeat(np.array(ks[i:j], np.int64), counts)
-                for x in range(0, len(p), 200_000):
-                    y = slice(x, x + 200_000)
-                    yield pa.record_batch([pa.array(h[at[y]].view(np.int64)), pa.array((g[at[y]] >> np.uint64(33)).astype(np.int32)), pa.array(k[y]), pa.array(p[y].astype(np.int32))], ["h", "g", "k", "p"])
+                begin = np.cumsum(lens) - lens
+                at = np.flatnonzero(marked(batch.column(2).slice(i, j - i), begin, len(hashes)))
+                text = np.searchsorted(begin, at, side="right") - 1
+                h, g = rolling(hashes, width, BASE_1)[at], rolling(mix(hashes), width, BASE_2)[at]
+                columns = [h.view(np.int64), (g >> np.uint64(33)).astype(np.int32), ks[i:j][text], (at - begin[text]).astype(np.int32)]
+                for x in range(0, len(at), 200_000):
+                    yield pa.record_batch([pa.array(c[x : x + 200_000]) for c in columns], ["h", "g", "k", "p"])
 
     return found.mapInArrow(run, "h long, g int, k long, p int")
 
@@ -146,18 +173,22 @@ def cut(found: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, texts, ranges, firsts = (batch.column(c).to_pylist() for c in range(4))
-            removed, kept = [], []
-            for text, spans, first in zip(texts, ranges, firsts):
-                words = split(text)
-                gone = np.setdiff1d(in_ranges(spans), np.array(first or [], np.int64))
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, gone, 1)
-                np.add.at(edge, gone + width, -1)
+            texts = batch.column(1).to_pylist()
+            for i, j in pieces(texts):
+                words = [split(t) for t in texts[i:j]]
+                lens = np.fromiter(map(len, words), np.int64, j - i)
+                begin, n = np.cumsum(lens) - lens, int(lens.sum())
+                gone = marked(batch.column(2).slice(i, j - i), begin, n)
+                firsts = batch.column(3).slice(i, j - i)
+                gone[np.repeat(begin, firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + firsts.flatten().to_numpy()] = False
+                places = np.flatnonzero(gone)
+                edge = np.zeros(n + 1, np.int64)
+                edge[places] += 1
+                edge[places + width] -= 1
                 stays = np.cumsum(edge[:-1]) == 0
-                removed.append(int(len(words) - stays.sum()))
-                kept.append(" ".join([w for w, s in zip(words, stays) if s]))
-            yield pa.record_batch([pa.array(ks, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["k", "n_removed", "kept"])
+                kept = [" ".join(compress(w, stays[b : b + len(w)].tolist())) for w, b in zip(words, begin.tolist())]
+                removed = lens - np.diff(np.concatenate([[0], np.cumsum(stays)])[np.append(begin, n)])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(removed), pa.array(kept, pa.string())], ["k", "n_removed", "kept"])
 
     return found.mapInArrow(run, "k long, n_removed long, kept string")
 
@@ -177,6 +208,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, Dat
     marked = seen.select("k", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("k") > F.col("leader"))
     summary = stored(marked.dropDuplicates(["k"]), "documents")
     repeated = seen.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    repeated = stored(repeated, "repeated")
     rows = seen.select("k", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("k", F.col("x.names").alias("name"), F.struct(F.col("x.starts").alias("a"), F.col("x.ends").alias("b")).alias("r"))
     ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("k").agg(F.collect_list("r").alias("ranges"))
     ranges = stored(ranges.join(summary.filter("copy").select("k"), "k", "left_anti"), "ranges", "zstd")
