@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +26,10 @@ from shapelake.llm.wordhash import BASE_1, mix, rolling, split, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 HASHES, BAND = 48, 4
-#: Candidates whose samples agree less often than this are not compared: 2.6 standard deviations under SIMILARITY.
-LEAST_AGREEMENT = 0.65
+#: Pairs whose samples agree less often than this are no candidates: 3.4 standard deviations under SIMILARITY.
+LEAST_AGREEMENT = 0.6
+#: Members of a bucket that are compared at once in one group.
+GROUP = 256
 CELL_BITS, SLICES = 20, 64
 SHINGLE_BITS = 50
 SEED = 11
@@ -107,7 +109,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(table: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(n / np.maximum(table, 1)).astype(np.float32)
+    """1 for a shingle that all documents have, up to 2 for one of a single document: 1 + ln(n / df) / ln(n).
+
+    The range is kept narrow so that edits, which make rare shingles, do not outweigh what large groups of copies share.
+    """
+    return (1 + np.log(max(n, 1) / np.clip(table, 1, max(n, 1))) / np.log(max(n, 2))).astype(np.float32)
 
 
 class Sampler:
@@ -201,8 +207,8 @@ def agreement(pairs: DataFrame, samples: DataFrame) -> DataFrame:
             yield pa.record_batch([*batch.columns[:-2], pa.array((x == y).mean(axis=1))], [*batch.schema.names[:-2], "est"])
 
     x, y = samples.toDF("a", "x"), samples.toDF("b", "y")
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "c", "d", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, c long, d long, est double")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(run, "a long, b long, est double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -210,22 +216,86 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = similarities(batch.column(4).to_pylist(), batch.column(5).to_pylist(), idf)
-            yield pa.record_batch([*batch.columns[:4], pa.array(sim)], ["a", "b", "c", "d", "sim"])
+            sim = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), idf)
+            yield pa.record_batch([*batch.columns[:2], pa.array(sim)], ["a", "b", "sim"])
+
+    joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(run, "a long, b long, sim double")
+
+
+def dense_similarities(words: list[list[str]], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a bounded list of texts, as one product of matrices.
 
-    joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "c", "d", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, c long, d long, sim double")
+    Only shingles that two texts share need a column. The least of two counts is the sum over t of whether both reach t.
+    """
+    text, shingle, times = shingles(words)
+    weight = idf[cells(shingle)].astype(float)
+    total = np.bincount(text, times * weight, len(words))
+    _, column, many = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    least = np.zeros((len(words), len(words)))
+    t = 1
+    while (at := shared & (times >= t)).any():
+        ids, column = np.unique(shingle[at], return_inverse=True)
+        x = np.zeros((len(words), len(ids)), np.float32)
+        x[text[at], column] = 1
+        least += (x * idf[cells(ids)]) @ x.T
+        t += 1
+    return least / np.maximum(total[:, None] + total[None, :] - least, 1e-12)
+
+
+def group_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(u, v): links between classes within buckets, of (bucket, k, c), comparing every pair of different classes.
+
+    The largest class of a bucket is its main one; pairs within it need no comparison. Members are dealt by hash into
+    groups of about GROUP, main ones and others apart; each pair of groups (others with others, others with main)
+    goes to one task, which compares all texts of the two and returns a spanning forest of what links: fewer rows than
+    members, whatever the number of pairs.
+    """
+    by_class = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
+    sizes = by_class.groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n"))
+    groups = lambda n: F.ceil(n / GROUP).cast("int")
+    sizes = stored(sizes.select("bucket", F.col("top.c").alias("main"), groups(F.col("top.m")).alias("gm"), groups(F.col("n") - F.col("top.m")).alias("go")), "sizes")
+    mixed = members.join(sizes.filter("go > 0"), "bucket").withColumn("other", F.col("c") != F.col("main"))
+    own = F.pmod(F.xxhash64("k"), F.when(F.col("other"), F.col("go")).otherwise(F.col("gm"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.transform(upto(F.col("gm")), lambda g: F.struct(F.col("own").alias("i"), F.lit("m").alias("kind"), g.alias("j")))
+    with_other = F.transform(upto(F.col("go")), lambda g: F.struct(F.least("own", g).alias("i"), F.lit("o").alias("kind"), F.greatest("own", g).alias("j")))
+    as_main = F.transform(upto(F.col("go")), lambda g: F.struct(g.alias("i"), F.lit("m").alias("kind"), F.col("own").alias("j")))
+    dealt = mixed.withColumn("own", own).select("bucket", "k", "c", "other", F.explode(F.when(F.col("other"), F.concat(with_main, with_other)).otherwise(as_main)).alias("g"))
+    rows = dealt.join(texts, "k").select("bucket", "g.i", "g.kind", "g.j", "c", "text")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sim = dense_similarities([split(x) for x in pdf.text], idf)
+        c = pdf.c.to_numpy()
+        a, b = np.nonzero(np.triu(sim >= similarity, 1) & (c[:, None] != c[None, :]))
+        pairs = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])], axis=1), axis=0)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for u, v in pairs.tolist():
+            x, y = find(u), find(v)
+            if x != y:
+                root[y] = x
+                out.append((u, v))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return rows.groupBy("bucket", "i", "kind", "j").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row: class_id is the least doc_id of the documents that links join.
 
     Documents with the same words are copies and compared once. A link joins two different texts that share a band
-    and have the similarity or more. In each round some members of a bucket lead: the least one in the first, a
-    seeded choice of about 4, 16, 64, ... in later ones, all in the last. Members are compared with leaders that are
-    not yet in their class, so a group of copies of any size costs a few comparisons for each, and after the last round no
-    candidate pair is left that is neither compared nor within one class. Of the pairs between the same two classes
-    a round compares the one whose samples agree best, the last round all.
+    and have the similarity or more. First every member of a bucket is compared with the bucket's least member, which
+    joins most copies in a few comparisons each. Where a bucket then still holds several classes, all pairs of
+    members of different classes are compared in groups (see group_links), so no candidate pair is left that is neither
+    compared nor within one class.
 
     Null and blank texts are copies of each other, null ids count as the largest, rows that share an id are one
     document, an empty table gives no rows, other columns are not read.
@@ -233,51 +303,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
     idf = inverse_frequencies(*document_frequencies(texts))
     seen = stored(signatures(texts, idf), "signatures")
-    reps = stored(seen.select("k", "digest").join(seen.groupBy("digest").agg(F.min("k").alias("rep")), "digest").select("k", "rep").distinct(), "copies")
-    rows = seen.join(reps.filter("k = rep").select("k"), "k").select("k", F.explode("bands").alias("bucket")).distinct()
-    rows = stored(rows, "bands")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).filter("n > 1")
+    leaders = stored(seen.groupBy("digest").agg(F.min("k").alias("rep")), "leaders")
+    reps = stored(seen.select("k", "digest").join(leaders, "digest").select("k", "rep").distinct(), "copies")
+    rows = stored(seen.join(reps.filter("k = rep").select("k"), "k").select("k", F.explode("bands").alias("bucket")).distinct(), "bands")
+    sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).filter("n > 1"), "sizes")
     members = stored(rows.join(sizes.hint("merge"), "bucket"), "members")
-    nodes = members.select("k").distinct()
-    samples = stored(seen.join(nodes, "k").select("k", "samples").dropDuplicates(["k"]), "samples")
+    nodes = stored(members.select("k").distinct(), "nodes")
+    samples = stored(seen.join(nodes.hint("merge"), "k").select("k", "samples").dropDuplicates(["k"]), "samples")
     pool = stored(texts.join(nodes.hint("merge"), "k").dropDuplicates(["k"]), "texts", "zstd")
-    classes = stored(nodes.select("k", F.col("k").alias("c")), "classes")
-    most = members.agg(F.max("n")).first()[0] or 0
-    tested: DataFrame | None = None
-    for r in count():
-        if not most:
-            break
-        width = 4**r
-        last = width >= most
-        now = members.join(classes, "k")
-        mixed = now.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket")
-        open_ = stored(now.join(mixed.hint("merge"), "bucket", "left_semi"), "open")
-        leads = F.col("k") == F.col("least") if r == 0 else (F.col("n") <= width) | (F.pmod(F.xxhash64("k", F.lit(r)), F.col("n")) < width)
-        leaders = open_.filter(leads).select("bucket", F.col("k").alias("l"), F.col("c").alias("lc"))
-        met = open_.join(leaders, "bucket").filter("c <> lc")
-        pair = met.select(
-            F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), F.least("c", "lc").alias("c"), F.greatest("c", "lc").alias("d")
-        ).distinct()
-        if tested is not None:
-            pair = pair.join(tested, ["a", "b"], "left_anti")
-        close = agreement(pair, samples).filter(F.col("est") >= LEAST_AGREEMENT)
-        if not last:
-            best = close.groupBy("c", "d").agg(F.max(F.struct("est", "a", "b")).alias("m"))
-            close = best.select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), "c", "d")
-        close = stored(close.select("a", "b", "c", "d"), "pairs")
-        result = stored(verified(close, pool, idf), "verified")
-        done = result.select("a", "b")
-        tested = done if tested is None else stored(tested.union(done), "tested")
-        joins = result.filter(F.col("sim") >= similarity).select(F.col("c").alias("u"), F.col("d").alias("v"))
-        if not joins.isEmpty():
-            to = components(joins).toDF("c", "label")
-            classes = stored(classes.join(to, "c", "left").select("k", F.coalesce("label", "c").alias("c")), "classes")
-        if last:
-            break
-    ids = reps.join(classes.withColumnRenamed("k", "rep"), "rep", "left").select("k", F.coalesce("c", "rep").alias("class"))
-    counted = ids.join(ids.groupBy("class").agg(F.count(F.lit(1)).alias("class_size")), "class")
+
+    pairs = members.filter("k > least").select(F.col("least").alias("a"), F.col("k").alias("b")).distinct()
+    close = stored(agreement(pairs, samples).filter(F.col("est") >= LEAST_AGREEMENT).select("a", "b"), "pairs")
+    links = stored(verified(close, pool, idf).filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+    first = components(links).withColumnRenamed("node", "k")
+    classes = stored(nodes.join(first, "k", "left").select("k", F.coalesce("label", "k").alias("c")), "classes")
+
+    left = members.filter("n > 2").join(classes, "k")  # in a bucket of two the pair has been compared
+    open_ = stored(left.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket"), "open")
+    more = stored(group_links(stored(left.join(open_.hint("merge"), "bucket").select("bucket", "k", "c"), "left"), pool, idf, similarity), "links")
+    second = components(more).toDF("c", "label")
+    classes = classes.join(second, "c", "left").select(F.col("k").alias("rep"), F.coalesce("label", "c").alias("c"))
+
+    ids = stored(reps.join(classes, "rep", "left").select("k", F.coalesce("c", "rep").alias("class")), "ids")
+    counts = stored(ids.groupBy("class").agg(F.count(F.lit(1)).alias("class_size")), "counts")
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return counted.select(shown("k").alias("doc_id"), shown("class").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), (F.col("k") == F.col("class")).alias("kept"))
+    return ids.join(counts, "class").select(shown("k").alias("doc_id"), shown("class").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), (F.col("k") == F.col("class")).alias("kept"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
