@@ -86,26 +86,30 @@ def line_meets_sphere(origin: Vec, direction: Vec, centre: Vec, radius: Column)
     return line_distance2(centre, origin, direction) <= radius * radius
 
 
-def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> dict[str, Column]:
-    """Nearest point of a triangle: weights of the corners, squared distance, and case (point, line, triangle).
-
-    Inside the triangle's prism it is the projection, else the nearest of the three edges. Degenerate triangles have
-    no projection and so fall back to their edges.
-    """
+def triangle_candidates(p: Vec, a: Vec, b: Vec, c: Vec) -> dict[str, Column]:
+    """The two candidates for the nearest point of a triangle, to be made columns before closest_of reads them:
+    flat, the projection with its weights (NULL for degenerate triangles), and edge, the nearest of the three edges."""
     w = in_triangle(p, a, b, c)
-    inside = F.coalesce((w[0] >= 0) & (w[1] >= 0) & (w[2] >= 0), F.lit(False))
     edges = []
     for k, (x, y) in enumerate(((a, b), (b, c), (c, a))):
         t = segment_parameter(p, x, y)
-        weights = [F.lit(0.0)] * 3
-        weights[k], weights[(k + 1) % 3] = 1 - t, t
-        edges.append(F.struct((p - (x + (y - x) * t)).norm2().alias("d2"), F.lit(k).alias("edge"), *[v.alias(n) for v, n in zip(weights, "uvw")]))
-    edge = F.least(*edges)
-    corner = lambda n, k: F.when(inside, w[k]).otherwise(edge[n])
-    u, v, s = corner("u", 0), corner("v", 1), corner("w", 2)
-    flat = (p - (a * w[0] + b * w[1] + c * w[2])).norm2()
-    ones = (edge["u"] == 1) | (edge["v"] == 1) | (edge["w"] == 1)
-    return {"u": u, "v": v, "w": s, "d2": F.when(inside, flat).otherwise(edge["d2"]), "case": F.when(inside, "triangle").when(ones, "point").otherwise("line")}
+        edges.append(F.struct((p - (x + (y - x) * t)).norm2().alias("d2"), F.lit(k).alias("edge"), t.alias("t")))
+    return {"flat": F.struct(*w.columns("u", "v", "w")), "edge": F.least(*edges)}
+
+
+def closest_of(flat: Column, edge: Column, p: Vec, a: Vec, b: Vec, c: Vec) -> dict[str, Column]:
+    """Nearest point of a triangle: weights of the corners, squared distance, and case (point, line, triangle).
+
+    Inside the triangle's prism it is the projection, else the nearest edge; degenerate triangles have edges only.
+    """
+    w = Vec.from_struct(flat, ("u", "v", "w"))
+    inside = F.coalesce((w[0] >= 0) & (w[1] >= 0) & (w[2] >= 0), F.lit(False))
+    t, k = edge["t"], edge["edge"]
+    on_edge = [F.when(k == i, 1 - t).when(k == (i + 2) % 3, t).otherwise(0.0) for i in range(3)]
+    corner = [F.when(inside, w[i]).otherwise(on_edge[i]) for i in range(3)]
+    d2 = F.when(inside, (p - (a * w[0] + b * w[1] + c * w[2])).norm2()).otherwise(edge["d2"])
+    case = F.when(inside, "triangle").when((t == 0) | (t == 1), "point").otherwise("line")
+    return {"u": corner[0], "v": corner[1], "w": corner[2], "d2": d2, "case": case}
 
 
 def line_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec) -> dict[str, Column]:

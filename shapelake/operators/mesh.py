@@ -186,10 +186,12 @@ class Mesh:
             t = t.withColumn(f"__{n}", F.explode(F.sequence(F.floor(low / radius), F.floor(high / radius))))
             q = q.withColumn(f"__{n}", F.explode(F.array(*[F.floor(F.col(n) / radius) + s for s in (-1, 0, 1)])))
             keys.append(f"__{n}")
-        hit = bc.closest_on_triangle(Vec.from_struct(F.col("p")), a, b, c)
-        row = F.struct(hit["d2"].alias("d2"), F.col("cell_id"), hit["u"].alias("u"), hit["v"].alias("v"), hit["w"].alias("w"), hit["case"].alias("case"))
-        near = q.join(t, keys).select("q_id", row.alias("m")).filter(F.sqrt("m.d2") <= radius)
-        return near.groupBy("q_id").agg(F.min("m").alias("m")).select("q_id", "m.*")
+        p = Vec.from_struct(F.col("p"))
+        two = q.join(t, keys).select("q_id", "cell_id", "p", "a0", "a1", "a2").withColumns(bc.triangle_candidates(p, a, b, c))
+        hit = bc.closest_of(F.col("flat"), F.col("edge"), p, a, b, c)
+        rows = two.select("q_id", F.struct(hit["d2"].alias("d2"), F.col("cell_id"), *[hit[k].alias(k) for k in ("u", "v", "w", "case")]).alias("m"))
+        near = rows.groupBy("q_id").agg(F.min("m").alias("m")).filter(F.sqrt("m.d2") <= radius)
+        return near.select("q_id", "m.*")
 
     def intersections(self, lines: DataFrame) -> DataFrame:
         """line_id, cell_id, t, u, v, w where lines (line_id, ox, oy, oz, dx, dy, dz) meet triangles, both ways.
