@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import WORD, PieceTable, pieces, read, stored
+from shapelake.llm.common import WORD, PieceTable, pieces, ragged, read, stored
 
 #: Bits of each chunk level, lowest first; 8, 16 or 32 each, 32 in all or more.
 LEVELS = (8, 8, 16)
@@ -98,7 +99,9 @@ class Dac:
 
 #: Stretches that are encoded apart: Latin letters before a mark or white space, marks before white space, else all
 #: up to white space.
-STRETCH = r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+(?=[\x20\x09-\x0D.,!?;:)]|\Z)|[.,!?;:)]+(?=[\x20\x09-\x0D]|\Z)|" + WORD
+#: U+0130 is not among the letters: in lower case it ends in a mark, which joins a full stop after it.
+LETTERS = r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u012F\u0131-\u024F]+"
+STRETCH = LETTERS + r"(?=[\x20\x09-\x0D.,!?;:)]|\Z)|[.,!?;:)]+(?=[\x20\x09-\x0D]|\Z)|" + WORD
 
 
 class WordTokenizer:
@@ -114,24 +117,58 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.word = Tokenizer.from_file(path), re.compile(STRETCH)
-        self.memo = PieceTable(self._encode)
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word. Words are encoded as lines of one text, which costs a third of as many short texts;
-        the offsets say which word an id is from."""
-        ids, lens = [], []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            coded = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            starts = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            places = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
-            ids.append(np.array(coded.ids, np.int32))
-            lens.append(np.bincount(np.searchsorted(starts, places, side="right"), minlength=len(part)))
-        return np.concatenate(ids), np.concatenate(lens)
+        self.tokenizer, self.stretch = Tokenizer.from_file(path), re.compile(STRETCH)
+        self.letters = re.compile(LETTERS).fullmatch
+        rules = json.loads(self.tokenizer.to_str())
+        mark = rules["model"].get("end_of_word_suffix")
+        self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if mark:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+        self.memo = PieceTable(self._encode, 1_000_000)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each stretch. Stretches are encoded as lines of texts, which costs less than as many short texts.
+
+        A stretch of letters is one word, so its ids end with the one that ends a word; where the count of these
+        shows otherwise, and for all other stretches, the offsets say which stretch an id is from.
+        """
+        plain = np.fromiter((self.letters(p) is not None for p in parts), bool, len(parts)) & bool(self.ends_word.any())
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        letters = [parts[i] for i in np.flatnonzero(plain)]
+        lines = [letters[i : i + 50] for i in range(0, len(letters), 50)]
+        for i in range(0, len(lines), 200):
+            for words, coded in zip(lines[i : i + 200], self.tokenizer.encode_batch_fast([" ".join(w) for w in lines[i : i + 200]], add_special_tokens=False)):
+                ids = np.array(coded.ids, np.int32)
+                ends = np.flatnonzero(self.ends_word[ids])
+                out.append((ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) and ends[-1] == len(ids) - 1 else self._by_offsets(words))
+        rest = [parts[i] for i in np.flatnonzero(~plain)]
+        out += [self._by_offsets(rest[i : i + 2000]) for i in range(0, len(rest), 2000)]
+        ids, lens = (np.concatenate(x) for x in zip(*out))
+        starts, back = np.cumsum(lens) - lens, np.argsort(order)
+        return ids[ragged(starts[back], lens[back])], lens[back]
+
+    def _by_offsets(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.tokenizer.encode("\n".join(parts), add_special_tokens=False)
+        starts = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        places = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+        return np.array(coded.ids, np.int32), np.bincount(np.searchsorted(starts, places, side="right"), minlength=len(parts))
+
+    def _split(self, text: str | None) -> list[str]:
+        """Stretches. Latin-1 texts are put in lower case first, as the vocabulary's own rules do, to have fewer of them."""
+        if not text:
+            return []
+        if self.lowers and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return self.stretch.findall(text)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        split = [self.word.findall(t) if t else [] for t in texts]
+        split = [self._split(t) for t in texts]
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
         ids, lens = self.memo.ids(self.memo.lookup(chain.from_iterable(split)))
         return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[ends])
