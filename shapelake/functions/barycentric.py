@@ -78,8 +78,10 @@ def segment_distance2(p: Vec, a: Vec, b: Vec) -> Column:
 
 
 def line_distance2(p: Vec, a: Vec, direction: Vec) -> Column:
+    """Squared distance to a line; a direction without length leaves the point a."""
     n = direction.norm2()
-    return (p - (a + direction * ((p - a).dot(direction) / n))).norm2()
+    t = F.when(n > 0, (p - a).dot(direction) / n).otherwise(0.0)
+    return (p - (a + direction * t)).norm2()
 
 
 def line_meets_sphere(origin: Vec, direction: Vec, centre: Vec, radius: Column) -> Column:
@@ -117,7 +119,8 @@ def line_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec) -> dict[s
     e1, e2, s = b - a, c - a, origin - a
     h = direction.cross(e2)
     det = e1.dot(h)
-    u, q = s.dot(h) / det, s.cross(e1)
-    v, t = direction.dot(q) / det, e2.dot(q) / det
-    hit = F.coalesce((F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1), F.lit(False))
+    over = F.when(F.abs(det) > 1e-12, det)
+    u, q = s.dot(h) / over, s.cross(e1)
+    v, t = direction.dot(q) / over, e2.dot(q) / over
+    hit = F.coalesce((u >= 0) & (v >= 0) & (u + v <= 1), F.lit(False))
     return {"hit": hit, "t": F.when(hit, t), "u": F.when(hit, 1 - u - v), "v": F.when(hit, u), "w": F.when(hit, v)}

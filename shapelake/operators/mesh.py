@@ -228,7 +228,7 @@ def average_distance(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
 def dice(inside_a: Column, inside_b: Column, samples: DataFrame) -> DataFrame:
     """2 |A and B| / (|A| + |B|) over sample points."""
     n = lambda c: F.sum(c.cast("double"))
-    return samples.agg((2 * n(inside_a & inside_b) / (n(inside_a) + n(inside_b))).alias("dice"))
+    return samples.agg(F.try_divide(2 * n(inside_a & inside_b), n(inside_a) + n(inside_b)).alias("dice"))
 
 
 def within(points: DataFrame, others: DataFrame, eps: float) -> DataFrame:

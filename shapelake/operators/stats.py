@@ -34,12 +34,12 @@ def moments(points: DataFrame, names: Sequence[str], by: Sequence[str] = ()) ->
 
 def integrate_scalar(samples: DataFrame, value: Column, density: Column) -> DataFrame:
     """Sum of f / p over N; undefined values count as 0."""
-    return samples.agg((F.sum(F.coalesce(value, F.lit(0.0)) / density) / F.count(F.lit(1))).alias("integral"))
+    return samples.agg(F.try_divide(F.sum(F.coalesce(value, F.lit(0.0)) / density), F.count(F.lit(1))).alias("integral"))
 
 
 def integrate_vector(samples: DataFrame, value: Vec, density: Column, names: Sequence[str]) -> DataFrame:
-    """As integrate_scalar for each component, but over N - 1."""
-    return samples.agg(*[(F.sum(F.coalesce(v, F.lit(0.0)) / density) / (F.count(F.lit(1)) - 1)).alias(n) for v, n in zip(value.parts, names)])
+    """As integrate_scalar for each component, but over N - 1; NULL for fewer than two samples."""
+    return samples.agg(*[F.try_divide(F.sum(F.coalesce(v, F.lit(0.0)) / density), F.count(F.lit(1)) - 1).alias(n) for v, n in zip(value.parts, names)])
 
 
 def mean_squares(residual: Column) -> Column:
@@ -91,12 +91,13 @@ def gaussian_log_density(x: Column, mean: float, sd: float) -> Column:
 
 
 def log_pdf_2d(v: Vec, mean: Vec, cxx: Column, cxy: Column, cyy: Column) -> Column:
+    """NULL for a singular covariance."""
     return -mahalanobis2_2d(v, mean, cxx, cxy, cyy) / 2 - F.log(cxx * cyy - cxy * cxy) / 2 - F.log(F.lit(2 * 3.141592653589793))
 
 
 def mahalanobis2_2d(v: Vec, mean: Vec, cxx: Column, cxy: Column, cyy: Column) -> Column:
     d = v - mean
-    return (cyy * d[0] * d[0] - 2 * cxy * d[0] * d[1] + cxx * d[1] * d[1]) / (cxx * cyy - cxy * cxy)
+    return F.try_divide(cyy * d[0] * d[0] - 2 * cxy * d[0] * d[1] + cxx * d[1] * d[1], cxx * cyy - cxy * cxy)
 
 
 def rigid_2d(pairs: DataFrame, scaled: bool = False) -> DataFrame:
@@ -106,7 +107,7 @@ def rigid_2d(pairs: DataFrame, scaled: bool = False) -> DataFrame:
         (F.var_pop("ax") + F.var_pop("ay")).alias("va"),
     )
     s, c = F.col("axby") - F.col("aybx"), F.col("axbx") + F.col("ayby")
-    k = F.sqrt(s * s + c * c) / F.col("va") if scaled else F.lit(1.0)
+    k = F.try_divide(F.sqrt(s * s + c * c), F.col("va")) if scaled else F.lit(1.0)
     step = m.withColumn("angle", F.atan2(s, c)).withColumn("scale", k)
     turn = lambda a, b: F.col("scale") * (F.cos("angle") * a + F.sin("angle") * b)
     return step.select("angle", "scale", (F.col("mbx") - turn(F.col("max"), -F.col("may"))).alias("tx"), (F.col("mby") - turn(F.col("may"), F.col("max"))).alias("ty"))

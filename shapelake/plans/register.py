@@ -120,3 +120,35 @@ def centre(points: DataFrame, names: Sequence[str]) -> Transformation:
     """Moves the points' mean to the origin."""
     m = points.agg(*[F.avg(n).alias(n) for n in names]).first()
     return translation(*[-m[n] for n in names])
+
+
+@dataclass(frozen=True)
+class MutualInformation:
+    """Negated mutual information of fixed and moving values over sample points, with derivatives by central differences.
+
+    Values are scaled by the number of bins first, as the range of a histogram is max + 1 - min.
+    """
+
+    samples: DataFrame
+    names: tuple[str, ...]
+    fixed: str
+    moving: Image
+    space: Space
+    bins: int = 30
+
+    def value(self, parameters: np.ndarray) -> float:
+        from shapelake.operators.stats import joint_histogram, mutual_information
+
+        t, names, fixed, moving = self.space(tuple(parameters)), list(self.names), self.fixed, self.moving
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"f": pdf[fixed].to_numpy(float), "g": moving(t.numpy(pdf[names].to_numpy(float)))[0]})
+
+        rows = self.samples.select(*names, fixed).mapInPandas(run, "f double, g double").filter("NOT isnan(g)").toDF("fv", "gv")
+        scaled = rows.select((F.col("fv") * self.bins).alias("fv"), (F.col("gv") * self.bins).alias("gv"))
+        return float(mutual_information(joint_histogram(scaled, "fv", "gv", self.bins)).first()[0] or 0.0)
+
+    def value_and_derivative(self, parameters: np.ndarray, h: float = 1e-3) -> tuple[float, np.ndarray]:
+        up_down = [(self.value(parameters + h * e), self.value(parameters - h * e)) for e in np.eye(len(parameters))]
+        return self.value(parameters), np.array([(a - b) / (2 * h) for a, b in up_down])
