@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
 from shapelake.functions import transform as tf
 from shapelake.functions.vector import Vec
 from shapelake.operators import grid as gr
@@ -120,7 +121,7 @@ def pca_model(spark, d):
 
 @query()
 def pdm_posterior(spark, d):
-    shapes = _shapes(spark, d).checkpoint()
+    shapes = _shapes(spark, d).transform(saved)
     m = pdm.pca_model(_reference(shapes), shapes, rank=5)
     seen = shapes.filter("item_id = 3 AND point_id < 5").select("point_id", "x", "y", "z")
     return m.posterior(seen, 0.01).mean().select("point_id", *[r(c, 4).alias(c) for c in "xyz"])
@@ -191,7 +192,7 @@ def registration_fit(spark, d):
 
 @query()
 def cross_validation(spark, d):
-    shapes = _shapes(spark, d).checkpoint()
+    shapes = _shapes(spark, d).transform(saved)
     items = shapes.select("item_id").distinct()
     folds = st.folds(items, "item_id", 3, items.count())
     errors = pdm.cross_validate(_reference(shapes), shapes, folds, lambda m, test: pdm.generalization(m.truncate(5), test.filter("item_id % 20 = 0")))

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
 from shapelake.functions import barycentric as bc
 from shapelake.functions.vector import Vec
-from shapelake.operators.spatial import eps_join, nearest
+from shapelake.operators.spatial import eps_join, nearest, nearest_candidates
 
 XYZ = ("x", "y", "z")
 
@@ -161,37 +162,23 @@ class Mesh:
 
     # --- spatial queries
 
-    def closest_on_surface(self, queries: DataFrame, radius: float) -> DataFrame:
-        """q_id, cell_id, u, v, w, d2, case of the nearest point of the surface for each (q_id, x, y, z).
+    def closest_on_surface(self, queries: DataFrame, size: float) -> DataFrame:
+        """q_id, d2, cell_id, u, v, w, case of the nearest point of the surface for each (q_id, x, y, z).
 
-        Triangles are spread over the grid cells (as wide as the radius) their boxes meet; a query meets those of its
-        own and neighbouring cells, so all within the radius are seen. Queries that find nothing that near go on with
-        twice the radius. Ties by case-free distance and cell_id.
+        Candidates come from a descent over boxes of triangles (see nearest_candidates); size: about a triangle's.
+        Ties go to the smaller cell_id.
         """
-        rest, found = queries, None
-        while not rest.isEmpty():
-            near = self._closest_within(rest, radius).checkpoint()
-            found = near if found is None else found.unionByName(near)
-            rest = rest.join(near.select("q_id"), "q_id", "left_anti").checkpoint()
-            radius *= 2
-        return found if found is not None else self._closest_within(queries, radius)
-
-    def _closest_within(self, queries: DataFrame, radius: float) -> DataFrame:
+        corners = self.cornered().select("cell_id", "a0", "a1", "a2")
+        ends = [f(*[F.col(f"a{k}.{n}") for k in range(3)]).alias(f"{e}_{n}") for n in XYZ for e, f in (("lo", F.least), ("hi", F.greatest))]
+        items = corners.select(F.col("cell_id").alias("item_id"), *ends, *[F.col(f"a0.{n}").alias(f"rep_{n}") for n in XYZ])
+        pairs = nearest_candidates(queries, items, size).withColumnRenamed("item_id", "cell_id")
         a, b, c = self.corner_vecs()
-        t = self.cornered().select("cell_id", "a0", "a1", "a2")
-        q = queries.select("q_id", F.struct(*XYZ).alias("p"), *XYZ)
-        keys = []
-        for n in XYZ:
-            low, high = F.least(*[F.col(f"a{k}.{n}") for k in range(3)]), F.greatest(*[F.col(f"a{k}.{n}") for k in range(3)])
-            t = t.withColumn(f"__{n}", F.explode(F.sequence(F.floor(low / radius), F.floor(high / radius))))
-            q = q.withColumn(f"__{n}", F.explode(F.array(*[F.floor(F.col(n) / radius) + s for s in (-1, 0, 1)])))
-            keys.append(f"__{n}")
         p = Vec.from_struct(F.col("p"))
-        two = q.join(t, keys).select("q_id", "cell_id", "p", "a0", "a1", "a2").withColumns(bc.triangle_candidates(p, a, b, c))
+        rows = pairs.join(queries.select("q_id", F.struct(*XYZ).alias("p")), "q_id").join(corners, "cell_id")
+        two = rows.select("q_id", "cell_id", "p", "a0", "a1", "a2").withColumns(bc.triangle_candidates(p, a, b, c))
         hit = bc.closest_of(F.col("flat"), F.col("edge"), p, a, b, c)
         rows = two.select("q_id", F.struct(hit["d2"].alias("d2"), F.col("cell_id"), *[hit[k].alias(k) for k in ("u", "v", "w", "case")]).alias("m"))
-        near = rows.groupBy("q_id").agg(F.min("m").alias("m")).filter(F.sqrt("m.d2") <= radius)
-        return near.select("q_id", "m.*")
+        return rows.groupBy("q_id").agg(F.min("m").alias("m")).select("q_id", "m.*")
 
     def intersections(self, lines: DataFrame) -> DataFrame:
         """line_id, cell_id, t, u, v, w where lines (line_id, ox, oy, oz, dx, dy, dz) meet triangles, both ways.
@@ -207,7 +194,7 @@ def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
 
     Rows are dealt by ranges of the key; each range is numbered on its own and starts where the ranges before end.
     """
-    dealt = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    dealt = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).transform(saved)
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1

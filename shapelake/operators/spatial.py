@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
 from shapelake.functions.vector import Vec
 
 #: Vectors in a block of an exact high-dimensional search.
@@ -106,21 +107,72 @@ def eps_join(queries: DataFrame, points: DataFrame, eps: float, names: Sequence[
     return q.join(p, keys).withColumn("d2", d2).filter(F.sqrt("d2") <= eps).select("q_id", "p_id", "d2")
 
 
+#: Cells of a level along each side of a cell of the next.
+FAN = 4
+
+
+def nearest_candidates(queries: DataFrame, items: DataFrame, start: float, names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Pairs of q_id and item_id among which every query's nearest item is, without meeting all items.
+
+    queries: (q_id, coordinates). items: (item_id, lo_x, .., hi_x, .., rep_x, ..): a box around each item and one point of
+    it. Items are summed up in cells of size start, these in cells FAN times as wide, and so on to a level of a few cells.
+    From there queries go down: a cell is kept if its box is not farther than the nearest representative seen, so a
+    query goes on with few cells a level, however far or crowded the items are.
+    """
+    keys = [f"__c{k}" for k in range(len(names))]
+    box = items.agg(*[f(f"{e}_{n}").alias(f"{e}_{n}") for n in names for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    pairs = queries.select("q_id").crossJoin(items.select("item_id")).filter("false")
+    if box[0] is None:
+        return pairs
+    levels, size = 1, start
+    while max(box[f"hi_{n}"] - box[f"lo_{n}"] for n in names) > 2 * size:
+        levels, size = levels + 1, size * FAN
+    ends = [f"{e}_{n}" for n in names for e in ("lo", "hi")]
+    reps = [f"rep_{n}" for n in names]
+    keyed = items.select("item_id", *ends, *reps, *[F.floor(F.col(f"rep_{n}") / start).alias(k) for n, k in zip(names, keys)])
+
+    def summed(df: DataFrame) -> DataFrame:
+        first = F.min(F.struct(*reps)).alias("__r")
+        boxes = [(F.min if e.startswith("lo") else F.max)(e).alias(e) for e in ends]
+        return df.groupBy(*keys).agg(*boxes, first).select(*keys, *ends, *[F.col(f"__r.{r}").alias(r) for r in reps])
+
+    tables = [summed(keyed).transform(saved)]
+    for _ in range(levels - 1):
+        tables.append(summed(tables[-1].withColumns({k: F.floor(F.col(k) / FAN) for k in keys})).transform(saved))
+
+    q = queries.select("q_id", *[F.col(n).alias(f"q_{n}") for n in names])
+
+    def pruned(df: DataFrame) -> DataFrame:
+        at = Vec.of(*[f"q_{n}" for n in names])
+        gap = Vec(tuple(F.greatest(F.col(f"lo_{n}") - F.col(f"q_{n}"), F.col(f"q_{n}") - F.col(f"hi_{n}"), F.lit(0.0)) for n in names))
+        seen = df.withColumn("__low", gap.norm2()).withColumn("__up", (at - Vec.of(*reps)).norm2())
+        least = F.min("__up").over(Window.partitionBy("q_id"))
+        return seen.withColumn("__least", least).filter("__low <= __least").drop("__low", "__up", "__least")
+
+    found = pruned(q.crossJoin(F.broadcast(tables[-1])))  # a few cells: at most 4 a side
+    for table in tables[-2::-1]:
+        parents = [f"__p{k}" for k in range(len(names))]
+        children = table.withColumns({p: F.floor(F.col(k) / FAN) for p, k in zip(parents, keys)})
+        above = found.select("q_id", *[f"q_{n}" for n in names], *[F.col(k).alias(p) for p, k in zip(parents, keys)])
+        found = pruned(above.join(children, parents).drop(*parents)).transform(saved)
+    cells = found.select("q_id", *[f"q_{n}" for n in names], *keys)
+    return pruned(cells.join(keyed, keys)).select("q_id", "item_id")
+
+
 def nearest(queries: DataFrame, points: DataFrame, start: float, names: Sequence[str] = ("x", "y", "z"), query_id: str = "q_id", point_id: str = "p_id") -> DataFrame:
     """q_id, p_id, d2: the nearest point of every query in one to three dimensions, ties by the smaller id.
 
-    Rings of growing radius: queries that have a point within the radius are done, the others go on with twice the
-    radius. start: about the usual distance; it only decides the number of rounds.
+    start: about the distance of neighbouring points; it only decides the number of levels of the search. Rows with a
+    NULL coordinate are left out.
     """
-    rest, radius, found = queries, start, None
-    if points.isEmpty():
-        return queries.select(F.col(query_id).alias("q_id"), F.lit(None).cast("long").alias("p_id"), F.lit(None).cast("double").alias("d2")).filter("false")
-    while not rest.isEmpty():
-        near = eps_join(rest, points, radius, names, query_id, point_id).groupBy("q_id").agg(F.min(F.struct("d2", "p_id")).alias("m")).select("q_id", F.col("m.p_id").alias("p_id"), F.col("m.d2").alias("d2")).checkpoint()
-        found = near if found is None else found.unionByName(near)
-        rest = rest.join(near.withColumnRenamed("q_id", query_id).select(query_id), query_id, "left_anti").checkpoint()
-        radius *= 2
-    return found if found is not None else eps_join(queries, points, radius, names, query_id, point_id)
+    q = queries.select(F.col(query_id).alias("q_id"), *names).dropna()
+    p = points.select(F.col(point_id).alias("item_id"), *names).dropna()
+    items = p.select("item_id", *[F.col(n).alias(f"{e}_{n}") for n in names for e in ("lo", "hi", "rep")])
+    pairs = nearest_candidates(q, items, start, names)
+    d2 = (Vec.of(*[f"a_{n}" for n in names]) - Vec.of(*[f"b_{n}" for n in names])).norm2()
+    near = pairs.join(q.toDF("q_id", *[f"a_{n}" for n in names]), "q_id").join(p.toDF("item_id", *[f"b_{n}" for n in names]), "item_id")
+    best = near.groupBy("q_id").agg(F.min(F.struct(d2.alias("d2"), F.col("item_id").alias("p_id"))).alias("m"))
+    return best.select("q_id", "m.p_id", "m.d2")
 
 
 def region(points: DataFrame, lower: Sequence[float], upper: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
 from shapelake.plans.pdm import XYZ, ShapeModel
 
 ImageFunction = Callable[[np.ndarray], np.ndarray]
@@ -106,7 +107,7 @@ def fit(model: ActiveShapeModel, image: ImageFunction, normals_of: Callable[[Dat
     a = np.zeros(model.shape.rank)
     for _ in range(iterations):
         current = normals_of(model.shape.instance(a))
-        found = best_candidates(model, current, image, search).select("point_id", *XYZ).checkpoint()
+        found = best_candidates(model, current, image, search).select("point_id", *XYZ).transform(saved)
         if found.isEmpty():
             return
         a = np.clip(model.shape.coefficients(found, noise), -bound, bound)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
+
 
 def pivoted_cholesky(diagonal: np.ndarray, column: Callable[[int], np.ndarray], tolerance: float = 1e-6, relative: bool = True, most: int | None = None) -> tuple[np.ndarray, list[int]]:
     """L with L Lt close to the matrix, and the pivots; column(i) gives column i of the matrix.
@@ -71,7 +73,7 @@ def tall_pivoted_cholesky(points: DataFrame, kernel, names: list[str], most: int
     from shapelake.functions.vector import Vec
 
     p = Vec.of(*names)
-    state = points.select(key, *names, F.array().cast("array<double>").alias("l"), kernel.column(p, p).cast("double").alias("rest")).checkpoint()
+    state = points.select(key, *names, F.array().cast("array<double>").alias("l"), kernel.column(p, p).cast("double").alias("rest")).transform(saved)
     first = state.agg(F.sum("rest")).first()[0] or 0.0
     for _ in range(most):
         top = state.agg(F.max_by(F.struct(key, *names, "l", "rest"), F.struct("rest", (-F.col(key)).alias("i"))).alias("p"), F.sum("rest").alias("t")).first()
@@ -81,7 +83,7 @@ def tall_pivoted_cholesky(points: DataFrame, kernel, names: list[str], most: int
         for j, v in enumerate(top.p.l):
             done = done + F.get("l", F.lit(j)) * v
         new = (kernel.column(p, Vec.of(*[top.p[n] for n in names])) - done) / float(np.sqrt(top.p.rest))
-        state = state.withColumn("__n", new).select(key, *names, F.concat("l", F.array("__n")).alias("l"), F.when(F.col(key) == top.p[key], 0.0).otherwise(F.greatest(F.col("rest") - F.col("__n") * F.col("__n"), F.lit(0.0))).alias("rest")).checkpoint()
+        state = state.withColumn("__n", new).select(key, *names, F.concat("l", F.array("__n")).alias("l"), F.when(F.col(key) == top.p[key], 0.0).otherwise(F.greatest(F.col("rest") - F.col("__n") * F.col("__n"), F.lit(0.0))).alias("rest")).transform(saved)
     return state.select(key, "l")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.storage import saved
 from shapelake.plans.gp import distributed_regression
 from shapelake.plans.linalg import fix_signs
 
@@ -162,7 +163,7 @@ def pca_model(reference: DataFrame, shapes: DataFrame, cells: DataFrame | None =
     parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) - F.col(f"r{c}")).alias("v")) for k, c in enumerate(XYZ)])
     long = shapes.join(ref, "point_id").select("item_id", "point_id", F.explode(parts).alias("p")).select("item_id", "point_id", "p.component", "p.v")
     rows = long.groupBy("point_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda s: s["v"]).alias("vs"), F.avg("v").alias("mean"))
-    centred = rows.filter(F.size("vs") == n).select("point_id", "component", "mean", F.transform("vs", lambda v: v - F.col("mean")).alias("vs")).checkpoint()
+    centred = rows.filter(F.size("vs") == n).select("point_id", "component", "mean", F.transform("vs", lambda v: v - F.col("mean")).alias("vs")).transform(saved)
     values, v = np.linalg.eigh(gram_of(centred, "vs", n))
     order = np.argsort(values)[::-1][: n - 1 if rank is None else min(rank, n - 1)]
     order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
@@ -215,8 +216,8 @@ def gpa(shapes: DataFrame, iterations: int = 3, halt: float = 1e-5) -> tuple[Dat
     mean = shapes.filter(F.col("item_id") == first).select("point_id", *XYZ)
     aligned = shapes
     for _ in range(iterations):
-        aligned = procrustes(shapes, mean).checkpoint()
-        new = mean_of(aligned).checkpoint()
+        aligned = procrustes(shapes, mean).transform(saved)
+        new = mean_of(aligned).transform(saved)
         old = mean.toDF("point_id", "a", "b", "c")
         moved = new.join(old, "point_id").agg(F.avg(F.sqrt((F.col("x") - F.col("a")) ** 2 + (F.col("y") - F.col("b")) ** 2 + (F.col("z") - F.col("c")) ** 2))).first()[0]
         mean = new
