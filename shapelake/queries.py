@@ -507,9 +507,9 @@ def tri_area(spark, d):
     return part_mesh(spark, d).measures().select("cell_id", r("measure").alias("area"))
 
 
-@query(f"WITH {MESH} SELECT cell_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz FROM nrm")
+@query(f"WITH {MESH} SELECT cell_id, round(nx, 6) + 0 AS nx, round(ny, 6) + 0 AS ny, round(nz, 6) + 0 AS nz FROM nrm")
 def cell_normals(spark, d):
-    return part_mesh(spark, d).cell_normals().select("cell_id", *[r(c).alias(c) for c in ("nx", "ny", "nz")])
+    return part_mesh(spark, d).cell_normals().select("cell_id", *[(r(c) + 0).alias(c) for c in ("nx", "ny", "nz")])
 
 
 @query(f"WITH {MESH}, v AS (SELECT point_id, avg(nx) AS x, avg(ny) AS y, avg(nz) AS z FROM corner JOIN nrm USING (cell_id) GROUP BY point_id) SELECT point_id, round(x / sqrt(x*x+y*y+z*z), 6) AS nx, round(y / sqrt(x*x+y*y+z*z), 6) AS ny, round(z / sqrt(x*x+y*y+z*z), 6) AS nz FROM v")
@@ -736,12 +736,12 @@ def vector_algebra(spark, d):
     return rows.select("l_orderkey", "l_linenumber", r(a.dot(b)).alias("dot"), r(a.norm()).alias("norm"), *[r(x).alias(n) for x, n in zip(a.cross(b).parts, ("cx", "cy", "cz"))], r(a.normalized()[0]).alias("ux"), r(a.elementwise(b)[1]).alias("ey"), r(a.outer(b).rows[0][2]).alias("outer_xz"))
 
 
-@query("WITH m AS (SELECT p_partkey, p_size + 1.0::DOUBLE AS a, (p_partkey % 5)::DOUBLE AS b, (p_partkey % 3)::DOUBLE AS c, p_size + 7.0::DOUBLE AS d FROM part) SELECT p_partkey, round(a * d - b * c, 6) AS det, round(d / (a * d - b * c), 6) AS inv_a, round(-b / (a * d - b * c), 6) AS inv_b, round(a * a + b * c, 6) AS sq_a, round(a * 2 + b * 3, 6) AS mv FROM m")
+@query("WITH m AS (SELECT p_partkey, p_size + 1.0::DOUBLE AS a, (p_partkey % 5)::DOUBLE AS b, (p_partkey % 3)::DOUBLE AS c, p_size + 7.0::DOUBLE AS d FROM part) SELECT p_partkey, round(a * d - b * c, 6) AS det, round(d / (a * d - b * c), 6) AS inv_a, round(-b / (a * d - b * c), 6) + 0 AS inv_b, round(a * a + b * c, 6) AS sq_a, round(a * 2 + b * 3, 6) AS mv FROM m")
 def matrix_algebra(spark, d):
     i, s = F.col("p_partkey"), F.col("p_size")
     m = Mat.of([[s + 1.0, (i % 5).cast("double")], [(i % 3).cast("double"), s + 7.0]])
     inv = m.inv()
-    return t(spark, d, "part").select(i, r(m.det()).alias("det"), r(inv.rows[0][0]).alias("inv_a"), r(inv.rows[0][1]).alias("inv_b"), r((m @ m).rows[0][0]).alias("sq_a"), r(m.apply(Vec.of(2, 3))[0]).alias("mv"))
+    return t(spark, d, "part").select(i, r(m.det()).alias("det"), r(inv.rows[0][0]).alias("inv_a"), (r(inv.rows[0][1]) + 0).alias("inv_b"), r((m @ m).rows[0][0]).alias("sq_a"), r(m.apply(Vec.of(2, 3))[0]).alias("mv"))
 
 
 @query("SELECT p_partkey, round(p_size * cos(a), 6) AS px, round(p_size * sin(a), 6) AS py, round(p_size * sin(0.5) * cos(a), 6) AS sx, round(p_size * cos(0.5), 6) AS sz FROM (SELECT *, p_partkey / 100.0::DOUBLE AS a FROM part)")
