@@ -70,8 +70,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     index = index or DigestIndex(docs.sparkSession)
     digests = DigestIndex.digests(docs)
-    table = index.add(DigestIndex.resolve(digests))
-    return digests.join(table, "digest").select(
+    index.add(DigestIndex.resolve(digests))
+    # Read as plain files: then both sides are shuffled, and Spark can split the copies of a text that many rows have.
+    table = index.spark.read.schema(index.table().schema).parquet(index.path)
+    return digests.join(table.hint("merge"), "digest").select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
