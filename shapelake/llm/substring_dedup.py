@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, Dat
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
     seen = stored(scan(texts, width), "anchors", "zstd")
-    leaders = seen.groupBy("sha").agg(F.min("k").alias("leader"))
+    leaders = stored(seen.groupBy("sha").agg(F.min("k").alias("leader")), "leaders")
     marked = seen.select("k", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("k") > F.col("leader"))
     summary = stored(marked.dropDuplicates(["k"]), "documents")
     repeated = seen.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
