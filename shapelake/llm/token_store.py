@@ -125,7 +125,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if mark:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
-        self.memo = PieceTable(self._encode, 1_000_000)
+        self.memo = PieceTable(self._encode, 1_400_000)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each stretch. Stretches are encoded as lines of texts, which costs less than as many short texts.
