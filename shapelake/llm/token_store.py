@@ -241,7 +241,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 doc_ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=~valid)
                 yield pa.record_batch([doc_ids, pa.array(row["start"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = segments.join(part_starts(segments), "part").withColumn("start", F.col("before") + F.col("part_start"))
+    placed = segments.join(F.broadcast(part_starts(segments)), "part").withColumn("start", F.col("before") + F.col("part_start"))
     return placed.select("n_docs", "start", "doc_ids", "has_id", "lens", "codes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
