@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shapelake.llm.common import SPACE_CLASS, read, shared_dir
 
@@ -18,6 +19,9 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """A table (digest, keep_id, group_size) of every text seen, bucketed and sorted by digest.
 
+    The index is what the files at its path hold, whichever session wrote them; a session whose catalog lacks the
+    table registers it over the files. The folder's file `_buckets` tells the number of buckets they are in.
+
     `resolve` finds the row that stays for each distinct text of a batch; `add` keeps of these the texts that
     the index lacks (sort-merge anti-join: the index side is read in its buckets, without a shuffle) and
     appends them. Null texts count as empty, null ids are allowed (they sort after all others), repeated rows
@@ -28,12 +32,52 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or f"{shared_dir(spark).rstrip('/')}/{self.name}"
+        known = self._location() if name else None
+        self.path = path or known or f"{shared_dir(spark).rstrip('/')}/{self.name}"
+        if known and self._qualified(known) != self._qualified(self.path):
+            raise ValueError(f"table {self.name} is at {known}, not at {self.path}")
+
+    def _location(self) -> str | None:
+        """Where the session catalog has the table; None if it has none of the name."""
+        if not self.spark.catalog.tableExists(self.name):
+            return None
+        return self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").filter("col_name = 'Location'").first().data_type
+
+    def _folder(self, path: str):
+        """(file system, path) of Hadoop."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+    def _qualified(self, path: str) -> str:
+        fs, folder = self._folder(path)
+        return fs.makeQualified(folder).toString()
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether the folder holds texts."""
+        fs, folder = self._folder(self.path)
+        return fs.exists(folder) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(folder))
+
+    def _register(self, schema: StructType) -> None:
+        """Make the table known to the catalog, over the files that are there. Only INSERTs follow, which leave them alone."""
+        fs, folder = self._folder(self.path)
+        note = self.spark._jvm.org.apache.hadoop.fs.Path(folder, "_buckets")
+        if fs.exists(note):
+            with_note = fs.open(note)
+            self.buckets = int(with_note.readUTF())
+            with_note.close()
+        else:
+            with_note = fs.create(note)
+            with_note.writeUTF(str(self.buckets))
+            with_note.close()
+        if not self.spark.catalog.tableExists(self.name):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+            at = self.path.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        self.spark.catalog.refreshTable(self.name)  # other sessions may have added files
 
     def table(self) -> DataFrame:
+        if self.exists():
+            self._register(self.spark.read.parquet(self.path).schema)
         return self.spark.table(self.name)
 
     @staticmethod
@@ -53,6 +97,8 @@ class DigestIndex:
         """Append the texts the index lacks; returns the index."""
         if self.exists():
             resolved = resolved.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        else:
+            self._register(resolved.schema)
         (
             resolved.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
