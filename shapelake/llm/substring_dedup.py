@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import pieces, ragged, read, stored
+from shapelake.llm.common import pieces, ragged, read, stored, told_apart
 from shapelake.llm.wordhash import BASE_1, BASE_2, mix, rolling, split, word_hashes
 
 WINDOW = 20
@@ -122,11 +122,11 @@ def ranges_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
 
 
 def scan(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per document: k (doc_id, null as the largest long), n_words, sha (of its words), names, starts, ends."""
+    """One row per row of (k, t, text): k, t, n_words, sha (of its words), names, starts, ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for i, j in pieces(texts):
                 words = [split(t) for t in texts[i:j]]
                 hashes, lens = word_hashes(words)
@@ -134,9 +134,9 @@ def scan(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 offsets = pa.array(np.searchsorted(text, np.arange(j - i + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (name.view(np.int64), a.astype(np.int32), b.astype(np.int32))]
                 sha = pa.array([hashlib.sha256(" ".join(w).encode()).hexdigest() for w in words], pa.string())
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(lens), sha, *lists], ["k", "n_words", "sha", "names", "starts", "ends"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(lens), sha, *lists], ["k", "t", "n_words", "sha", "names", "starts", "ends"])
 
-    return docs.mapInArrow(run, "k long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>")
+    return docs.mapInArrow(run, "k long, t long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>")
 
 
 def marked(ranges: pa.ListArray, begin: np.ndarray, n: int) -> np.ndarray:
@@ -150,26 +150,26 @@ def marked(ranges: pa.ListArray, begin: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_keys(found: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(h, g, k, p): 96 bits of hash of each window in the ranges of (k, text, ranges), and its place."""
+    """(h, g, k, t, p): 96 bits of hash of each window in the ranges of (k, t, text, ranges), and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ks = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            texts, ks, ts = batch.column(2).to_pylist(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in pieces(texts):
                 hashes, lens = word_hashes([split(t) for t in texts[i:j]])
                 begin = np.cumsum(lens) - lens
-                at = np.flatnonzero(marked(batch.column(2).slice(i, j - i), begin, len(hashes)))
+                at = np.flatnonzero(marked(batch.column(3).slice(i, j - i), begin, len(hashes)))
                 text = np.searchsorted(begin, at, side="right") - 1
                 h, g = rolling(hashes, width, BASE_1)[at], rolling(mix(hashes), width, BASE_2)[at]
-                columns = [h.view(np.int64), (g >> np.uint64(33)).astype(np.int32), ks[i:j][text], (at - begin[text]).astype(np.int32)]
+                columns = [h.view(np.int64), (g >> np.uint64(33)).astype(np.int32), ks[i:j][text], ts[i:j][text], (at - begin[text]).astype(np.int32)]
                 for x in range(0, len(at), 200_000):
-                    yield pa.record_batch([pa.array(c[x : x + 200_000]) for c in columns], ["h", "g", "k", "p"])
+                    yield pa.record_batch([pa.array(c[x : x + 200_000]) for c in columns], ["h", "g", "k", "t", "p"])
 
-    return found.mapInArrow(run, "h long, g int, k long, p int")
+    return found.mapInArrow(run, "h long, g int, k long, t long, p int")
 
 
 def cut(found: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(k, n_removed, kept): of (k, text, ranges, firsts), the words left when windows in ranges but not firsts go."""
+    """(u, n_removed, kept): of (u, text, ranges, firsts), the words left when windows in ranges but not firsts go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,42 +188,51 @@ def cut(found: DataFrame, width: int = WINDOW) -> DataFrame:
                 stays = np.cumsum(edge[:-1]) == 0
                 kept = [" ".join(compress(w, stays[b : b + len(w)].tolist())) for w, b in zip(words, begin.tolist())]
                 removed = lens - np.diff(np.concatenate([[0], np.cumsum(stays)])[np.append(begin, n)])
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(removed), pa.array(kept, pa.string())], ["k", "n_removed", "kept"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(removed), pa.array(kept, pa.string())], ["u", "n_removed", "kept"])
 
-    return found.mapInArrow(run, "k long, n_removed long, kept string")
+    return found.mapInArrow(run, "u long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(summary, changed): summary has k, n_words, n_removed and sha of every document; changed the kept text of
-    those that lose some words but aren't whole copies.
+def repeats_by_row(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(summary, changed): summary has u (a number of its own), k (doc_id, null as the largest long), n_words, n_removed
+    and sha of every row; changed has u, n_removed and the kept text of those that lose some words but aren't whole copies.
 
-    A window of `width` words whose words also start earlier (smaller doc_id, or earlier in the text) goes, with
-    all words it covers; windows are judged on the input. Documents that are equal in their words to an earlier one
-    are settled by their digest. Null texts have no words, texts under `width` words lose none, null ids come last.
-    An id names a document: rows that share it are taken as the same document. An empty table gives no rows.
+    A window of `width` words whose words also start earlier (smaller doc_id, then hash of the text, or earlier in the
+    text) goes, with all words it covers; windows are judged on the input. Rows that are equal in their words to an
+    earlier one are settled by their digest. Null texts have no words, texts under `width` words lose none, null ids come
+    last. Every row is a document of its own, also where rows share an id or have none. An empty table gives no rows.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
-    seen = stored(scan(texts, width), "anchors", "zstd")
-    leaders = stored(seen.groupBy("sha").agg(F.min("k").alias("leader")), "leaders")
-    marked = seen.select("k", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("k") > F.col("leader"))
-    summary = stored(marked.dropDuplicates(["k"]), "documents")
+    texts = told_apart(docs)
+    seen = stored(scan(texts, width).withColumn("u", F.monotonically_increasing_id()), "anchors", "zstd")
+    leaders = stored(seen.groupBy("sha").agg(F.min(F.struct("k", "t", "u")).alias("first")).select("sha", F.col("first.u").alias("leader")), "leaders")
+    marked = seen.select("u", "k", "t", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("u") != F.col("leader"))
+    summary = stored(marked, "documents")
     repeated = seen.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     repeated = stored(repeated, "repeated")
-    rows = seen.select("k", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("k", F.col("x.names").alias("name"), F.struct(F.col("x.starts").alias("a"), F.col("x.ends").alias("b")).alias("r"))
-    ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("k").agg(F.collect_list("r").alias("ranges"))
-    ranges = stored(ranges.join(summary.filter("copy").select("k"), "k", "left_anti"), "ranges", "zstd")
-    found = texts.join(ranges.hint("merge"), "k").select("k", "text", "ranges")
-    groups = window_keys(found, width).groupBy("h", "g").agg(F.min(F.struct("k", "p")).alias("first"))
-    firsts = groups.groupBy(F.col("first.k").alias("k")).agg(F.collect_list("first.p").alias("firsts"))
-    changed = cut(found.join(firsts.hint("merge"), "k", "left").select("k", "text", "ranges", "firsts"), width)
+    rows = seen.select("u", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("u", F.col("x.names").alias("name"), F.struct(F.col("x.starts").alias("a"), F.col("x.ends").alias("b")).alias("r"))
+    ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("u").agg(F.collect_list("r").alias("ranges"))
+    # of rows alike in (k, t) at most one is no copy, so (k, t) finds its text
+    ranges = stored(ranges.join(summary.filter("NOT copy").select("u", "k", "t"), "u"), "ranges", "zstd")
+    found = texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges")
+    groups = window_keys(found.select("k", "t", "text", "ranges"), width).groupBy("h", "g").agg(F.min(F.struct("k", "t", "p")).alias("first"))
+    firsts = groups.groupBy(F.col("first.k").alias("k"), F.col("first.t").alias("t")).agg(F.collect_list("first.p").alias("firsts"))
+    changed = cut(found.join(firsts.hint("merge"), ["k", "t"], "left").select("u", "text", "ranges", "firsts"), width)
     return summary, changed
 
 
+def remove_repeats(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """repeats_by_row with k for u and one row per id: of rows that share an id, one."""
+    summary, changed = repeats_by_row(docs, width)
+    ids = summary.dropDuplicates(["k"])
+    return ids, changed.dropDuplicates(["u"]).join(ids.select("u", "k"), "u").select("k", "n_removed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary, changed = remove_repeats(read(spark, sf_dir, "documents"))
-    some = changed.select("k", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    summary, changed = repeats_by_row(read(spark, sf_dir, "documents"))
+    # rows alike in id and text read the same text several times
+    some = changed.select("u", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["u"])
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
-    return summary.join(some, "k", "left").select(
+    return summary.join(some, "u", "left").select(
         F.when(F.col("k") != LAST, F.col("k")).alias("doc_id"), "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
