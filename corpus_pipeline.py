@@ -32,9 +32,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each class of near-duplicates, judged by its text; of rows alike in a null id and text one."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    kept = near_dedup.classes_by_row(packed).filter("kept").select(F.col("k").alias("__k"), F.col("t").alias("__t"))
+    rows = common.told_apart(packed, "row")
+    stay = rows.join(kept, (F.col("k") == F.col("__k")) & (F.col("t") == F.col("__t")), "left_semi")
+    named = stay.filter("row.doc_id IS NOT NULL").select("row.*")
+    return named.unionByName(stay.filter("row.doc_id IS NULL").dropDuplicates(["t"]).select("row.*"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

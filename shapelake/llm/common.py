@@ -39,15 +39,15 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """(k, t, text): k is doc_id, null as the largest long; (k, t) differs for texts that differ, also where rows share an id.
+def told_apart(docs: DataFrame, *carry: str) -> DataFrame:
+    """(k, t, text) and the columns to carry: k is doc_id, null as the largest long; (k, t) differs for texts that differ, also where rows share an id.
 
     t is a hash of the text; where no id (null is one) has several rows it is 0, which shuffles for less.
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k")
     shared = docs.select(k).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     t = F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64("text")
-    return docs.select(k, t.alias("t"), "text")
+    return docs.select(k, t.alias("t"), "text", *carry)
 
 
 def words_of(text: Column) -> Column:

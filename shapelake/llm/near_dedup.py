@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import pieces, ragged, read, stored
+from shapelake.llm.common import pieces, ragged, read, stored, told_apart
 from shapelake.llm.components import components
 from shapelake.llm.wordhash import BASE_1, mix, rolling, split, word_hashes
 
@@ -163,11 +163,11 @@ def band_keys(samples: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """k, digest of the words, bands array<long>, samples binary of every row of (k, text); no shingles: no bands."""
+    """k, t, digest of the words, bands array<long>, samples binary of every row of (k, t, text); no shingles: no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for i, j in blocks(texts):
                 words = [split(t) for t in texts[i:j]]
                 text, shingle, times = shingles(words)
@@ -177,11 +177,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(has)]) * keys.shape[1], pa.int32())
                 own = iter(samples)
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words], pa.binary()),
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([next(own).tobytes() if h else None for h in has], pa.binary()),
-                ], ["k", "digest", "bands", "samples"])
+                ], ["k", "t", "digest", "bands", "samples"])
 
-    return docs.mapInArrow(run, "k long, digest binary, bands array<long>, samples binary")
+    return docs.mapInArrow(run, "k long, t long, digest binary, bands array<long>, samples binary")
 
 
 def similarities(a: list[str | None], b: list[str | None], idf: np.ndarray) -> np.ndarray:
@@ -288,29 +288,25 @@ def group_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarit
     return rows.groupBy("bucket", "i", "kind", "j").applyInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, kept of every row: class_id is the least doc_id of the documents that links join.
-
-    Documents with the same words are copies and compared once. A link joins two different texts that share a band
-    and have the similarity or more. First every member of a bucket is compared with the bucket's least member, which
-    joins most copies in a few comparisons each. Where a bucket then still holds several classes, all pairs of
-    members of different classes are compared in groups (see group_links), so no candidate pair is left that is neither
-    compared nor within one class.
+def classes_by_row(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """k, t (see told_apart), class (the least k of its rows), class_size and kept of every row.
 
-    Null and blank texts are copies of each other, null ids count as the largest, rows that share an id are one
-    document, an empty table gives no rows, other columns are not read.
+    Nodes are numbers of distinct word sequences (u of one of the rows that have it), never ids, so rows that share an id
+    or have none are judged by their own texts.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
+    texts = told_apart(docs)
     idf = inverse_frequencies(*document_frequencies(texts))
-    seen = stored(signatures(texts, idf), "signatures")
-    leaders = stored(seen.groupBy("digest").agg(F.min("k").alias("rep")), "leaders")
-    reps = stored(seen.select("k", "digest").join(leaders, "digest").select("k", "rep").distinct(), "copies")
-    rows = stored(seen.join(reps.filter("k = rep").select("k"), "k").select("k", F.explode("bands").alias("bucket")).distinct(), "bands")
+    seen = stored(signatures(texts, idf).withColumn("u", F.monotonically_increasing_id()), "signatures")
+    leaders = stored(seen.groupBy("digest").agg(F.min("u").alias("rep")), "leaders")
+    reps = stored(seen.select("u", "k", "t", "digest").join(leaders, "digest").select("u", "k", "t", "rep"), "copies")
+    rows = stored(seen.join(leaders.select(F.col("rep").alias("u")), "u").select(F.col("u").alias("k"), F.explode("bands").alias("bucket")).distinct(), "bands")
     sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).filter("n > 1"), "sizes")
     members = stored(rows.join(sizes.hint("merge"), "bucket"), "members")
     nodes = stored(members.select("k").distinct(), "nodes")
-    samples = stored(seen.join(nodes.hint("merge"), "k").select("k", "samples").dropDuplicates(["k"]), "samples")
-    pool = stored(texts.join(nodes.hint("merge"), "k").dropDuplicates(["k"]), "texts", "zstd")
+    own = stored(seen.join(nodes.withColumnRenamed("k", "u").hint("merge"), "u").select("u", "k", "t", "samples"), "samples")
+    samples = own.select(F.col("u").alias("k"), "samples")
+    # rows alike in (k, t) have one text
+    pool = stored(texts.join(own.select("u", "k", "t").hint("merge"), ["k", "t"]).select(F.col("u").alias("k"), "text").dropDuplicates(["k"]), "texts", "zstd")
 
     pairs = members.filter("k > least").select(F.col("least").alias("a"), F.col("k").alias("b")).distinct()
     close = stored(agreement(pairs, samples).filter(F.col("est") >= LEAST_AGREEMENT).select("a", "b"), "pairs")
@@ -324,10 +320,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     second = components(more).toDF("c", "label")
     classes = classes.join(second, "c", "left").select(F.col("k").alias("rep"), F.coalesce("label", "c").alias("c"))
 
-    ids = stored(reps.join(classes, "rep", "left").select("k", F.coalesce("c", "rep").alias("class")), "ids")
-    counts = stored(ids.groupBy("class").agg(F.count(F.lit(1)).alias("class_size")), "counts")
+    ids = stored(reps.join(classes, "rep", "left").select("u", "k", "t", F.coalesce("c", "rep").alias("c")), "ids")
+    counts = stored(ids.groupBy("c").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("k", "t", "u")).alias("least")), "counts")
+    joined = ids.join(counts, "c")
+    return joined.select("k", "t", F.col("least.k").alias("class"), F.col("class_size").cast("long").alias("class_size"), (F.col("u") == F.col("least.u")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size, kept of every row: class_id is the least doc_id of the documents that links join.
+
+    Documents with the same words are copies and compared once. A link joins two different texts that share a band
+    and have the similarity or more. First every member of a bucket is compared with the bucket's least member, which
+    joins most copies in a few comparisons each. Where a bucket then still holds several classes, all pairs of
+    members of different classes are compared in groups (see group_links), so no candidate pair is left that is neither
+    compared nor within one class.
+
+    Null and blank texts are copies of each other, null ids count as the largest, every row is a document of its own
+    also where rows share an id or have none (one row of a class is kept), an empty table gives no rows, other columns
+    are not read.
+    """
+    rows = classes_by_row(docs, similarity)
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return ids.join(counts, "class").select(shown("k").alias("doc_id"), shown("class").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), (F.col("k") == F.col("class")).alias("kept"))
+    return rows.select(shown("k").alias("doc_id"), shown("class").alias("class_id"), "class_size", "kept")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

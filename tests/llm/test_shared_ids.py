@@ -3,7 +3,8 @@
 import hashlib
 import random
 
-from shapelake.llm import common, substring_dedup
+import corpus_pipeline
+from shapelake.llm import common, near_dedup, substring_dedup
 
 
 def words(seed, n):
@@ -25,3 +26,14 @@ def test_rows_are_told_apart(spark):
     docs = lambda rows: common.told_apart(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.t for r in docs([(1, "a"), (2, "a"), (None, "b")]).collect()} == {0}
     assert len({(r.k, r.t) for r in docs([(None, "a"), (None, "b"), (1, "a"), (1, "c"), (1, "c")]).collect()}) == 4
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    base, other, third, lone = words(6, 100), words(7, 80), words(8, 90), words(9, 70)
+    texts = [(5, base), (None, [*base[:-1], "x"]), (None, other), (None, other), (6, third), (7, [*third[:-1], "y"]), (7, lone)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs).collect()
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in rows)
+    assert got == [(0, 0, 2, False), (0, 0, 2, True), (0, 5, 2, False), (5, 5, 2, True), (6, 6, 2, True), (7, 6, 2, False), (7, 7, 1, True)]
+    stay = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in stay) == sorted([(5, " ".join(base)), (0, " ".join(other)), (6, " ".join(third)), (7, " ".join(lone))])
