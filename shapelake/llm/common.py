@@ -22,23 +22,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); where unset, as in tests, a folder of our own is set."""
+    """The folder every executor sees (spark.checkpoint.dir). Where it is unset, a local session gets a folder of its own; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shapelake-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. See clean."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that `stored` wrote in this application, and tells how many; results that read them are void from then on."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return len(paths)
+
+
 def told_apart(docs: DataFrame, *carry: str) -> DataFrame:
     """(k, t, text) and the columns to carry: k is doc_id, null as the largest long; (k, t) differs for texts that differ, also where rows share an id.
 

@@ -5,7 +5,7 @@ what it stands for, so every round names the same run or pair alike in all docum
 Whether two symbols pair depends on them alone (a bit of each says left or right), so equal passages get equal
 symbols inside, up to the stretch at either end that the symbols' context reaches over. For each window of words the
 symbol inside it with the least hash is its anchor; anchors that occur once in the corpus rule out all their windows,
-the others' windows are compared by 96-bit hashes of their words.
+the others' windows are compared by 128 bits of hash of their words.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import pieces, ragged, read, stored, told_apart
-from shapelake.llm.wordhash import BASE_1, BASE_2, mix, rolling, split, word_hashes
+from shapelake.llm.common import ragged, read, stored, told_apart
+from shapelake.llm.wordhash import BASE_1, BASE_2, BLOCK_CHARS, Piece, forget, mix, rolling, word_blocks, word_hashes
 
 WINDOW = 20
 ROUNDS = 4
@@ -121,79 +121,100 @@ def ranges_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return (sums[stop] - sums[start]) * powers[stop]
 
 
-def scan(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of (k, t, text): k, t, n_words, sha (of its words), names, starts, ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in pieces(texts):
-                words = [split(t) for t in texts[i:j]]
-                hashes, lens = word_hashes(words)
-                text, name, a, b = anchors(hashes, lens, width)
-                offsets = pa.array(np.searchsorted(text, np.arange(j - i + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (name.view(np.int64), a.astype(np.int32), b.astype(np.int32))]
-                sha = pa.array([hashlib.sha256(" ".join(w).encode()).hexdigest() for w in words], pa.string())
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(lens), sha, *lists], ["k", "t", "n_words", "sha", "names", "starts", "ends"])
+            if not len(batch):
+                continue
+            n_words, shas = np.zeros(len(batch), np.int64), [hashlib.sha256() for _ in range(len(batch))]
+            found: list[tuple[np.ndarray, ...]] = []
+            for block in word_blocks(batch.column(2), width - 1, most_chars):
+                hashes, lens = word_hashes([x.words for x in block])
+                piece, name, a, b = anchors(hashes, lens, width)
+                row, first = np.array([x.row for x in block]), np.array([x.first for x in block])
+                found.append((row[piece].astype(np.int32), name, (a + first[piece]).astype(np.int32), (b + first[piece]).astype(np.int32)))
+                for x in block:
+                    if x.own:
+                        shas[x.row].update(((" " if n_words[x.row] else "") + " ".join(x.words[: x.own])).encode())
+                        n_words[x.row] += x.own
+            row, name, a, b = (np.concatenate(c) for c in zip(*found))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (name.view(np.int64), a, b)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(n_words), pa.array([x.hexdigest() for x in shas], pa.string()), *lists], ["k", "t", "n_words", "sha", "names", "starts", "ends"])
+        forget()
 
     return docs.mapInArrow(run, "k long, t long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>")
 
 
-def marked(ranges: pa.ListArray, begin: np.ndarray, n: int) -> np.ndarray:
-    """Which of n words start a window in the ranges of their text; begin: the first word of each text."""
-    offset = np.repeat(begin, ranges.value_lengths().to_numpy(zero_copy_only=False))
-    flat = ranges.flatten()
+def lists_of(column: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of `rows`, place in the flattened column) of the members of these rows' lists; null counts as empty."""
+    lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(rows)), lens[rows]), ragged((np.cumsum(lens) - lens)[rows], lens[rows])
+
+
+def marked(ranges: pa.ListArray, block: list[Piece], begin: np.ndarray, room: np.ndarray, shift: int, n: int) -> np.ndarray:
+    """Which of n places are windows in the ranges of their text: piece i has room[i] of them from begin[i] on, the first is window block[i].first - shift."""
+    piece, at = lists_of(ranges, np.array([x.row for x in block]))
+    origin, flat = np.array([x.first for x in block])[piece] - shift, ranges.flatten()
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, offset + flat.field(0).to_numpy(), 1)
-    np.add.at(edge, offset + flat.field(1).to_numpy(), -1)
+    for field, sign in ((0, 1), (1, -1)):
+        np.add.at(edge, begin[piece] + np.clip(flat.field(field).to_numpy()[at] - origin, 0, room[piece]), sign)
     return np.cumsum(edge[:-1]) > 0
 
 
-def window_keys(found: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(h, g, k, t, p): 96 bits of hash of each window in the ranges of (k, t, text, ranges), and its place."""
+def window_keys(found: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(h, g, k, t, p): 128 bits of hash of each window in the ranges of (k, t, text, ranges), and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ks, ts = batch.column(2).to_pylist(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in pieces(texts):
-                hashes, lens = word_hashes([split(t) for t in texts[i:j]])
-                begin = np.cumsum(lens) - lens
-                at = np.flatnonzero(marked(batch.column(3).slice(i, j - i), begin, len(hashes)))
-                text = np.searchsorted(begin, at, side="right") - 1
+            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in word_blocks(batch.column(2), width - 1, most_chars):
+                hashes, lens = word_hashes([x.words for x in block])
+                begin, own = np.cumsum(lens) - lens, np.array([x.own for x in block])
+                at = np.flatnonzero(marked(batch.column(3), block, begin, own, 0, len(hashes)))
+                piece = np.searchsorted(begin, at, side="right") - 1
+                row, first = np.array([x.row for x in block])[piece], np.array([x.first for x in block])[piece]
                 h, g = rolling(hashes, width, BASE_1)[at], rolling(mix(hashes), width, BASE_2)[at]
-                columns = [h.view(np.int64), (g >> np.uint64(33)).astype(np.int32), ks[i:j][text], ts[i:j][text], (at - begin[text]).astype(np.int32)]
-                for x in range(0, len(at), 200_000):
-                    yield pa.record_batch([pa.array(c[x : x + 200_000]) for c in columns], ["h", "g", "k", "t", "p"])
+                columns = [h.view(np.int64), g.view(np.int64), ks[row], ts[row], (at - begin[piece] + first).astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["h", "g", "k", "t", "p"])
+        forget()
 
-    return found.mapInArrow(run, "h long, g int, k long, t long, p int")
+    return found.mapInArrow(run, "h long, g long, k long, t long, p int")
 
 
-def cut(found: DataFrame, width: int = WINDOW) -> DataFrame:
+def cut(found: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> DataFrame:
     """(u, n_removed, kept): of (u, text, ranges, firsts), the words left when windows in ranges but not firsts go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in pieces(texts):
-                words = [split(t) for t in texts[i:j]]
-                lens = np.fromiter(map(len, words), np.int64, j - i)
-                begin, n = np.cumsum(lens) - lens, int(lens.sum())
-                gone = marked(batch.column(2).slice(i, j - i), begin, n)
-                firsts = batch.column(3).slice(i, j - i)
-                gone[np.repeat(begin, firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + firsts.flatten().to_numpy()] = False
+            removed, kept = np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))]
+            firsts = batch.column(3)
+            for block in word_blocks(batch.column(1), 0, most_chars):
+                lens = np.fromiter((len(x.words) for x in block), np.int64, len(block))
+                room = lens + width - 1  # windows that start in the piece or reach into it
+                begin = np.cumsum(room) - room
+                gone = marked(batch.column(2), block, begin, room, width - 1, int(room.sum()))
+                piece, at = lists_of(firsts, np.array([x.row for x in block]))
+                place = firsts.flatten().to_numpy()[at] - np.array([x.first for x in block])[piece] + width - 1
+                here = (place >= 0) & (place < room[piece])
+                gone[(begin[piece] + place)[here]] = False
                 places = np.flatnonzero(gone)
-                edge = np.zeros(n + 1, np.int64)
+                edge = np.zeros(len(gone) + width, np.int64)
                 edge[places] += 1
                 edge[places + width] -= 1
-                stays = np.cumsum(edge[:-1]) == 0
-                kept = [" ".join(compress(w, stays[b : b + len(w)].tolist())) for w, b in zip(words, begin.tolist())]
-                removed = lens - np.diff(np.concatenate([[0], np.cumsum(stays)])[np.append(begin, n)])
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(removed), pa.array(kept, pa.string())], ["u", "n_removed", "kept"])
+                stays = np.cumsum(edge) == 0
+                for x, b, n in zip(block, (begin + width - 1).tolist(), lens.tolist()):
+                    left = stays[b : b + n]
+                    removed[x.row] += n - int(np.count_nonzero(left))
+                    kept[x.row].append(" ".join(compress(x.words, left.tolist())))
+            yield pa.record_batch([batch.column(0), pa.array(removed), pa.array([" ".join(filter(None, w)) for w in kept], pa.string())], ["u", "n_removed", "kept"])
 
     return found.mapInArrow(run, "u long, n_removed long, kept string")
 
 
-def repeats_by_row(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def repeats_by_row(docs: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """(summary, changed): summary has u (a number of its own), k (doc_id, null as the largest long), n_words, n_removed
     and sha of every row; changed has u, n_removed and the kept text of those that lose some words but aren't whole copies.
 
@@ -201,9 +222,10 @@ def repeats_by_row(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, Dat
     text) goes, with all words it covers; windows are judged on the input. Rows that are equal in their words to an
     earlier one are settled by their digest. Null texts have no words, texts under `width` words lose none, null ids come
     last. Every row is a document of its own, also where rows share an id or have none. An empty table gives no rows.
+    Long texts are worked on in pieces of about most_chars that overlap, with the same result.
     """
     texts = told_apart(docs)
-    seen = stored(scan(texts, width).withColumn("u", F.monotonically_increasing_id()), "anchors", "zstd")
+    seen = stored(scan(texts, width, most_chars).withColumn("u", F.monotonically_increasing_id()), "anchors", "zstd")
     leaders = stored(seen.groupBy("sha").agg(F.min(F.struct("k", "t", "u")).alias("first")).select("sha", F.col("first.u").alias("leader")), "leaders")
     marked = seen.select("u", "k", "t", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("u") != F.col("leader"))
     summary = stored(marked, "documents")
@@ -213,10 +235,10 @@ def repeats_by_row(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, Dat
     ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("u").agg(F.collect_list("r").alias("ranges"))
     # of rows alike in (k, t) at most one is no copy, so (k, t) finds its text
     ranges = stored(ranges.join(summary.filter("NOT copy").select("u", "k", "t"), "u"), "ranges", "zstd")
-    found = texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges")
-    groups = window_keys(found.select("k", "t", "text", "ranges"), width).groupBy("h", "g").agg(F.min(F.struct("k", "t", "p")).alias("first"))
+    found = stored(texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges"), "found", "zstd")
+    groups = window_keys(found.select("k", "t", "text", "ranges"), width, most_chars).groupBy("h", "g").agg(F.min(F.struct("k", "t", "p")).alias("first"))
     firsts = groups.groupBy(F.col("first.k").alias("k"), F.col("first.t").alias("t")).agg(F.collect_list("first.p").alias("firsts"))
-    changed = cut(found.join(firsts.hint("merge"), ["k", "t"], "left").select("u", "text", "ranges", "firsts"), width)
+    changed = cut(found.join(firsts.hint("merge"), ["k", "t"], "left").select("u", "text", "ranges", "firsts"), width, most_chars)
     return summary, changed
 
 

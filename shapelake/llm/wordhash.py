@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from shapelake.llm.common import WORD
+from shapelake.llm.common import SPACE_CLASS, WORD
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_word = re.compile(WORD)
+#: Characters of text that a worker takes up at once.
+BLOCK_CHARS = 300_000
+
+_word, _space = re.compile(WORD), re.compile(SPACE_CLASS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,30 +28,87 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Memo of 64-bit word hashes, emptied beyond `limit` words so that its memory is bounded."""
+    """Memo of 64-bit word hashes, emptied when its words hold over `limit` characters; long words are not kept."""
+
+    limit, longest = 1_500_000, 48
 
-    limit = 1_000_000
+    def __init__(self) -> None:
+        super().__init__()
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= self.longest:
+            if self.chars > self.limit:
+                self.empty()
+            self.chars += len(word) + 8
+            self[word] = h
         return h
 
-    def of(self, words: Iterable[str]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64)
+    def of(self, words: Iterable[str], n: int = -1) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
+
+    def empty(self) -> None:
+        self.clear()
+        self.chars = 0
 
 
 _hashes = WordHashes()
 
 
+def forget() -> None:
+    """Empties the memo, for the end of a task: workers live on between tasks."""
+    _hashes.empty()
+
+
 def split(text: str | None) -> list[str]:
     return _word.findall(text) if text else []
 
 
+class Piece(NamedTuple):
+    """Words of a text from its word number `first` on; of them `own` aren't again in the text's next piece."""
+
+    row: int
+    first: int
+    words: list[str]
+    own: int
+
+
+def parts(row: int, text: str | None, overlap: int, most_chars: int) -> Iterator[Piece]:
+    """A text as one piece, or a long one as pieces of about most_chars; each has the last `overlap` words of the one before."""
+    if not text or len(text) <= most_chars:
+        words = split(text)
+        yield Piece(row, 0, words, len(words))
+        return
+    at, first, tail = 0, 0, []
+    while at < len(text):
+        gap = _space.search(text, at + most_chars)
+        stop = gap.start() if gap else len(text)
+        words = tail + _word.findall(text, at, stop)
+        own = len(words) if stop == len(text) else max(len(words) - overlap, 0)
+        yield Piece(row, first, words, own)
+        at, first, tail = stop, first + own, words[own:]
+
+
+def word_blocks(texts: pa.Array, overlap: int = 0, most_chars: int = BLOCK_CHARS, most_texts: int = 4096) -> Iterator[list[Piece]]:
+    """Pieces of all texts in lists of about most_chars, so that what a worker holds at once has a bound, however long a text is."""
+    block, chars = [], 0
+    for row, text in enumerate(texts):
+        text = text.as_py()
+        for piece in parts(row, text, overlap, most_chars):
+            block.append(piece)
+            chars += min(len(text or ""), most_chars)
+            if chars >= most_chars or len(block) >= most_texts:
+                yield block
+                block, chars = [], 0
+    if block:
+        yield block
+
+
 def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and the number of words of each text."""
-    return _hashes.of(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _hashes.of(chain.from_iterable(texts), int(lens.sum())), lens
 
 
 def rolling(v: np.ndarray, width: int, base: int) -> np.ndarray:
