@@ -15,10 +15,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from shapelake.llm.common import PieceTable, map_batches, pieces, ragged, read
+from shapelake.llm.common import PieceTable, map_batches, ragged, read, text_blocks
 
 #: Widths of the matrices; longer pieces are merged on a heap, in the same order of merges.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128)
+BLOCK_CHARS = 1_000_000
 NO_RANK = np.int32(2**31 - 1)
 HASH_BITS = 21
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -195,11 +196,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column(1).to_pylist()
-        for i, j in pieces(texts):
-            ids, lens = load(path, pattern).encode(texts[i:j])
+        for i, texts in text_blocks(batch.column(1), BLOCK_CHARS):
+            ids, lens = load(path, pattern).encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
+            yield pa.record_batch([batch.column(0).slice(i, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, ids array<int>")
@@ -224,15 +224,15 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     path = path or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe, texts = load(path, pattern), batch.column(1).to_pylist()
+        bpe = load(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for i, j in pieces(texts):
-            ids, lens = bpe.encode(texts[i:j])
+        for i, texts in text_blocks(batch.column(1), BLOCK_CHARS):
+            ids, lens = bpe.encode(texts)
             words = list(map(bpe.decimal.__getitem__, ids.tolist()))
             ends = np.concatenate([[0], np.cumsum(lens)]).tolist()
             shown = [sha(" ".join(words[a:b]).encode()) for a, b in zip(ends, ends[1:])]
             back = [sha(b) for b in bpe.decode(ids, lens)]
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(lens, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([batch.column(0).slice(i, len(texts)), pa.array(lens, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

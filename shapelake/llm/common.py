@@ -76,17 +76,18 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def pieces(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Slices [i, j) of texts that hold about most_chars characters each; a longer text is a slice of its own."""
+def text_blocks(texts: pa.Array, most_chars: int = 300_000, most_texts: int = 4096) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of its first row, texts) of blocks of about most_chars; a longer text ends a block. Only a block's texts are Python objects at a time."""
+    block: list[str | None] = []
     start = chars = 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
-        if chars and chars + n > most_chars:
-            yield start, k
-            start, chars = k, 0
-        chars += n
-    if start < len(texts):
-        yield start, len(texts)
+    for row, text in enumerate(texts):
+        block.append(text.as_py())
+        chars += len(block[-1] or "")
+        if chars >= most_chars or len(block) >= most_texts:
+            yield start, block
+            start, block, chars = row + 1, [], 0
+    if block:
+        yield start, block
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -119,13 +120,17 @@ class Numbered(dict):
         return n
 
 
+#: What a piece takes up beside its characters: as an object, in the dict and in the arrays.
+PIECE_BYTES = 130
+
+
 class PieceTable:
     """Memo from text pieces to id sequences: each distinct piece is encoded once per worker.
 
-    The table is emptied when it holds over `limit` pieces, so its memory is bounded whatever the input.
+    The table is emptied once its pieces take up `limit` bytes, so it never holds more than that and a block's pieces.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 80_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -134,15 +139,16 @@ class PieceTable:
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.int32)
-        self.used = 0
+        self.used = self.size = 0
 
     def lookup(self, parts: Iterable) -> np.ndarray:
         """Row number of every part, encoding those not seen before."""
-        if len(self.index) > self.limit:
+        if self.size > self.limit:
             self.clear()
         rows = np.fromiter(map(self.index.__getitem__, parts), np.int64)
         if self.index.new:
             new, self.index.new = self.index.new, []
+            self.size += sum(map(len, new)) + PIECE_BYTES * len(new)
             try:
                 self._add(len(self.index) - len(new), *self.encode(new))
             except BaseException:

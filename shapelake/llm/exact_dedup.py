@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapelake.llm.common import SPACE_CLASS, read, shared_dir
+from shapelake.llm.common import SPACE_CLASS, read, shared_dir, stored
+
+#: Buckets of a new index: one for so many rows of its first batch, at least so many.
+ROWS_A_BUCKET, MIN_BUCKETS = 2_000_000, 16
 
 
 def text_digest(text: Column) -> Column:
@@ -20,16 +23,17 @@ class DigestIndex:
     """A table (digest, keep_id, group_size) of every text seen, bucketed and sorted by digest.
 
     The index is what the files at its path hold, whichever session wrote them; a session whose catalog lacks the
-    table registers it over the files. The folder's file `_buckets` tells the number of buckets they are in.
+    table registers it over the files. The folder's file `_buckets` tells the number of buckets they are in; a new index
+    gets one for each ROWS_A_BUCKET rows of its first batch, unless told a number.
 
     `resolve` finds the row that stays for each distinct text of a batch; `add` keeps of these the texts that
     the index lacks (sort-merge anti-join: the index side is read in its buckets, without a shuffle) and
-    appends them. Null texts count as empty, null ids are allowed (they sort after all others), repeated rows
-    count as copies, an empty batch appends nothing. Only the two named columns of a batch are read, so further
-    columns of whatever name do no harm.
+    appends them; `compacted` copies an index of many appends into one with one sorted file a bucket. Null texts count
+    as empty, null ids are allowed (they sort after all others), repeated rows count as copies, an empty batch appends
+    nothing. Only the two named columns of a batch are read, so further columns of whatever name do no harm.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         known = self._location() if name else None
@@ -66,6 +70,7 @@ class DigestIndex:
             self.buckets = int(with_note.readUTF())
             with_note.close()
         else:
+            self.buckets = self.buckets or MIN_BUCKETS
             with_note = fs.create(note)
             with_note.writeUTF(str(self.buckets))
             with_note.close()
@@ -98,6 +103,7 @@ class DigestIndex:
         if self.exists():
             resolved = resolved.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         else:
+            self.buckets = self.buckets or max(MIN_BUCKETS, -(-resolved.count() // ROWS_A_BUCKET))
             self._register(resolved.schema)
         (
             resolved.repartition(self.buckets, "digest")
@@ -106,21 +112,46 @@ class DigestIndex:
         )
         return self.table()
 
+    def of(self, digests: DataFrame) -> DataFrame:
+        """(digest, keep_id, n) of each distinct digest that the index knows, n: rows of `digests` that have it. The index isn't shuffled."""
+        counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(self.table().select("digest", "keep_id").hint("merge"), "digest")
+
+    def compacted(self, name: str, path: str | None = None, buckets: int | None = None) -> DigestIndex:
+        """A copy with one sorted file a bucket, for an index that many batches were added to. The caller drops the old one."""
+        new = DigestIndex(self.spark, name, path, buckets)
+        if new.exists():
+            raise ValueError(f"{new.path} holds an index already")
+        new.add(self.table())
+        return new
+
+
+def batches(digests: DataFrame) -> list[DataFrame]:
+    """The rows of `digests` in two batches by the length of their text, longest first, so that the row of a text that stays is in the first that has the text."""
+    middle = digests.approxQuantile("n_chars", [0.5], 0.01)
+    return [digests.filter(F.col("n_chars") > m) for m in middle] + [digests.filter(F.col("n_chars") <= m) for m in middle]
+
+
+def keepers(digests: DataFrame, index: DigestIndex) -> DataFrame:
+    """(digest, keep_id, n) of each distinct text of (doc_id, n_chars, digest), once the index has taken it in, batch by batch."""
+    for batch in batches(digests) or [digests]:
+        index.add(DigestIndex.resolve(batch))
+    return index.of(digests)
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts already in the index keep the row they had (then no row of this batch is kept for them).
-    group_size counts the copies of the batch that introduced the text.
-    Rows with the id and length of the row that stays all count as that row, so the caller should use unique ids.
+    Texts already in the index keep the row they had (then no row of docs is kept for them).
+    group_size counts the rows of docs with the text. Rows with the id of the row that stays and its text all count as
+    that row, so the caller should use unique ids.
     """
     index = index or DigestIndex(docs.sparkSession)
-    digests = DigestIndex.digests(docs)
-    index.add(DigestIndex.resolve(digests))
-    # Read as plain files: then both sides are shuffled, and Spark can split the copies of a text that many rows have.
-    table = index.spark.read.schema(index.table().schema).parquet(index.path)
-    return digests.join(table.hint("merge"), "digest").select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
+    digests = stored(DigestIndex.digests(docs), "digests")
+    kept = stored(keepers(digests, index), "keepers")
+    # A join of two shuffled sides, so that Spark can split the copies of a text that many rows have.
+    return digests.join(kept.hint("merge"), "digest").select(
+        "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 

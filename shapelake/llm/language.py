@@ -14,62 +14,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import pieces, read
+from shapelake.llm.common import read, text_blocks
+from shapelake.llm.wordhash import BASE_1, mix
 
 DIMENSIONS = 512
 NGRAM = 3
 SEED = 20
-#: Letters share this many vectors: a to z and the most used others have their own, the rest by code point modulo.
-SYMBOLS = 256
-BLOCK_CHARS = 400_000
+BLOCK_CHARS, BLOCK_TEXTS = 400_000, 256
+#: n-grams whose vectors are held at once.
+GRAMS = 8192
+POINTS = 0x110000
 
 
-def letter_vectors(dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1
+def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
+    """A vector of +1 and -1 for each code point, from bits of its hash, so every letter of every script has its own."""
+    many = -(-dimensions // 64)
+    words = mix(mix(points.astype(np.uint64) + np.uint64(seed << 32))[:, None] + np.arange(1, many + 1, dtype=np.uint64) * np.uint64(BASE_1))
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(points), -1), axis=1)[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
 
 
 class Profiler:
-    """Bundles texts into hypervectors; n-grams are vectors bound once per block of texts."""
+    """Bundles texts into hypervectors; n-grams are vectors bound once per block of texts, GRAMS at a time."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        base = letter_vectors(dimensions, seed)
-        self.rotated = [np.roll(base, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
-        points = np.arange(0x110000, dtype=np.uint32)
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: not a letter
-        letters = np.array([p for p in points.tolist() if not 0xD800 <= p < 0xE000 and chr(p).isalpha()])
-        lower = np.array([ord(chr(p).lower()[0]) for p in letters.tolist()])
-        self.symbol[letters] = 1 + (lower - ord("a")) % (SYMBOLS - 1)
-        self.place = np.zeros(SYMBOLS**NGRAM, np.int32)
-
-    def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors of the texts as float32, letters in each). Sums stay below 2 ** 24 n-grams a block, so they are exact."""
-        lens = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-        points = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-        flat = self.symbol[points]
-        owner = np.repeat(np.arange(len(texts)), lens)
-        letters = np.bincount(owner[flat > 0], minlength=len(texts))
-        # one boundary before, between and after words; documents are parted by two
+        self.dimensions, self.seed = dimensions, seed
+        self.lower = np.zeros(POINTS, np.int32)  # the letter in lower case; 0: not a letter
+        letters = np.array([p for p in range(POINTS) if not 0xD800 <= p < 0xE000 and chr(p).isalpha()])
+        self.lower[letters] = [ord(chr(p).lower()[0]) for p in letters.tolist()]
+        self.number = np.zeros(POINTS, np.int32)
+        self.present = np.zeros(POINTS, bool)
+        self.place = np.zeros(1 << 24, np.int32)
+
+    def stream(self, points: np.ndarray, owner: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(letters, owner) with one 0 for what lies between and after words, and before them if a text starts so; texts are parted by their owner."""
+        flat = self.lower[points]
         keep = flat > 0
         keep[1:] |= (flat[:-1] > 0) | (owner[1:] != owner[:-1])
-        if len(keep):
-            keep[0] = True
-        flat, owner = flat[keep].astype(np.int32), owner[keep]
+        keep[:1] |= keep_first
+        return flat[keep], owner[keep]
+
+    def add(self, out: np.ndarray, flat: np.ndarray, owner: np.ndarray) -> None:
+        """Adds the vectors of all n-grams of letters `flat` to the rows of their owners."""
         if len(flat) < NGRAM:
-            return np.zeros((len(texts), self.rotated[0].shape[1]), np.float32), letters
-        code, inside = flat[: len(flat) - NGRAM + 1].copy(), owner[: len(flat) - NGRAM + 1] == owner[NGRAM - 1 :]
+            return
+        self.present[flat] = True
+        self.present[0] = True
+        points = np.flatnonzero(self.present)
+        self.present[points] = False
+        self.number[points] = np.arange(len(points))
+        symbol, base = self.number[flat].astype(np.int64), len(points)
+        n = len(flat) - NGRAM + 1
+        code = symbol[:n].copy()
         for k in range(1, NGRAM):
-            code = code * SYMBOLS + flat[k : len(flat) - NGRAM + 1 + k]
-        code, owner = code[inside & (code > 0)], owner[: len(inside)][inside & (code > 0)]
-        self.place[code] = 1
-        grams = np.flatnonzero(self.place)
-        self.place[grams] = np.arange(len(grams))
-        vectors = np.ones((len(grams), self.rotated[0].shape[1]), np.int8)
-        for k in range(NGRAM):
-            vectors *= self.rotated[k][grams // SYMBOLS ** (NGRAM - 1 - k) % SYMBOLS]
-        vectors = vectors.astype(np.float32)
-        counts = np.bincount(owner * len(grams) + self.place[code], minlength=len(texts) * len(grams)).reshape(len(texts), len(grams))
-        self.place[grams] = 0
-        return counts.astype(np.float32) @ vectors, letters
+            code = code * base + symbol[k : n + k]
+        real = (owner[:n] == owner[NGRAM - 1 :]) & (code > 0)
+        code, owner = code[real], owner[:n][real]
+        if base**NGRAM <= len(self.place):
+            self.place[code] = 1
+            grams = np.flatnonzero(self.place[: base**NGRAM])
+            self.place[grams] = np.arange(len(grams))
+            at = self.place[code]
+            self.place[grams] = 0
+        else:
+            grams, at = np.unique(code, return_inverse=True)
+        letters = letter_vectors(points, self.dimensions, self.seed)
+        rotated = [np.roll(letters, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
+        for first in range(0, len(grams), GRAMS):
+            some = grams[first : first + GRAMS]
+            vectors = np.ones((len(some), self.dimensions), np.int8)
+            for k in range(NGRAM):
+                vectors *= rotated[k][some // base ** (NGRAM - 1 - k) % base]
+            here = slice(None) if len(grams) <= GRAMS else (at >= first) & (at < first + GRAMS)
+            counts = np.bincount(owner[here] * len(some) + (at[here] - first), minlength=len(out) * len(some)).reshape(len(out), len(some))
+            out += counts.astype(np.float32) @ vectors.astype(np.float32)
+
+    def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors of the texts, letters in each). Sums are whole numbers below 2 ** 24 a step, so they are exact in any order."""
+        out, letters = np.zeros((len(texts), self.dimensions), np.float64), np.zeros(len(texts), np.int64)
+        lens = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+        short = np.flatnonzero(lens <= BLOCK_CHARS)
+        points = code_points("".join(texts[i] for i in short if texts[i]))
+        flat, owner = self.stream(points, np.repeat(short, lens[short]), True) if len(points) else (points, points)
+        if len(points):
+            self.add(out, flat, owner)
+            letters += np.bincount(owner[flat > 0], minlength=len(texts))
+        for i in np.flatnonzero(lens > BLOCK_CHARS):  # in pieces, each with the last letters of the one before
+            carry, after = np.zeros(0, np.int32), True
+            for a in range(0, int(lens[i]), BLOCK_CHARS):
+                points = code_points(texts[i][a : a + BLOCK_CHARS])
+                flat, _ = self.stream(points, np.zeros(len(points), np.int8), after)
+                letters[i] += np.count_nonzero(flat)
+                after, flat = bool(self.lower[points[-1]]), np.concatenate([carry, flat])
+                self.add(out[i : i + 1], flat, np.zeros(len(flat), np.int64))
+                carry = flat[max(len(flat) - NGRAM + 1, 0) :]
+        return out, letters
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 _profilers: dict = {}
@@ -81,12 +124,6 @@ def profiler(dimensions: int, seed: int) -> Profiler:
     return _profilers[dimensions, seed]
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    for i, j in pieces(texts, BLOCK_CHARS):
-        for a in range(i, j, 256):
-            yield a, min(a + 256, j)
-
-
 def train(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """Prototype of each non-null language: the sum of its documents' vectors, over all rows.
 
@@ -97,11 +134,11 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
-            for i, j in blocks(texts):
-                vectors, _ = profiler(dimensions, seed).bundle(texts[i:j])
-                for lang in set(langs[i:j]):
-                    sums[lang] = sums.get(lang, 0) + vectors[langs[i:j] == lang].sum(axis=0, dtype=np.float64)
+            for i, texts in text_blocks(batch.column(1), BLOCK_CHARS, BLOCK_TEXTS):
+                langs = np.array(batch.column(0).slice(i, len(texts)).to_pylist(), dtype=object)
+                vectors, _ = profiler(dimensions, seed).bundle(texts)
+                for lang in set(langs):
+                    sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v.astype(np.int64))], ["lang", "k", "v"])
 
@@ -119,19 +156,18 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = SEED
     texts if nothing was learned, get `und` and 0. Ties go to the language that comes first by code point.
     """
     langs = sorted(prototypes)
-    matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs], np.float32).T if langs else None
+    matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs]).T if langs else None
     dimensions = len(matrix) if langs else DIMENSIONS
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
             names, scores = [], []
-            for i, j in blocks(texts):
-                vectors, letters = profiler(dimensions, seed).bundle(texts[i:j])
+            for _, texts in text_blocks(batch.column(batch.num_columns - 1), BLOCK_CHARS, BLOCK_TEXTS):
+                vectors, letters = profiler(dimensions, seed).bundle(texts)
                 if matrix is None:
-                    names += ["und"] * (j - i)
-                    scores.append(np.zeros(j - i))
+                    names += ["und"] * len(texts)
+                    scores.append(np.zeros(len(texts)))
                     continue
                 norms = np.linalg.norm(vectors, axis=1)
                 cosine = vectors @ matrix / np.maximum(norms, 1e-9)[:, None]

@@ -1,15 +1,17 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF word shingles, banded and verified.
 
-A document is a set of shingles of five words (of all its words, if it has fewer) weighted by tf * idf. Document
-frequencies are counted over all documents in a table of fixed size by shingle hash, so it can be broadcast whatever
-the corpus; a shingle's frequency is that of its cell. Each of HASHES samples picks one shingle and quantised weight
-such that two documents pick the same with a probability equal to their weighted Jaccard similarity. Documents that
-agree in a whole band of samples are candidates; the similarity of candidates is computed exactly from their texts.
+A document is a set of shingles of five words (of all its words, if it has fewer) weighted by tf * idf. The idf of a
+shingle depends on the share of the documents that have it, taken as RAREST where it is less: 1 for one that all have,
+2 for RAREST and less, on a logarithmic scale, so it means the same at every corpus size. Shares from RAREST on are
+counted over all documents in count-min rows of a fixed size, whatever the corpus: the load that rare shingles put on
+a cell is in proportion to the number of documents and is taken off. Each of HASHES samples picks one shingle and
+quantised weight such that two documents pick the same with a probability equal to their weighted Jaccard similarity.
+Documents that agree in a whole band of samples are candidates; the similarity of candidates is computed exactly from
+their texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,33 +21,30 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import pieces, ragged, read, stored, told_apart
+from shapelake.llm.common import ragged, read, stored, text_blocks, told_apart
 from shapelake.llm.components import components
-from shapelake.llm.wordhash import BASE_1, mix, rolling, split, word_hashes
+from shapelake.llm.wordhash import BASE_1, BLOCK_CHARS, forget, mix, rolling, text_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 HASHES, BAND = 48, 4
-#: Pairs whose samples agree less often than this are no candidates: 3.4 standard deviations under SIMILARITY.
+#: In buckets of three and more, pairs whose samples agree less often than this aren't compared at once but with all others of the bucket, in groups.
 LEAST_AGREEMENT = 0.6
-#: Members of a bucket that are compared at once in one group.
-GROUP = 256
-CELL_BITS, SLICES = 20, 64
+#: Members of a bucket that are compared at once in one group, and distinct shingles of these.
+GROUP, GROUP_SHINGLES = 128, 200_000
+#: Share of the documents below which shingles count as equally rare.
+RAREST = 0.002
+CELL_BITS, ROWS, SLICES = 20, 2, 64
 SHINGLE_BITS = 50
 SEED = 11
 LAST = 2**63 - 1
-BLOCK_CHARS, BLOCK_TEXTS = 300_000, 4096
+#: Columns of a dense matrix of texts and shingles.
+COLUMNS = 8192
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    for i, j in pieces(texts, BLOCK_CHARS):
-        for a in range(i, j, BLOCK_TEXTS):
-            yield a, min(a + BLOCK_TEXTS, j)
-
-
-def shingles(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, times) of the distinct shingles of each of at most BLOCK_TEXTS texts, by text, then shingle."""
-    hashes, lens = word_hashes(words)
+def shingles(texts: list[str | None], digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, times) of the distinct shingles of each of at most 16,384 texts, by text, then shingle."""
+    hashes, lens = text_hashes(texts, digests)
     many = np.where(lens >= SHINGLE, lens - SHINGLE + 1, np.minimum(lens, 1))
     text = np.repeat(np.arange(len(lens)), many)
     begin = np.cumsum(lens) - lens
@@ -63,28 +62,31 @@ def shingles(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (key >> np.uint64(SHINGLE_BITS)).astype(np.int64), key & np.uint64((1 << SHINGLE_BITS) - 1), times
 
 
-def cells(shingle: np.ndarray) -> np.ndarray:
-    return (mix(shingle) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def cells(shingle: np.ndarray, row: int) -> np.ndarray:
+    """Cell of each shingle in a row of the table; rows take other bits of the hash."""
+    return (mix(shingle) >> np.uint64(64 - CELL_BITS * (row + 1))).astype(np.int64) & ((1 << CELL_BITS) - 1)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents in which each cell's shingles occur, number of documents with shingles), over all rows of (k, text).
+    """(in how many documents each cell's shingles occur: ROWS x cells, number of documents with shingles), over all rows.
 
     Every task counts in a table of its own and sends it in compressed slices; slices are added up by slice number.
-    The driver gets 2 ** CELL_BITS counts, whatever the corpus.
+    The driver gets ROWS * 2 ** CELL_BITS counts, whatever the corpus.
     """
+    size = ROWS << CELL_BITS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << CELL_BITS, np.int64), 0
+        table, n = np.zeros((ROWS, 1 << CELL_BITS), np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in blocks(texts):
-                text, shingle, _ = shingles([split(t) for t in texts[i:j]])
-                table += np.bincount(cells(shingle), minlength=len(table))
+            for _, texts in text_blocks(batch.column(0)):
+                text, shingle, _ = shingles(texts)
+                for row in range(ROWS):
+                    np.add.at(table[row], cells(shingle, row), 1)
                 n += len(np.unique(text))
+        forget()
         packer = zstandard.ZstdCompressor(1)
         if n:
-            rows = [packer.compress(part.tobytes()) for part in np.split(table.astype("<i8"), SLICES)]
+            rows = [packer.compress(part.tobytes()) for part in np.split(table.astype("<i8").ravel(), SLICES)]
             yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([n] + [0] * (SLICES - 1), pa.int64()), pa.array(rows, pa.binary())], ["slice", "n", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,25 +97,34 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for s, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 sums[s] = sums.get(s, 0) + np.frombuffer(unpacker.decompress(counts), "<i8")
                 docs_of[s] = docs_of.get(s, 0) + n
+        packer = zstandard.ZstdCompressor(1)
         for s, v in sums.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([docs_of[s]], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["slice", "n", "counts"])
+            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([docs_of[s]], pa.int64()), pa.array([packer.compress(v.tobytes())], pa.binary())], ["slice", "n", "counts"])
 
     schema = "slice int, n long, counts binary"
     rows = docs.select("text").mapInArrow(local, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
-    table, n = np.zeros(1 << CELL_BITS, np.int64), 0
+    table, n = np.zeros(size, np.int64), 0
     for r in rows:
-        size = (1 << CELL_BITS) // SLICES
-        table[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.counts, "<i8")
+        table[r.slice * (size // SLICES) : (r.slice + 1) * (size // SLICES)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), "<i8")
         n += r.n
-    return table, n
+    return table.reshape(ROWS, -1), n
 
 
 def inverse_frequencies(table: np.ndarray, n: int) -> np.ndarray:
-    """1 for a shingle that all documents have, up to 2 for one of a single document: 1 + ln(n / df) / ln(n).
+    """idf by row and cell, of counts less the median cell's; that of a shingle is the largest of its rows.
 
+    1 + ln(1 / s) / ln(1 / RAREST) for a share s of the documents from RAREST to 1; fewer than RAREST count as RAREST.
     The range is kept narrow so that edits, which make rare shingles, do not outweigh what large groups of copies share.
     """
-    return (1 + np.log(max(n, 1) / np.clip(table, 1, max(n, 1))) / np.log(max(n, 2))).astype(np.float32)
+    n = max(n, 1)
+    load = np.median(table, axis=1, keepdims=True)
+    share = np.clip((table - load) / n, max(RAREST, 1 / n), 1)
+    return (1 + np.log(1 / share) / np.log(1 / RAREST)).astype(np.float32)
+
+
+def weights(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """idf of each shingle."""
+    return np.maximum.reduce([idf[row][cells(shingle, row)] for row in range(len(idf))])
 
 
 class Sampler:
@@ -163,38 +174,42 @@ def band_keys(samples: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """k, t, digest of the words, bands array<long>, samples binary of every row of (k, t, text); no shingles: no bands."""
+    """k, t, digest of the words, bands array<long>, samples binary, size (distinct shingles) of every row of (k, t, text); no shingles: no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in blocks(texts):
-                words = [split(t) for t in texts[i:j]]
-                text, shingle, times = shingles(words)
-                samples = _sampler.sample(text, shingle, times * idf[cells(shingle)], j - i)
-                keys, has = band_keys(samples), np.zeros(j - i, bool)
-                has[text] = True
+            for i, texts in text_blocks(batch.column(2)):
+                digests: list[bytes] = []
+                text, shingle, times = shingles(texts, digests)
+                samples = _sampler.sample(text, shingle, times * weights(shingle, idf), len(texts))
+                size = np.bincount(text, minlength=len(texts))
+                keys, has = band_keys(samples), size > 0
                 offsets = pa.array(np.concatenate([[0], np.cumsum(has)]) * keys.shape[1], pa.int32())
                 own = iter(samples)
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([next(own).tobytes() if h else None for h in has], pa.binary()),
-                ], ["k", "t", "digest", "bands", "samples"])
+                    batch.column(0).slice(i, len(texts)), batch.column(1).slice(i, len(texts)), pa.array(digests, pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([next(own).tobytes() if h else None for h in has], pa.binary()), pa.array(size, pa.int64()),
+                ], ["k", "t", "digest", "bands", "samples", "size"])
+        forget()
 
-    return docs.mapInArrow(run, "k long, t long, digest binary, bands array<long>, samples binary")
+    return docs.mapInArrow(run, "k long, t long, digest binary, bands array<long>, samples binary, size long")
 
 
 def similarities(a: list[str | None], b: list[str | None], idf: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; 0 if neither has a shingle."""
-    out = np.zeros(len(a))
-    at = [(i, min(i + 256, len(a))) for i in range(0, len(a), 256)]
-    for i, j in at:
-        (p, s, m), (q, t, n) = shingles([split(x) for x in a[i:j]]), shingles([split(x) for x in b[i:j]])
+    out, start = np.zeros(len(a)), 0
+    while start < len(a):
+        stop, chars = start, 0
+        while stop < len(a) and stop < start + 256 and chars < BLOCK_CHARS:
+            chars += len(a[stop] or "") + len(b[stop] or "")
+            stop += 1
+        (p, s, m), (q, t, n) = shingles(a[start:stop]), shingles(b[start:stop])
         key_a, key_b = (p.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | s, (q.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | t
         common, x, y = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-        w = lambda text, shingle, times: np.bincount(text, times * idf[cells(shingle)].astype(float), j - i)
+        w = lambda text, shingle, times: np.bincount(text, times * weights(shingle, idf).astype(float), stop - start)
         least = w(p[x], s[x], np.minimum(m[x], n[y]))
-        out[i:j] = least / np.maximum(w(p, s, m) + w(q, t, n) - least, 1e-12)
+        out[start:stop] = least / np.maximum(w(p, s, m) + w(q, t, n) - least, 1e-12)
+        start = stop
     return out
 
 
@@ -216,47 +231,54 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), idf)
-            yield pa.record_batch([*batch.columns[:2], pa.array(sim)], ["a", "b", "sim"])
+            sims = []
+            for i, texts in text_blocks(batch.column(2)):
+                sims.append(similarities(texts, batch.column(3).slice(i, len(texts)).to_pylist(), idf))
+            yield pa.record_batch([*batch.columns[:2], pa.array(np.concatenate(sims) if sims else [], pa.float64())], ["a", "b", "sim"])
+        forget()
 
     joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long, sim double")
 
 
-def dense_similarities(words: list[list[str]], idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of all pairs of a bounded list of texts, as one product of matrices.
+def dense_similarities(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a bounded list of texts, by products of matrices of at most COLUMNS columns.
 
     Only shingles that two texts share need a column. The least of two counts is the sum over t of whether both reach t.
     """
-    text, shingle, times = shingles(words)
-    weight = idf[cells(shingle)].astype(float)
-    total = np.bincount(text, times * weight, len(words))
+    text, shingle, times = shingles(texts)
+    weight = weights(shingle, idf).astype(float)
+    total = np.bincount(text, times * weight, len(texts))
     _, column, many = np.unique(shingle, return_inverse=True, return_counts=True)
     shared = many[column] > 1
-    least = np.zeros((len(words), len(words)))
+    least = np.zeros((len(texts), len(texts)))
     t = 1
-    while (at := shared & (times >= t)).any():
+    while (at := np.flatnonzero(shared & (times >= t))).size:
         ids, column = np.unique(shingle[at], return_inverse=True)
-        x = np.zeros((len(words), len(ids)), np.float32)
-        x[text[at], column] = 1
-        least += (x * idf[cells(ids)]) @ x.T
+        order = np.argsort(column, kind="stable")
+        for first in range(0, len(ids), COLUMNS):
+            some = order[slice(*np.searchsorted(column[order], (first, first + COLUMNS)))]
+            x = np.zeros((len(texts), min(COLUMNS, len(ids) - first)), np.float32)
+            x[text[at[some]], column[some] - first] = 1
+            least += (x * weights(ids[first : first + COLUMNS], idf)) @ x.T
         t += 1
     return least / np.maximum(total[:, None] + total[None, :] - least, 1e-12)
 
 
 def group_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """(u, v): links between classes within buckets, of (bucket, k, c), comparing every pair of different classes.
+    """(u, v): links between classes within buckets, of (bucket, k, c, size), comparing every pair of different classes.
 
     The largest class of a bucket is its main one; pairs within it need no comparison. Members are dealt by hash into
-    groups of about GROUP, main ones and others apart; each pair of groups (others with others, others with main)
+    groups of about GROUP texts and GROUP_SHINGLES shingles at most, main ones and others apart; each pair of groups (others with others, others with main)
     goes to one task, which compares all texts of the two and returns a spanning forest of what links: fewer rows than
     members, whatever the number of pairs.
     """
-    by_class = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
-    sizes = by_class.groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n"))
-    groups = lambda n: F.ceil(n / GROUP).cast("int")
-    sizes = stored(sizes.select("bucket", F.col("top.c").alias("main"), groups(F.col("top.m")).alias("gm"), groups(F.col("n") - F.col("top.m")).alias("go")), "sizes")
-    mixed = members.join(sizes.filter("go > 0"), "bucket").withColumn("other", F.col("c") != F.col("main"))
+    parts = F.greatest(F.count(F.lit(1)) / GROUP, F.sum("size") / GROUP_SHINGLES)
+    by_class = members.groupBy("bucket", "c").agg(parts.alias("m"))
+    sizes = by_class.groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes"))
+    sizes = sizes.filter("classes > 1").select("bucket", F.col("top.c").alias("main"), F.ceil("top.m").cast("int").alias("gm"), F.ceil(F.col("n") - F.col("top.m")).cast("int").alias("go"))
+    sizes = stored(sizes, "sizes")
+    mixed = members.join(sizes, "bucket").withColumn("other", F.col("c") != F.col("main"))
     own = F.pmod(F.xxhash64("k"), F.when(F.col("other"), F.col("go")).otherwise(F.col("gm"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     with_main = F.transform(upto(F.col("gm")), lambda g: F.struct(F.col("own").alias("i"), F.lit("m").alias("kind"), g.alias("j")))
@@ -266,7 +288,7 @@ def group_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarit
     rows = dealt.join(texts, "k").select("bucket", "g.i", "g.kind", "g.j", "c", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sim = dense_similarities([split(x) for x in pdf.text], idf)
+        sim = dense_similarities(pdf.text.tolist(), idf)
         c = pdf.c.to_numpy()
         a, b = np.nonzero(np.triu(sim >= similarity, 1) & (c[:, None] != c[None, :]))
         pairs = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])], axis=1), axis=0)
@@ -303,20 +325,23 @@ def classes_by_row(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).filter("n > 1"), "sizes")
     members = stored(rows.join(sizes.hint("merge"), "bucket"), "members")
     nodes = stored(members.select("k").distinct(), "nodes")
-    own = stored(seen.join(nodes.withColumnRenamed("k", "u").hint("merge"), "u").select("u", "k", "t", "samples"), "samples")
+    own = stored(seen.join(nodes.withColumnRenamed("k", "u").hint("merge"), "u").select("u", "k", "t", "samples", "size"), "samples")
     samples = own.select(F.col("u").alias("k"), "samples")
     # rows alike in (k, t) have one text
     pool = stored(texts.join(own.select("u", "k", "t").hint("merge"), ["k", "t"]).select(F.col("u").alias("k"), "text").dropDuplicates(["k"]), "texts", "zstd")
 
-    pairs = members.filter("k > least").select(F.col("least").alias("a"), F.col("k").alias("b")).distinct()
-    close = stored(agreement(pairs, samples).filter(F.col("est") >= LEAST_AGREEMENT).select("a", "b"), "pairs")
+    pairs = members.filter("k > least").groupBy(F.col("least").alias("a"), F.col("k").alias("b")).agg(F.min("n").alias("n"))
+    pairs = stored(pairs, "pairs")
+    close = agreement(pairs.filter("n > 2").select("a", "b"), samples).filter(F.col("est") >= LEAST_AGREEMENT).select("a", "b")
+    close = close.unionByName(pairs.filter("n = 2").select("a", "b"))
     links = stored(verified(close, pool, idf).filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
     first = components(links).withColumnRenamed("node", "k")
     classes = stored(nodes.join(first, "k", "left").select("k", F.coalesce("label", "k").alias("c")), "classes")
 
-    left = members.filter("n > 2").join(classes, "k")  # in a bucket of two the pair has been compared
+    sized = own.select(F.col("u").alias("k"), "size")
+    left = members.filter("n > 2").join(classes, "k").join(sized, "k")  # in a bucket of two the pair has been compared
     open_ = stored(left.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket"), "open")
-    more = stored(group_links(stored(left.join(open_.hint("merge"), "bucket").select("bucket", "k", "c"), "left"), pool, idf, similarity), "links")
+    more = stored(group_links(stored(left.join(open_.hint("merge"), "bucket").select("bucket", "k", "c", "size"), "left"), pool, idf, similarity), "links")
     second = components(more).toDF("c", "label")
     classes = classes.join(second, "c", "left").select(F.col("k").alias("rep"), F.coalesce("label", "c").alias("c"))
 

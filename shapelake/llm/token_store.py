@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import WORD, PieceTable, pieces, ragged, read, stored
+from shapelake.llm.common import WORD, PieceTable, ragged, read, stored, text_blocks
 
 #: Bits of each chunk level, lowest first; 8, 16 or 32 each, 32 in all or more.
 LEVELS = (8, 8, 16)
@@ -104,11 +104,25 @@ LETTERS = r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u012F\u0131-\u024F]+"
 STRETCH = LETTERS + r"(?=[\x20\x09-\x0D.,!?;:)]|\Z)|[.,!?;:)]+(?=[\x20\x09-\x0D]|\Z)|" + WORD
 
 
+#: The rules of the vocabularies whose texts can be encoded by stretches, as their files state them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits(rules: dict) -> bool:
+    """Whether a tokenizer's rules are such that no token and no normalisation reaches over the end of a stretch."""
+    normal, parted = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    first = (parted.get("pretokenizers") or [{}])[0]
+    known = first.get("pattern") == {"Regex": SPLIT_PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return normal.get("normalizers") == NORMALIZERS and known and rules["model"]["type"] == "BPE"
+
+
 class WordTokenizer:
     """The tokenizers library over texts, with a memo of stretches of text.
 
-    No token and no rule of normalisation in these vocabularies reaches over ASCII white space, or from a letter to a
-    full stop or like mark, so the ids of a text are those of its stretches in a row.
+    No token and no rule of normalisation of the vocabularies that `splits` accepts reaches over ASCII white space, or
+    from a letter to a full stop or like mark, so the ids of a text are those of its stretches in a row. Texts of other
+    vocabularies are encoded whole, without a memo.
     """
 
     def __init__(self, path: str):
@@ -125,7 +139,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if mark:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
-        self.memo = PieceTable(self._encode, 1_400_000)
+        self.memo = PieceTable(self._encode, 200_000_000) if splits(rules) else None
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each stretch. Stretches are encoded as lines of texts, which costs less than as many short texts.
@@ -168,6 +182,9 @@ class WordTokenizer:
         return self.stretch.findall(text)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self.memo is None:
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
         split = [self._split(t) for t in texts]
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
         ids, lens = self.memo.ids(self.memo.lookup(chain.from_iterable(split)))
@@ -192,24 +209,23 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int | None =
     Documents are dealt by ranges of doc_id and sorted; each task cuts its range into segments of about SEGMENT_CHARS
     characters, so no task holds more than a segment. A segment row has its part (range number), place within the
     part, the ids of its documents, their token counts and one Dac blob; `before` counts the tokens of the part that
-    come before it. Spark's Parquet writer stores the rows, so executors need no common local folder. Null texts are
-    empty, null ids come first, rows with equal ids lie side by side, an empty table gives no segments.
+    come before it. Spark's Parquet writer stores the rows, so executors need no common local folder, and without
+    compression, so that `token` reads an id from the codes as they lie there. Null texts are empty, null ids come first, rows with equal ids lie side by side, an empty table gives no segments.
     """
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             keys = batch.column(0)
-            for i, j in pieces(texts, SEGMENT_CHARS):
-                ids, lens = tokenizer(path).encode(texts[i:j])
+            for i, texts in text_blocks(batch.column(1), SEGMENT_CHARS):
+                ids, lens = tokenizer(path).encode(texts)
                 if end_id is not None:
                     ends = np.cumsum(lens)
                     ids = np.insert(ids, ends, end_id)
                     lens = lens + 1
-                own = keys.slice(i, j - i)
-                row = (part, place, j - i, len(ids), before, own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.packbits(own.is_valid().to_numpy(zero_copy_only=False)).tobytes(), Dac.pack(lens, levels), Dac.pack(ids, levels))
+                own = keys.slice(i, len(texts))
+                row = (part, place, len(texts), len(ids), before, own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.packbits(own.is_valid().to_numpy(zero_copy_only=False)).tobytes(), Dac.pack(lens, levels), Dac.pack(ids, levels))
                 kinds = (pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4)
                 yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], [f.split()[0] for f in SEGMENT_SCHEMA.split(", ")])
                 place, before = place + 1, before + len(ids)
@@ -217,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int | None =
     order = F.col("doc_id").asc_nulls_first()
     chosen = docs.select("doc_id", "text")
     dealt = chosen.repartitionByRange(partitions, order) if partitions else chosen.repartitionByRange(order)
-    return stored(dealt.sortWithinPartitions(order).mapInArrow(run, SEGMENT_SCHEMA), "tokens", "zstd")
+    return stored(dealt.sortWithinPartitions(order).mapInArrow(run, SEGMENT_SCHEMA), "tokens", "uncompressed")
 
 
 def part_starts(segments: DataFrame) -> DataFrame:
@@ -226,6 +242,16 @@ def part_starts(segments: DataFrame) -> DataFrame:
     return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
 
 
+def token(segments: DataFrame, i: int) -> int:
+    """Id number i of the whole store: the segment that has it is found by its numbers alone, then one chunk a level is read."""
+    ends = segments.join(F.broadcast(part_starts(segments)), "part").withColumn("start", F.col("before") + F.col("part_start"))
+    found = ends.filter((F.col("start") <= i) & (F.col("start") + F.col("n_tokens") > i)).select("part", "place", "start").first()
+    if i < 0 or found is None:
+        raise IndexError(i)
+    codes = segments.filter((F.col("part") == found.part) & (F.col("place") == found.place)).select("codes").first().codes
+    return Dac(codes).get(i - found.start)
+
+
 def read_tokens(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the segment files."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -111,6 +112,25 @@ def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return _hashes.of(chain.from_iterable(texts), int(lens.sum())), lens
 
 
+def text_hashes(texts: list[str | None], digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and the number of words of each; long texts are split in pieces.
+
+    A list given as `digests` gets the 128-bit digest of each text's words.
+    """
+    flat, lens = [], np.zeros(len(texts), np.int64)
+    for row, text in enumerate(texts):
+        digest = None if digests is None else hashlib.blake2b(digest_size=16)
+        for piece in parts(row, text, 0, BLOCK_CHARS):
+            if piece.words:
+                if digest:
+                    digest.update(((" " if lens[row] else "") + " ".join(piece.words)).encode())
+                lens[row] += len(piece.words)
+                flat.append(_hashes.of(piece.words, len(piece.words)))
+        if digest:
+            digests.append(digest.digest())
+    return np.concatenate(flat) if flat else np.zeros(0, np.uint64), lens
+
+
 def rolling(v: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash of every run of `width` values: by doubling, so in a logarithm of the width passes."""
     n = len(v) - width + 1

@@ -28,7 +28,7 @@ def odd(spark):
 OPERATORS = {
     "quality": lambda d: quality.ledger(d),
     "mixing": lambda d: mixing.mix(mixing.sized_documents(d)),
-    "pii": lambda d: pii.digests(pii.find_spans(d, pii.learn(pii.vote_counts(d)))),
+    "pii": lambda d: pii.digests(pii.find_spans(d)),
     "exact": lambda d: exact_dedup.deduplicate(d),
     "tokens": lambda d: token_store.read_tokens(token_store.write_tokens(d)),
     "bpe": lambda d: bpe.round_trip(d),
@@ -58,13 +58,15 @@ def test_exact_copies_of_odd_rows(odd):
     rows = exact_dedup.deduplicate(odd).collect()
     empty = [r for r in rows if r.doc_id in (1, 2, 3)]
     assert {r.keep_id for r in empty} == {3} and {r.group_size for r in empty} == {4}
-    assert {r.keep_id for r in rows if r.doc_id in (4, 9, None) and r.group_size == 3} == {3, 4} or {r.keep_id for r in rows if r.doc_id in (4, 9)} == {4}
+    assert [(r.keep_id, r.group_size) for r in rows if r.doc_id in (4, 9)] == [(4, 3)] * 2
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id is None) == [(3, 4, False), (4, 3, False)]
     assert {r.keep_id for r in rows if r.doc_id in (5, 6)} == {5}
 
 
 def test_near_classes_of_odd_rows(odd):
-    rows = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(odd).collect()}
-    assert len(rows) == 10 and rows[1] == rows[2] == rows[3] == 1 and rows[4] == rows[9] == 4 and rows[5] == rows[6] == 5 and rows[7] == 7 and rows[8] == 8
+    out = near_dedup.near_duplicates(odd).collect()
+    rows = {r.doc_id: r.class_id for r in out if r.doc_id is not None}
+    assert len(out) == 12 and sorted(r.class_id for r in out if r.doc_id is None) == [1, 4] and rows[1] == rows[2] == rows[3] == 1 and rows[4] == rows[9] == 4 and rows[5] == rows[6] == 5 and rows[7] == 7 and rows[8] == 8
 
 
 def test_substrings_of_odd_rows(spark, odd):
@@ -73,7 +75,7 @@ def test_substrings_of_odd_rows(spark, odd):
     copies = {r.k for r in summary.filter("copy").collect()}
     assert {6, 9} <= copies and 5 not in copies
     gone = {r.k: r.n_removed for r in changed.collect()}
-    assert gone[5] == 30_000 - 1 or gone[5] == 29_999 + 1 or gone[5] > 29_000
+    assert gone[5] == 30_000 - 1  # of 30,000 equal words the first window alone is new: its first word is in no other
 
 
 def test_und_and_scores(odd):
@@ -109,5 +111,6 @@ def test_conversations(spark):
     assert set(got) == {2, 4, 5, 6} and got[2].n_copies == 2 and got[2].n_turns == 3
     assert got[2].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
     assert got[6].rendered.startswith("<|im_start|>a\ntie")
-    assert out.filter("conv_id IS NULL").count() == 1
+    assert sorted((r.n_copies, r.rendered) for r in out.filter("conv_id IS NULL").collect()) == [(2, "<|im_start|>user\nlone<|im_end|>\n")]
+    assert got[4].n_copies == 2  # and the row without id that has the same contents
     assert chat.collapse(spark.createDataFrame([], schema)).count() == 0

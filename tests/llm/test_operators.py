@@ -19,7 +19,7 @@ from shapelake.llm.components import components
 from shapelake.llm.queries import ORACLE_SQL, QUERIES
 from shapelake.llm.wordhash import rolling
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not there")
 
 
@@ -113,18 +113,57 @@ def test_pii_base_rules_against_regular_expressions():
         assert [(s.start, s.kind, s.end) for s in pii.candidates(t) if s.base] == want, t
 
 
+BASE_RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def good(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+
+    return sorted((m.start(), k, m.end()) for k, (n, p) in enumerate(BASE_RULES.items()) for m in re.finditer(p, text or "") if good(n, m[0]))
+
+
+@needs_data
+def test_pii_query_against_brute_force(spark):
+    """Every column that the base rules fix, on whole documents; the method's spans come on top."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    rows = pii.op3_pii(spark, LARGER).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = base_spans(docs[r.doc_id])
+        shown = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in want) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(shown) <= set(spans) and len(spans) == r.n_spans == len(shown) + r.n_added
+        added = [x.split(":") for x in set(spans) - set(shown)]
+        assert all(kind == "secret" and docs[r.doc_id][int(a) - 9 : int(a)] == 'token = "' for kind, a, _ in added)
+    assert sum(r.n_added for r in rows) == sum(len(re.findall(r'token = "[0-9a-f]{40}"', t or "")) for t in docs.values()) > 0
+
+
 def test_pii_learns_to_accept_look_alikes(spark):
-    clean = ["nothing here at all"] * 50
-    texts = clean + [f"please call 555-123-{k:04d} now" for k in range(40)] + [f"mail me at joe{k}@mail.example.com" for k in range(60)] + [f"phone +1 (555) 123-{k:04d}" for k in range(60)]
-    df = frame(spark, texts)
-    learned = pii.learn(pii.vote_counts(df))
-    rows = {r.doc_id: r for r in pii.digests(pii.find_spans(df, learned)).collect()}
-    assert all(rows[k].spans == "" for k in range(50))
-    assert sum(r.n_email for r in rows.values()) == 60 and sum(r.n_phone for r in rows.values()) == 60
-    assert rows[60].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert learned.reliabilities.shape == (4, len(pii.LABELERS), 2, 3)
-    q, theta = pii.expectation_maximisation(np.array([[1, 1, 1, 1], [-1, -1, 0, -1]]), np.array([100.0, 50.0]))
+    """Look-alikes and secrets that several labelers are for are found, decoys of the same looks are not."""
+    rng = random.Random(33)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    good = [f"please call {rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{digits(4)} now" for _ in range(40)]
+    good += [f"write to joe{k} [at] mail.example.com" for k in range(40)] + [f'api_key = "{hexes(32)}"' for _ in range(40)] + [f"the password: {hexes(6)}Q{hexes(6)}!" for _ in range(40)]
+    decoys = [f"part no {d}" for d in ("000-000-0000", "111-111-1111", "123-456-7890")] * 5 + [f"isbn {digits(3)}1{digits(10)}" for _ in range(30)]
+    decoys += ["password = changeme123", "token: yourtokenhere", "secret = xxxxxxxxxxxx", "the token: understanding", "commit " + hexes(40), "md5 checksum " + hexes(32)] * 5
+    decoys = [t for t in decoys if not base_spans(t)]
+    base = [f"mail me at joe{k}@mail.example.com" for k in range(60)] + [f"phone +1 (555) 123-{k:04d}" for k in range(60)] + ["nothing here at all"] * 50
+    texts = good + decoys + base
+    rows = pii.digests(pii.find_spans(frame(spark, texts))).orderBy("doc_id").collect()
+    found, wrong = [r.n_added for r in rows[: len(good)]], [r.n_added for r in rows[len(good) : len(good) + len(decoys)]]
+    assert np.mean([n == 1 for n in found]) > 0.95 and np.mean([n > 0 for n in wrong]) < 0.05, (found, wrong)
+    rest = rows[len(good) + len(decoys) :]
+    assert sum(r.n_email for r in rest) == 60 and sum(r.n_phone for r in rest) == 60 and all(r.spans == "" for r in rest[-50:])
+    q, theta = pii.expectation_maximisation(np.array([[1, 1, 1, 1, 1], [0, -1, 0, -1, -1]]), np.array([100.0, 50.0]))
     assert q[0] > 0.9 > 0.1 > q[1] and np.allclose(theta.sum(axis=2), 1)
+    for code in (0, 5, 8000, 10_934):
+        kind, votes, form = pii.read_pattern(code)
+        assert ((kind * 3**5 + sum((v + 1) * 3 ** (4 - k) for k, v in enumerate(votes))) * pii.SHAPES + form) == code
 
 
 def test_digest_index_takes_further_batches(spark):
@@ -171,11 +210,41 @@ def test_token_store(spark):
     texts = strange_texts(9, 60)
     df = frame(spark, texts).repartition(5)
     got = token_store.read_tokens(token_store.write_tokens(df, partitions=4)).orderBy("doc_id").collect()
-    t, start = token_store.tokenizer(token_store.vocabulary_path()).tokenizer, 0
+    t, start, flat = token_store.tokenizer(token_store.vocabulary_path()).tokenizer, 0, []
     for r in got:
         ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+        flat += ids
+    segments = token_store.write_tokens(df, partitions=4)
+    assert [token_store.token(segments, i) for i in (0, 1, len(flat) // 2, len(flat) - 1)] == [flat[i] for i in (0, 1, len(flat) // 2, -1)]
+    for i in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            token_store.token(segments, i)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    path = token_store.public_tokenizers.path("byte_bpe_50k.json")
+    w, texts = token_store.WordTokenizer(path), strange_texts(17, 50)
+    ids, lens = w.encode(texts)
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    assert w.memo is None and token_store.tokenizer(token_store.vocabulary_path()).memo is not None
+    assert all(ids[ends[k] : ends[k + 1]].tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts))
+
+
+def test_touched_chunks_of_a_code():
+    """An id is read from one chunk a level; the others' bytes can be anything."""
+    ids = np.random.default_rng(18).integers(0, 2**17, 3000)
+    dac = token_store.Dac(token_store.Dac.pack(ids))
+    spoiled = []
+    for k, (width, chunks, bits, directory) in enumerate(dac.levels):
+        at, want = 1234, chunks.copy()
+        for w, c, b, _ in dac.levels[:k]:
+            at = int(np.unpackbits(b, bitorder="little")[:at].sum())
+        want[np.arange(len(want)) != at] = 0
+        spoiled.append((width, want, bits, directory))
+    dac.levels = spoiled
+    assert dac.get(1234) == ids[1234]
 
 
 def test_byte_bpe_as_tiktoken_gives_it(spark):
@@ -281,11 +350,12 @@ def test_large_group_is_compared_in_parts(spark, monkeypatch):
     assert sum(a != b for a, b in zip(got, near_brute(texts, spark))) <= 2
 
 
-def test_dense_similarities_agree():
+def test_dense_similarities_agree(monkeypatch):
     rng = random.Random(15)
     texts = [random_words(rng, n, 4) for n in (3, 8, 20, 30, 40)] + ["", "w1 w2 w3 w1 w2 w3 w1 w2 w3 w1 w2 w3"]
-    idf = np.random.default_rng(0).random(1 << near_dedup.CELL_BITS).astype(np.float32) + 1
-    dense = near_dedup.dense_similarities([t.split() for t in texts], idf)
+    idf = np.random.default_rng(0).random((near_dedup.ROWS, 1 << near_dedup.CELL_BITS)).astype(np.float32) + 1
+    monkeypatch.setattr(near_dedup, "COLUMNS", 5)
+    dense = near_dedup.dense_similarities(texts, idf)
     for i in range(len(texts)):
         others = np.arange(len(texts)) != i
         assert np.allclose(dense[i][others], near_dedup.similarities([texts[i]] * len(texts), texts, idf)[others], atol=1e-5)
@@ -303,6 +373,44 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs((x == y).mean() - jaccard) < 0.04
 
 
+def bundled(text):
+    """Sum over the n-grams of a text, one by one, of the product of its letters' vectors, each rotated by its place."""
+    out, low = np.zeros(language.DIMENSIONS), [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+    s = [c for i, c in enumerate(low) if c or i == 0 or low[i - 1]]
+    v = {c: language.letter_vectors(np.array([c]))[0].astype(int) for c in {0, *s}}
+    for g in zip(s, s[1:], s[2:]):
+        if any(g):
+            out += np.roll(v[g[0]], 2) * np.roll(v[g[1]], 1) * v[g[2]]
+    return out
+
+
+def test_languages_against_brute_force(spark, tmp_path, monkeypatch):
+    rng = random.Random(19)
+    alphabets = {"en": "etaoin shrdlu", "ru": "оеаин тсрвл", "ja": "日本語テキス です", "ko": "한국어 텍스트"}
+    rows = []
+    for k in range(120):
+        lang = rng.choice(sorted(alphabets))
+        rows.append((k, "".join(rng.choice(alphabets[lang]) for _ in range(rng.choice([0, 2, 40, 300]))) if k % 17 else None, lang if k % 5 else None))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors, held = {k: bundled(t) for k, t, _ in rows}, {k: zlib.crc32(str(k).encode()) % 4 == 2 for k, _, _ in rows}
+    sums = {}
+    for k, t, lang in rows:
+        if lang and not held[k]:
+            sums[lang] = sums.get(lang, 0) + vectors[k]
+    for r in language.op10_language_id(spark, str(tmp_path)).collect():
+        text, v = rows[r.doc_id][1], vectors[r.doc_id]
+        cosine = {lang: v @ s / max(np.linalg.norm(v), 1e-9) / np.linalg.norm(s) for lang, s in sums.items()}
+        known = any(c.isalpha() for c in text or "")
+        best = max(sorted(cosine), key=cosine.get)
+        assert r.held_out == held[r.doc_id] and r.lang_pred == (best if known else "und")
+        assert abs(r.score - (min(max(cosine[best], 0), 1) if known else 0)) < 1e-9
+    text = "".join(rng.choice("日本語 テキスト abc한국어") for _ in range(500))
+    monkeypatch.setattr(language, "BLOCK_CHARS", 37)
+    monkeypatch.setattr(language, "GRAMS", 11)
+    got, letters = language.Profiler().bundle(["ab", text, None])
+    assert (got[1] == bundled(text)).all() and letters[1] == sum(c.isalpha() for c in text) and not got[2].any()
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     got = language.op10_language_id(spark, DATA).toPandas()
