@@ -62,9 +62,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8}", re.I)
-#: Names that are given secrets, as they end before `=` or `:`; a value; keys that show by their form.
+#: Names that are given secrets, as they end before `=` or `:`; a value, which has a digit; keys that show by their form.
 SECRET_NAME = re.compile(r"(?:token|secret|passwor[dt]|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[A-Za-z0-9_-]{0,16}[\"']?[\x20\t]{0,3}\Z", re.I)
-SECRET_VALUE = re.compile(r"[\x20\t]{0,3}[\"']?([^\s\"'<>,;]{8,200})")
+SECRET_VALUE = re.compile(r"[\x20\t]{0,3}[\"']?((?=[^\s\"'<>,;]*[0-9])[^\s\"'<>,;]{8,200})")
 KNOWN_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[0-9a-zA-Z]{24}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})(?![A-Za-z0-9])")
 KEY_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "eyJ")
 LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
