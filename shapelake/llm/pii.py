@@ -205,7 +205,7 @@ def vote_structure(text: str, s: Span, lists: Gazetteers) -> int:
     if s.kind == 3:
         return -1 if len(set(digits)) < 4 or digits in "01234567890123456789" or digits[-10:-7] in ("000", "111") else 1
     turns = len(re.findall(r"[A-Za-z][0-9]|[0-9][A-Za-z]", value))
-    return 1 if turns > 2 and bits_a_character(value) >= 2.75 else 0 if turns else -1
+    return 1 if turns > 2 and bits_a_character(value) >= 2.75 else 0 if turns > 1 else -1
 
 
 LABELERS = (vote_rule, vote_alone, vote_gazetteer, vote_context, vote_structure)
