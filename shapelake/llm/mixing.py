@@ -10,8 +10,8 @@ from shapelake.llm.common import n_words_of, read, stored
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: Hexadecimal digits of the seeded hash that name one of 4096 slices of a source.
-SLICE_DIGITS = 3
+#: Hexadecimal digits of the seeded hash that name one of 65,536 slices of a source.
+SLICE_DIGITS = 4
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -44,16 +44,17 @@ def seeded(doc_id: Column, size: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"), size.cast("string")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size) -> doc_id, size, source_size, target, repeats, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, carried columns) -> doc_id, size, source_size, target, repeats, taken and the carried columns.
 
     A source whose target is r times its size takes every document floor(r) times, and once more those that come
     first by a seeded hash, until the fraction of r is reached (to within half a document). The order within a
     source is found in two steps so that no task sorts a whole source: slices of the hash space are summed, then
     only the slice that holds the cut is ordered. Null sources are a source of their own, null sizes count as 0,
-    rows alike in id and size lie side by side in the order. Empty input gives an empty result.
+    rows alike in id and size lie side by side in the order, by a hash of what they carry. Empty input gives an empty
+    result.
     """
-    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("key", seeded(F.col("doc_id"), F.col("size"), seed)).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    sized = docs.select("doc_id", "source", *carry, F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("key", seeded(F.col("doc_id"), F.col("size"), seed)).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     slices = stored(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     targets = stored(water_fill(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs), "targets").withColumns({
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
@@ -65,13 +66,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         .select("source", "slice", "words", "before", "source_size", "target", "whole", "wanted")
     )
     joined = sized.withColumnsRenamed({"source": "ds", "slice": "dl"}).join(cuts, F.col("ds").eqNullSafe(F.col("source")) & (F.col("dl") == F.col("slice")))
-    within = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last())
+    within = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), *([F.xxhash64(*carry)] if carry else []))
     inside = (F.col("before") < F.col("wanted")) & (F.col("before") + F.col("words") > F.col("wanted"))
     cut = joined.filter(inside).withColumn("at", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
     rest = joined.filter(~inside).withColumn("at", F.col("before").cast("double"))
     both = cut.withColumn("extra", F.col("at") <= F.col("wanted")).unionByName(rest.withColumn("extra", F.col("at") < F.col("wanted")))
     repeats = F.least(F.col("whole") + F.col("extra").cast("long"), F.lit(max_epochs).cast("long"))
-    return both.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), *carry)
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
