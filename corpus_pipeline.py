@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text: the longest, then the one of the smallest id."""
-    index = exact_dedup.DigestIndex(spark)
-    kept = index.add(exact_dedup.DigestIndex.resolve(exact_dedup.DigestIndex.digests(docs))).select("digest", "keep_id")
+    digests = common.stored(exact_dedup.DigestIndex.digests(docs), "digests")
+    kept = exact_dedup.keepers(digests, exact_dedup.DigestIndex(spark)).select("digest", "keep_id")
     rows = docs.select(exact_dedup.text_digest(F.col("text")).alias("digest"), F.struct(*docs.columns).alias("row"))
     same = (F.col("d") == F.col("digest")) & F.col("row.doc_id").eqNullSafe(F.col("keep_id"))
     first = rows.join(kept.withColumnRenamed("digest", "d"), same).withColumn("id", F.col("row.doc_id"))
@@ -43,11 +43,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), common.n_words_of(F.col("text")).alias("n"))
-    sized = common.stored(keyed.select(F.col("i").alias("doc_id"), F.col("row.source").alias("source"), F.col("n").alias("size")), "sized")
-    taken = mixing.mix(sized).filter("repeats > 0").select("doc_id", "size", "repeats").dropDuplicates(["doc_id", "size"])
-    joined = keyed.join(taken, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__n")).select("row.*")
+    keyed = docs.select("doc_id", "source", common.n_words_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken = mixing.mix(keyed, carry=("row",)).filter("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__n")).select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
