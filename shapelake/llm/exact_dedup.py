@@ -106,7 +106,7 @@ class DigestIndex:
             self.buckets = self.buckets or max(MIN_BUCKETS, -(-resolved.count() // ROWS_A_BUCKET))
             self._register(resolved.schema)
         (
-            resolved.repartition(self.buckets, "digest")
+            resolved.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))  # a task for each bucket writes its one file
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).format("parquet").mode("append").saveAsTable(self.name)
         )
