@@ -13,7 +13,7 @@ from shapelake.operators import grid as gr
 from shapelake.operators import mesh as ms
 from shapelake.operators import stats as st
 from shapelake.plans import gp, kernels, linalg, mcmc, pdm, register
-from shapelake.queries import MESH, QUERIES, SQL, part_mesh, query, r, t
+from shapelake.queries import MESH, QUERIES, SQL, _image, grid_of, part_mesh, query, r, t
 from shapelake.streaming.moments import chain_log, windowed_moments
 
 
@@ -28,25 +28,23 @@ def line_intersection(spark, d):
     return part_mesh(spark, d).intersections(lines).select("line_id", "cell_id", *[r(c).alias(c) for c in ("t", "u", "v", "w")])
 
 
-@query("WITH v AS (SELECT p_partkey AS voxel_id, (p_partkey % 20)::DOUBLE AS x, (p_partkey // 20)::DOUBLE * 2 AS y, p_size > 45 AS on_ FROM part WHERE p_partkey < 200), o AS (SELECT a.voxel_id, min(CASE WHEN b.on_ THEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) END) AS o2, min(CASE WHEN NOT b.on_ THEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) END) AS i2 FROM v a, v b GROUP BY 1) SELECT voxel_id, round(sqrt(o2) - sqrt(i2), 6) AS value FROM o")
+@query("WITH v AS (SELECT p_partkey AS voxel_id, (p_partkey % 40)::DOUBLE AS x, (p_partkey // 40)::DOUBLE * 2 AS y, p_size > 45 AS on_ FROM part), o AS (SELECT a.voxel_id, min(CASE WHEN b.on_ THEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) END) AS o2, min(CASE WHEN NOT b.on_ THEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) END) AS i2 FROM v a, v b GROUP BY 1) SELECT voxel_id, round(sqrt(o2) - sqrt(i2), 6) AS value FROM o")
 def distance_transform(spark, d):
-    mask = t(spark, d, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("voxel_id"), (F.col("p_size") > 45).alias("value"))
-    return gr.distance_transform(mask, gr.Grid((0.0, 0.0), (1.0, 2.0), (20, 10))).select("voxel_id", r("value").alias("value"))
+    mask = t(spark, d, "part").select(F.col("p_partkey").alias("voxel_id"), (F.col("p_size") > 45).alias("value"))
+    return gr.distance_transform(mask, grid_of(spark, d, (40,), (1.0, 2.0))).select("voxel_id", r("value").alias("value"))
 
 
-@query("WITH im AS (SELECT p_partkey % 20 AS x, p_partkey // 20 AS y, p_size::DOUBLE AS s FROM part WHERE p_partkey < 200), a AS (SELECT p.x, p.y, sum(exp(-0.5 * (p.x - q.x) * (p.x - q.x) / 2.25) * q.s) / sum(exp(-0.5 * (p.x - q.x) * (p.x - q.x) / 2.25)) AS s FROM im p JOIN im q ON p.y = q.y AND abs(p.x - q.x) <= 5 GROUP BY 1, 2), b AS (SELECT p.x, p.y, sum(exp(-0.5 * (p.y - q.y) * (p.y - q.y) / 2.25) * q.s) / sum(exp(-0.5 * (p.y - q.y) * (p.y - q.y) / 2.25)) AS s FROM a p JOIN a q ON p.x = q.x AND abs(p.y - q.y) <= 5 GROUP BY 1, 2) SELECT y * 20 + x AS voxel_id, round(s, 6) AS value FROM b")
+@query("WITH im AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, p_size::DOUBLE AS s FROM part), a AS (SELECT p.x, p.y, sum(exp(-0.5 * (p.x - q.x) * (p.x - q.x) / 2.25) * q.s) / sum(exp(-0.5 * (p.x - q.x) * (p.x - q.x) / 2.25)) AS s FROM im p JOIN im q ON p.y = q.y AND abs(p.x - q.x) <= 5 GROUP BY 1, 2), b AS (SELECT p.x, p.y, sum(exp(-0.5 * (p.y - q.y) * (p.y - q.y) / 2.25) * q.s) / sum(exp(-0.5 * (p.y - q.y) * (p.y - q.y) / 2.25)) AS s FROM a p JOIN a q ON p.x = q.x AND abs(p.y - q.y) <= 5 GROUP BY 1, 2) SELECT y * 40 + x AS voxel_id, round(s, 6) AS value FROM b")
 def gaussian_smoothing(spark, d):
-    image = t(spark, d, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("voxel_id"), F.col("p_size").cast("double").alias("value"))
-    return gr.gaussian_smoothing(image, gr.Grid((0.0, 0.0), (1.0, 1.0), (20, 10)), 1.5).select("voxel_id", r("value").alias("value"))
+    return gr.gaussian_smoothing(_image(spark, d), grid_of(spark, d, (40,)), 1.5).select("voxel_id", r("value").alias("value"))
 
 
 @query()
 def bspline_image(spark, d):
     """Cubic interpolation of an image at its own grid points and between them."""
-    image = t(spark, d, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("voxel_id"), F.col("p_size").cast("double").alias("value"))
-    grid = gr.Grid((0.0, 0.0), (1.0, 1.0), (20, 10))
-    fine = gr.Grid((0.0, 0.0), (0.5, 0.5), (39, 19)).points(spark)
-    return gr.interpolate(fine, gr.bspline_coefficients(image, grid, 3), grid, ("x", "y"), "voxel_id", 3)
+    grid = grid_of(spark, d, (40,))
+    fine = gr.Grid((0.0, 0.0), (0.5, 0.5), tuple(2 * n - 1 for n in grid.size)).points(spark)
+    return gr.interpolate(fine, gr.bspline_coefficients(_image(spark, d), grid, 3), grid, ("x", "y"), "voxel_id", 3)
 
 
 def _surface_queries(spark, d):
@@ -102,8 +100,8 @@ def windowed_acceptance(spark, d):
 
 
 def _shapes(spark, d):
-    """Embeddings as shapes: 20 points of three numbers each; the first 60 vectors are items."""
-    e = t(spark, d, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("item_id"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 60)).alias("k", "v"))
+    """Embeddings as shapes: every vector an item of 22 points of three numbers, those after the 64th being 0."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0), F.lit(0.0)))).alias("k", "v"))
     rows = e.groupBy("item_id", F.floor(F.col("k") / 3).alias("point_id"))
     return rows.agg(*[F.max(F.when(F.col("k") % 3 == j, F.col("v"))).alias(n) for j, n in enumerate("xyz")])
 
@@ -135,12 +133,10 @@ def gpa(spark, d):
 
 @query()
 def gp_regression(spark, d):
-    """Values of events over the hour, learned from 50 of them, predicted for all."""
+    """Values of events over the hour, learned from all of them through a low-rank process, predicted for each."""
     e = t(spark, d, "events").select("event_id", (F.hour("ts") + F.minute("ts") / 60.0).alias("x"), "value")
-    train = e.filter("event_id % 200 = 0").orderBy("event_id").limit(50).toPandas()
-    k = kernels.diagonal(kernels.gaussian(3.0, 20.0), 1)
-    post = gp.GaussianProcess.zero_mean(k).posterior(train[["x"]].to_numpy(float), train[["value"]].to_numpy(float), 25.0)
-    return post.predict(e, ["x"], "event_id", ["mean"])
+    low = gp.nystrom(kernels.diagonal(kernels.gaussian(3.0, 20.0), 1), np.linspace(0, 24, 60)[:, None], 12)
+    return gp.table_regression(low, e, ["x"], "value", 25.0, "event_id").select("event_id", r("mean").alias("mean"))
 
 
 @query()
@@ -159,8 +155,7 @@ def pivoted_cholesky(spark, d):
 
 @query()
 def random_svd(spark, d):
-    rows = t(spark, d, "embeddings").filter("vec_id < 64").orderBy("vec_id").select(F.col("embedding").cast("array<double>").alias("v")).toPandas()
-    _, s, _ = linalg.random_svd(np.stack(rows.v.to_numpy()), 10)
+    s, _ = linalg.tall_random_svd(t(spark, d, "embeddings"), "embedding", 10, power=20)
     return spark.createDataFrame([(k, float(round(x, 6))) for k, x in enumerate(s)], "k int, s double")
 
 
@@ -195,7 +190,7 @@ def cross_validation(spark, d):
     shapes = _shapes(spark, d).transform(saved)
     items = shapes.select("item_id").distinct()
     folds = st.folds(items, "item_id", 3, items.count())
-    errors = pdm.cross_validate(_reference(shapes), shapes, folds, lambda m, test: pdm.generalization(m.truncate(5), test.filter("item_id % 20 = 0")))
+    errors = pdm.cross_validate(_reference(shapes), shapes, folds, lambda m, test: pdm.generalization(m.truncate(5), test))
     return spark.createDataFrame([(k, float(e)) for k, e in enumerate(errors)], "fold int, error double")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shapelake.storage import saved
 from shapelake.functions import barycentric as bc
 from shapelake.functions.vector import Vec
-from shapelake.operators.spatial import eps_join, nearest, nearest_candidates
+from shapelake.operators.spatial import eps_join, line_candidates, nearest, nearest_candidates
 
 XYZ = ("x", "y", "z")
 
@@ -169,9 +169,7 @@ class Mesh:
         Ties go to the smaller cell_id.
         """
         corners = self.cornered().select("cell_id", "a0", "a1", "a2")
-        ends = [f(*[F.col(f"a{k}.{n}") for k in range(3)]).alias(f"{e}_{n}") for n in XYZ for e, f in (("lo", F.least), ("hi", F.greatest))]
-        items = corners.select(F.col("cell_id").alias("item_id"), *ends, *[F.col(f"a0.{n}").alias(f"rep_{n}") for n in XYZ])
-        pairs = nearest_candidates(queries, items, size).withColumnRenamed("item_id", "cell_id")
+        pairs = nearest_candidates(queries, self.boxes(), size).withColumnRenamed("item_id", "cell_id")
         a, b, c = self.corner_vecs()
         p = Vec.from_struct(F.col("p"))
         rows = pairs.join(queries.select("q_id", F.struct(*XYZ).alias("p")), "q_id").join(corners, "cell_id")
@@ -180,13 +178,22 @@ class Mesh:
         rows = two.select("q_id", F.struct(hit["d2"].alias("d2"), F.col("cell_id"), *[hit[k].alias(k) for k in ("u", "v", "w", "case")]).alias("m"))
         return rows.groupBy("q_id").agg(F.min("m").alias("m")).select("q_id", "m.*")
 
-    def intersections(self, lines: DataFrame) -> DataFrame:
+    def boxes(self) -> DataFrame:
+        """Items (see Levels) of the cells: their boxes and first corners."""
+        corners = self.cornered()
+        ends = [f(*[F.col(f"a{k}.{n}") for k in range(self.corners)]).alias(f"{e}_{n}") for n in XYZ for e, f in (("lo", F.least), ("hi", F.greatest))]
+        return corners.select(F.col("cell_id").alias("item_id"), *ends, *[F.col(f"a0.{n}").alias(f"rep_{n}") for n in XYZ])
+
+    def intersections(self, lines: DataFrame, size: float = 1.0) -> DataFrame:
         """line_id, cell_id, t, u, v, w where lines (line_id, ox, oy, oz, dx, dy, dz) meet triangles, both ways.
 
-        Lines are few (a stated query set) and meet all triangles.
+        Candidates come from a descent over boxes of triangles (see line_candidates); size: about a triangle's.
         """
+        ends = [f"{e}{n}" for e in ("o", "d") for n in XYZ]
+        pairs = line_candidates(lines.select(F.col("line_id").alias("q_id"), *[F.col(c).alias(f"{c[0]}_{c[1]}") for c in ends]), self.boxes(), size)
+        rows = pairs.toDF("line_id", "cell_id").join(lines.select("line_id", *ends), "line_id").join(self.cornered(), "cell_id")
         hit = bc.line_triangle(Vec.of("ox", "oy", "oz"), Vec.of("dx", "dy", "dz"), *self.corner_vecs())
-        return self.cornered().crossJoin(lines).filter(hit["hit"]).select("line_id", "cell_id", *[hit[k].alias(k) for k in ("t", "u", "v", "w")])
+        return rows.filter(hit["hit"]).select("line_id", "cell_id", *[hit[k].alias(k) for k in ("t", "u", "v", "w")])
 
 
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelake.functions.scalar import bspline
@@ -79,10 +79,15 @@ def shuffle_key(key: Column, seed: int) -> Column:
 
 
 def folds(items: DataFrame, key: str, n_folds: int, n_items: int, seed: int = 0) -> DataFrame:
-    """Adds fold: items in seeded order in groups of n_items div n_folds; what is left over has fold NULL (never tested)."""
+    """Adds fold: items in seeded order in groups of n_items div n_folds; what is left over has fold NULL (never tested).
+
+    The order is numbered range by range (see numbered), so no task sorts all items.
+    """
+    from shapelake.operators.mesh import numbered
+
     size = n_items // n_folds
-    order = F.row_number().over(Window.orderBy(shuffle_key(F.col(key), seed), key)) - 1
-    return items.withColumn("__o", order).withColumn("fold", F.when(F.col("__o") < size * n_folds, F.floor(F.col("__o") / size))).drop("__o")
+    placed = numbered(items.withColumn("__s", F.struct(shuffle_key(F.col(key), seed).alias("s"), F.col(key).alias("k"))), "__s", "__o")
+    return placed.withColumn("fold", F.when(F.col("__o") < size * n_folds, F.floor(F.col("__o") / size))).drop("__o", "__s")
 
 
 def gaussian_log_density(x: Column, mean: float, sd: float) -> Column:

@@ -218,6 +218,32 @@ def distributed_regression(rows: DataFrame, basis: str, residual: str, noise: fl
     return cov @ m[:, r] / noise, cov
 
 
+def table_regression(process: LowRank, table: DataFrame, coordinates: Sequence[str], value: str, noise: float, key: str) -> DataFrame:
+    """(key, mean): the process conditioned on the values of all rows of a table, at the same rows; scalar processes.
+
+    Rows with a NULL or NaN value teach nothing but get a mean, those without coordinates get none. Rows turn into rows of the basis batch by
+    batch; the driver holds systems of the rank alone.
+    """
+    if process.dim != 1:
+        raise ValueError("a process of scalar values is needed")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[list(coordinates)].to_numpy(float)
+            yield pd.DataFrame({"q": list(process.q(x)) if len(x) else [], "y": pdf[value].to_numpy(float) - process.mean(x).ravel() if len(x) else []})
+
+    known = table.select(*[F.col(c).cast("double").alias(c) for c in coordinates], F.col(value).cast("double").alias(value)).dropna()
+    a, _ = distributed_regression(known.mapInPandas(rows, "q array<double>, y double"), "q", "y", noise)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[list(coordinates)].to_numpy(float)
+            yield pd.DataFrame({key: pdf[key], "mean": process.instance(a, x).ravel() if len(x) else np.zeros(0)})
+
+    kind = table.schema[key].dataType.simpleString()
+    return table.select(key, *[F.col(c).cast("double").alias(c) for c in coordinates]).dropna().mapInPandas(predict, f"{key} {kind}, mean double")
+
+
 def nystrom(kernel: MatrixKernel, samples: np.ndarray, rank: int, mean: Mean | None = None, tolerance: float = 1e-5, least: float = 1e-8) -> LowRank:
     """Low-rank process from the eigenfunctions on sample points: variances are eigenvalues over the number of samples."""
     k, n = kernel.block(samples, samples), len(samples)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,38 @@ def random_svd(a: np.ndarray, k: int, seed: int = 0, power: int = 5, extra: int
     return (q @ u)[:, :k], s[:k], vt[:k]
 
 
+def tall_random_svd(rows: DataFrame, column: str, k: int, seed: int = 0, power: int = 3, extra: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right vectors) of the matrix whose rows are an array column, however many rows there are.
+
+    Subspace iteration on k + extra random vectors of the width: a step is one pass that sums A^t A q over the rows, so the driver
+    holds width x (k + extra) numbers; null rows are left out.
+    """
+    some = rows.select(F.col(column).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    first = some.first()
+    if first is None:
+        return np.zeros(0), np.zeros((0, 0))
+    d = len(first.v)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, min(k + extra, d))))[0]
+
+    def step(q: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(q.shape)
+            for pdf in batches:
+                if len(pdf):
+                    a = np.stack(pdf.v.to_numpy())
+                    total += a.T @ (a @ q)
+            yield pd.DataFrame({"k": np.arange(d), "v": list(total)})
+
+        parts = some.mapInPandas(run, "k int, v array<double>").groupBy("k").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(q.shape[1])]).toPandas().sort_values("k")
+        return parts[[f"v{j}" for j in range(q.shape[1])]].to_numpy()
+
+    for _ in range(power):
+        q = np.linalg.qr(step(q))[0]
+    values, turn = np.linalg.eigh(q.T @ step(q))
+    order = np.argsort(values)[::-1][:k]
+    return np.sqrt(np.maximum(values[order], 0)), fix_signs(q @ turn[:, order])
+
+
 def tall_pivoted_cholesky(points: DataFrame, kernel, names: list[str], most: int, tolerance: float = 1e-6, key: str = "point_id") -> DataFrame:
     """(point_id, l array<double>): pivoted Cholesky of the kernel matrix of many points, one pass over them a pivot.
 

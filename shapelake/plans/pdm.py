@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelake.storage import saved
@@ -20,12 +20,17 @@ XYZ = ("x", "y", "z")
 
 @dataclass(frozen=True)
 class ShapeModel:
-    """points: (point_id, component, mean, basis array<double>) of displacements from the reference (point_id, x, y, z)."""
+    """points: (point_id, component, mean, basis array<double>) of displacements from the reference (point_id, coordinates).
+
+    names: the components, which are columns of the reference: ("x", "y") for a 2-D model, ("value",) with a reference
+    value for an intensity model, displacement columns of 0 for a deformation model.
+    """
 
     reference: DataFrame
     points: DataFrame
     variance: np.ndarray
     cells: DataFrame | None = None
+    names: tuple[str, ...] = XYZ
 
     @property
     def rank(self) -> int:
@@ -40,8 +45,8 @@ class ShapeModel:
 
     def instance(self, a: Sequence[float]) -> DataFrame:
         """Points of the shape with these coefficients."""
-        wide = self.displacement(a).groupBy("point_id").agg(*[F.sum(F.when(F.col("component") == k, F.col("value"))).alias(f"d{n}") for k, n in enumerate(XYZ)])
-        return self.reference.join(wide, "point_id").select("point_id", *[(F.col(n) + F.coalesce(f"d{n}", F.lit(0.0))).alias(n) for n in XYZ])
+        wide = self.displacement(a).groupBy("point_id").agg(*[F.sum(F.when(F.col("component") == k, F.col("value"))).alias(f"d{n}") for k, n in enumerate(self.names)])
+        return self.reference.join(wide, "point_id").select("point_id", *[(F.col(n) + F.coalesce(f"d{n}", F.lit(0.0))).alias(n) for n in self.names])
 
     def mean(self) -> DataFrame:
         return self.instance(())
@@ -50,7 +55,7 @@ class ShapeModel:
         return self.instance(np.random.default_rng(seed).standard_normal(self.rank))
 
     def truncate(self, rank: int) -> ShapeModel:
-        return ShapeModel(self.reference, self.points.withColumn("basis", F.slice("basis", 1, rank)), self.variance[:rank], self.cells)
+        return ShapeModel(self.reference, self.points.withColumn("basis", F.slice("basis", 1, rank)), self.variance[:rank], self.cells, self.names)
 
     def logpdf(self, a: np.ndarray) -> float:
         return float(-0.5 * (np.dot(a, a) + len(a) * math.log(2 * math.pi)))
@@ -66,8 +71,8 @@ class ShapeModel:
         return rows.withColumnsRenamed({"component": "i"}).join(rows.select("point_id", F.col("component").alias("j"), F.col("q").alias("r")), "point_id").select("point_id", "i", "j", dot.alias("cov"))
 
     def _residuals(self, observed: DataFrame) -> DataFrame:
-        ref = self.reference.select("point_id", *[F.col(n).alias(f"r{n}") for n in XYZ])
-        parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(n) - F.col(f"r{n}")).alias("value")) for k, n in enumerate(XYZ)])
+        ref = self.reference.select("point_id", *[F.col(n).alias(f"r{n}") for n in self.names])
+        parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(n) - F.col(f"r{n}")).alias("value")) for k, n in enumerate(self.names)])
         long = observed.join(ref, "point_id").select("point_id", F.explode(parts).alias("p")).select("point_id", "p.*")
         roots = F.array(*[F.lit(float(math.sqrt(v))) for v in self.variance])
         joined = long.join(self.points, ["point_id", "component"]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -93,23 +98,23 @@ class ShapeModel:
                 b = np.stack(pdf.basis.to_numpy()) if len(pdf) else np.zeros((0, len(shift)))
                 yield pd.DataFrame({"point_id": pdf.point_id, "component": pdf.component, "mean": pdf["mean"] + b @ shift, "basis": list(b @ u)})
 
-        return ShapeModel(self.reference, self.points.mapInPandas(run, "point_id long, component int, mean double, basis array<double>"), variance, self.cells)
+        return ShapeModel(self.reference, self.points.mapInPandas(run, "point_id long, component int, mean double, basis array<double>"), variance, self.cells, self.names)
 
     def marginal(self, point_ids: DataFrame) -> ShapeModel:
         keep = point_ids.select("point_id")
-        return ShapeModel(self.reference.join(keep, "point_id", "left_semi"), self.points.join(keep, "point_id", "left_semi"), self.variance)
+        return ShapeModel(self.reference.join(keep, "point_id", "left_semi"), self.points.join(keep, "point_id", "left_semi"), self.variance, None, self.names)
 
     def change_reference(self, reference: DataFrame) -> ShapeModel:
         """The same shapes as displacements from another reference with the same ids."""
-        old = self.reference.select("point_id", F.posexplode(F.array(*XYZ)).alias("component", "o"))
-        new = reference.select("point_id", F.posexplode(F.array(*XYZ)).alias("component", "n"))
+        old = self.reference.select("point_id", F.posexplode(F.array(*self.names)).alias("component", "o"))
+        new = reference.select("point_id", F.posexplode(F.array(*self.names)).alias("component", "n"))
         both = self.points.join(old, ["point_id", "component"]).join(new, ["point_id", "component"])
-        return ShapeModel(reference, both.select("point_id", "component", (F.col("mean") + F.col("o") - F.col("n")).alias("mean"), "basis"), self.variance, self.cells)
+        return ShapeModel(reference, both.select("point_id", "component", (F.col("mean") + F.col("o") - F.col("n")).alias("mean"), "basis"), self.variance, self.cells, self.names)
 
     def transform(self, rigid) -> ShapeModel:
         """All shapes moved by a rigid transformation: the basis vectors turn with it."""
         m = rigid.linear
-        reference = rigid.on(self.reference, XYZ)
+        reference = rigid.on(self.reference, self.names)
         wide = self.points.groupBy("point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "mean", "basis"))), lambda s: F.struct(s["mean"].alias("mean"), s["basis"].alias("basis"))).alias("c"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,10 +122,10 @@ class ShapeModel:
                 rows = []
                 for p, cs in zip(pdf.point_id, pdf.c):
                     mean, basis = m @ np.array([x["mean"] for x in cs]), m @ np.stack([x["basis"] for x in cs])
-                    rows += [(p, k, float(mean[k]), basis[k]) for k in range(3)]
+                    rows += [(p, k, float(mean[k]), basis[k]) for k in range(len(m))]
                 yield pd.DataFrame(rows, columns=["point_id", "component", "mean", "basis"])
 
-        return ShapeModel(reference, wide.mapInPandas(run, "point_id long, component int, mean double, basis array<double>"), self.variance, self.cells)
+        return ShapeModel(reference, wide.mapInPandas(run, "point_id long, component int, mean double, basis array<double>"), self.variance, self.cells, self.names)
 
     def augment(self, extra: DataFrame, variance: np.ndarray) -> ShapeModel:
         """Adds basis vectors (point_id, component, basis) of given variances, made orthonormal with the old ones."""
@@ -131,11 +136,11 @@ class ShapeModel:
         order = np.argsort(values)[::-1]
         order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
         turn = d[:, None] * v[:, order] / np.sqrt(values[order])
-        return ShapeModel(self.reference, joined, np.zeros(len(d)), self.cells)._rebased(turn, values[order], np.zeros(len(d)))
+        return ShapeModel(self.reference, joined, np.zeros(len(d)), self.cells, self.names)._rebased(turn, values[order], np.zeros(len(d)))
 
 
 def gram_of(rows: DataFrame, column: str, r: int) -> np.ndarray:
-    """Sum over rows of v vt for an array column of length r."""
+    """Sum over rows of v vt for an array column of length r. Each task sends its sum once, as r compressed rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((r, r))
@@ -143,38 +148,73 @@ def gram_of(rows: DataFrame, column: str, r: int) -> np.ndarray:
             if len(pdf):
                 q = np.stack(pdf[column].to_numpy())
                 total += q.T @ q
-        yield pd.DataFrame({"k": np.arange(r * r), "v": total.ravel()})
+        yield pd.DataFrame({"k": np.arange(r), "v": [x.tobytes() for x in total]})
 
-    sums = rows.select(column).mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")
-    return sums.v.to_numpy().reshape(r, r)
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, v in zip(pdf.k, pdf.v):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(v)
+        yield pd.DataFrame({"k": list(sums), "v": [x.tobytes() for x in sums.values()]}) if sums else pd.DataFrame({"k": np.zeros(0, int), "v": []})
+
+    parts = rows.select(column).mapInPandas(run, "k int, v binary").repartition(min(r, 64), "k").mapInPandas(add, "k int, v binary")
+    out = np.zeros((r, r))
+    for row in parts.collect():
+        out[row.k] = np.frombuffer(bytes(row.v))
+    return out
 
 
-def pca_model(reference: DataFrame, shapes: DataFrame, cells: DataFrame | None = None, rank: int | None = None) -> ShapeModel:
-    """Model of (item_id, point_id, x, y, z) shapes in correspondence with the reference; at least 3 items.
+#: The smaller of the numbers of items and of coordinates of a PCA, whose square the driver holds, is at most this.
+MOST_SIDE = 20_000
 
-    The n x n Gram matrix of the centred displacements is summed over points (the tall side), its eigenvectors are
-    found on the driver and the basis is projected back point by point; variances are divided by n - 1.
+
+def pca_model(reference: DataFrame, shapes: DataFrame, cells: DataFrame | None = None, rank: int | None = None, names: Sequence[str] = XYZ) -> ShapeModel:
+    """Model of (item_id, point_id, components) shapes in correspondence with the reference; at least 3 items.
+
+    Every item has every point of the reference, else ValueError. Where items are fewer than coordinates, their Gram
+    matrix is summed over the points and its eigenvectors are projected back point by point; else the covariance of
+    the coordinates is summed over the items. Either way the larger side stays a table; variances are divided by n - 1.
     """
-    items = [r.item_id for r in shapes.select("item_id").distinct().orderBy("item_id").collect()]
-    n = len(items)
+    names, d = tuple(names), len(names)
+    ref = reference.select("point_id", *[F.col(c).alias(f"r{c}") for c in names])
+    parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) - F.col(f"r{c}")).alias("v")) for k, c in enumerate(names)])
+    long = shapes.join(ref, "point_id").select("item_id", "point_id", F.explode(parts).alias("p")).select("item_id", "point_id", "p.component", "p.v")
+    rows = long.groupBy("point_id", "component").agg(F.avg("v").alias("mean"), F.count("v").alias("n")).transform(saved)
+    n, points = shapes.select("item_id").distinct().count(), reference.count()
+    least, most, coordinates = rows.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
     if n < 3:
         raise ValueError("at least three items are needed")
-    ref = reference.select("point_id", *[F.col(c).alias(f"r{c}") for c in XYZ])
-    parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) - F.col(f"r{c}")).alias("v")) for k, c in enumerate(XYZ)])
-    long = shapes.join(ref, "point_id").select("item_id", "point_id", F.explode(parts).alias("p")).select("item_id", "point_id", "p.component", "p.v")
-    rows = long.groupBy("point_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda s: s["v"]).alias("vs"), F.avg("v").alias("mean"))
-    centred = rows.filter(F.size("vs") == n).select("point_id", "component", "mean", F.transform("vs", lambda v: v - F.col("mean")).alias("vs")).transform(saved)
-    values, v = np.linalg.eigh(gram_of(centred, "vs", n))
-    order = np.argsort(values)[::-1][: n - 1 if rank is None else min(rank, n - 1)]
-    order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
-    v = fix_signs(v[:, order]) / np.sqrt(values[order])
+    if (least, most, coordinates) != (n, n, points * d):
+        raise ValueError("items and reference differ in their points")
+    if min(n, coordinates) > MOST_SIDE:
+        raise ValueError(f"more than {MOST_SIDE} items and coordinates")
+    centred = long.join(rows.select("point_id", "component", "mean"), ["point_id", "component"]).withColumn("v", F.col("v") - F.col("mean"))
+    wanted = n - 1 if rank is None else min(rank, n - 1)
+
+    def chosen(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values)[::-1][:wanted]
+        return order[values[order] > 1e-12 * max(values.max(), 1e-300)]
+
+    if n <= coordinates:
+        gathered = centred.groupBy("point_id", "component").agg(F.first("mean").alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda s: s["v"]).alias("vs")).transform(saved)
+        values, v = np.linalg.eigh(gram_of(gathered, "vs", n))
+        order = chosen(values)
+        v = fix_signs(v[:, order]) / np.sqrt(values[order])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            b = np.stack(pdf.vs.to_numpy()) @ v if len(pdf) else np.zeros((0, v.shape[1]))
-            yield pd.DataFrame({"point_id": pdf.point_id, "component": pdf.component, "mean": pdf["mean"], "basis": list(b)})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                b = np.stack(pdf.vs.to_numpy()) @ v if len(pdf) else np.zeros((0, v.shape[1]))
+                yield pd.DataFrame({"point_id": pdf.point_id, "component": pdf.component, "mean": pdf["mean"], "basis": list(b)})
 
-    return ShapeModel(reference, centred.mapInPandas(run, "point_id long, component int, mean double, basis array<double>"), values[order] / (n - 1), cells)
+        basis = gathered.mapInPandas(run, "point_id long, component int, mean double, basis array<double>")
+    else:
+        gathered = centred.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "component", "v"))), lambda s: s["v"]).alias("vs"))
+        values, v = np.linalg.eigh(gram_of(gathered, "vs", coordinates))
+        order = chosen(values)
+        v = fix_signs(v[:, order])
+        keys = sorted((r.point_id, r.component, r["mean"]) for r in rows.collect())
+        basis = reference.sparkSession.createDataFrame([(p, c, m, x.tolist()) for (p, c, m), x in zip(keys, v)], "point_id long, component int, mean double, basis array<double>")
+    return ShapeModel(reference, basis, values[order] / (n - 1), cells, names)
 
 
 def procrustes(shapes: DataFrame, target: DataFrame) -> DataFrame:
@@ -235,22 +275,70 @@ def cross_validate(reference: DataFrame, shapes: DataFrame, folds: DataFrame, ev
     return out
 
 
+def distance(a: Sequence[str], b: Sequence[str]) -> Column:
+    return F.sqrt(sum(((F.col(x) - F.col(y)) ** 2 for x, y in zip(a, b)), F.lit(0.0)))
+
+
+def projections(model: ShapeModel, shapes: DataFrame, noise: float = 1e-5) -> DataFrame:
+    """(item_id, a): the coefficients of every item of (item_id, point_id, components), by one grouped sum of its normal equations."""
+    r = model.rank
+    ref = model.reference.select("point_id", *[F.col(c).alias(f"r{c}") for c in model.names])
+    parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) - F.col(f"r{c}")).alias("value")) for k, c in enumerate(model.names)])
+    long = shapes.join(ref, "point_id").select("item_id", "point_id", F.explode(parts).alias("p")).select("item_id", "point_id", "p.*")
+    joined = long.join(model.points, ["point_id", "component"]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    q = [F.get("basis", F.lit(k)) * float(math.sqrt(v)) for k, v in enumerate(model.variance)]
+    rows = joined.select("item_id", *[x.alias(f"q{k}") for k, x in enumerate(q)], (F.col("value") - F.col("mean")).alias("y"))
+    sums = [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"m{i}_{j}") for i in range(r) for j in range(i + 1)] + [F.sum(F.col(f"q{i}") * F.col("y")).alias(f"m{i}_y") for i in range(r)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = np.zeros((len(pdf), r, r))
+            for i in range(r):
+                for j in range(i + 1):
+                    m[:, i, j] = m[:, j, i] = pdf[f"m{i}_{j}"]
+            y = np.stack([pdf[f"m{i}_y"].to_numpy(float) for i in range(r)], axis=1) if r else np.zeros((len(pdf), 0))
+            yield pd.DataFrame({"item_id": pdf.item_id, "a": list(np.linalg.solve(m / noise + np.eye(r), y[:, :, None] / noise)[:, :, 0])})
+
+    return rows.groupBy("item_id").agg(*sums).mapInPandas(run, "item_id long, a array<double>")
+
+
+def instances(model: ShapeModel, coefficients: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, point_id, components) of the shapes with the coefficients (key, a)."""
+    value = F.col("mean")
+    for k, v in enumerate(model.variance):
+        value = value + F.get("basis", F.lit(k)) * F.get("a", F.lit(k)) * float(math.sqrt(v))
+    moved = model.points.crossJoin(coefficients).select(key, "point_id", "component", value.alias("value"))
+    wide = moved.groupBy(key, "point_id").agg(*[F.sum(F.when(F.col("component") == k, F.col("value"))).alias(f"d{n}") for k, n in enumerate(model.names)])
+    return wide.join(model.reference, "point_id").select(key, "point_id", *[(F.col(n) + F.coalesce(f"d{n}", F.lit(0.0))).alias(n) for n in model.names])
+
+
+def projection_errors(model: ShapeModel, tests: DataFrame) -> DataFrame:
+    """(item_id, error): mean distance of each item's points to those of its projection, all items in one plan.
+
+    Every item's own rows meet the model's by point, so items and points are never crossed.
+    """
+    names = model.names
+    a = projections(model, tests)
+    rows = tests.select("item_id", "point_id", *names).join(a, "item_id").join(model.points, "point_id")
+    value = F.col("mean")
+    for k, v in enumerate(model.variance):
+        value = value + F.get("basis", F.lit(k)) * F.get("a", F.lit(k)) * float(math.sqrt(v))
+    ref = model.reference.select("point_id", *[F.col(n).alias(f"r{n}") for n in names])
+    here = F.element_at(F.array(*[F.col(n) - F.col(f"r{n}") for n in names]), F.col("component") + 1)
+    gaps = rows.join(ref, "point_id").groupBy("item_id", "point_id").agg(F.sqrt(F.sum((here - value) ** 2)).alias("d"))
+    return gaps.groupBy("item_id").agg(F.avg("d").alias("error"))
+
+
 def generalization(model: ShapeModel, tests: DataFrame) -> float:
     """Mean distance of test shapes to their projections."""
-    total, n = 0.0, 0
-    for row in tests.select("item_id").distinct().collect():
-        shape = tests.filter(F.col("item_id") == row.item_id).select("point_id", *XYZ)
-        back = model.project(shape).toDF("point_id", "a", "b", "c")
-        total += shape.join(back, "point_id").agg(F.avg(F.sqrt((F.col("x") - F.col("a")) ** 2 + (F.col("y") - F.col("b")) ** 2 + (F.col("z") - F.col("c")) ** 2))).first()[0]
-        n += 1
-    return total / max(n, 1)
+    return projection_errors(model, tests).agg(F.avg("error")).first()[0] or 0.0
 
 
 def specificity(model: ShapeModel, shapes: DataFrame, samples: int, seed: int = 0) -> float:
-    """Mean over random instances of the mean point distance to the nearest training shape."""
-    total = 0.0
-    for k in range(samples):
-        s = model.sample(seed + k).toDF("point_id", "a", "b", "c")
-        d = F.avg(F.sqrt((F.col("x") - F.col("a")) ** 2 + (F.col("y") - F.col("b")) ** 2 + (F.col("z") - F.col("c")) ** 2))
-        total += shapes.join(s, "point_id").groupBy("item_id").agg(d.alias("d")).agg(F.min("d")).first()[0]
-    return total / samples
+    """Mean over `samples` random instances of the mean point distance to the nearest training shape, in one plan."""
+    spark, names = shapes.sparkSession, model.names
+    drawn = [(k, np.random.default_rng(seed + k).standard_normal(model.rank).tolist()) for k in range(samples)]
+    made = instances(model, F.broadcast(spark.createDataFrame(drawn, "sample_id long, a array<double>")), "sample_id")
+    other = [f"s{n}" for n in names]
+    pairs = shapes.join(made.toDF("sample_id", "point_id", *other), "point_id").groupBy("sample_id", "item_id").agg(F.avg(distance(names, other)).alias("d"))
+    return pairs.groupBy("sample_id").agg(F.min("d").alias("d")).agg(F.avg("d")).first()[0]

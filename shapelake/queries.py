@@ -171,10 +171,10 @@ def landmark_parse_json(spark, d):
     return t(spark, d, "events").select("event_id", parsed["k"].alias("k"), parsed["missing"].alias("missing"))
 
 
-@query(f"WITH {P1}, s AS (SELECT DISTINCT x, y, z FROM p1 WHERE l_orderkey % 1000 = 0) SELECT l_orderkey, l_linenumber FROM p1 WHERE EXISTS (SELECT 1 FROM s WHERE s.x = p1.x AND s.y = p1.y AND s.z = p1.z)")
+@query(f"WITH {P1}, s AS (SELECT DISTINCT x, y, z FROM p1 WHERE l_orderkey % 50 = 0) SELECT l_orderkey, l_linenumber FROM p1 WHERE EXISTS (SELECT 1 FROM s WHERE s.x = p1.x AND s.y = p1.y AND s.z = p1.z)")
 def point_lookup(spark, d):
     p = p1(spark, d)
-    return sp.exact_point(p, p.filter("l_orderkey % 1000 = 0"), ("x", "y", "z")).select("l_orderkey", "l_linenumber")
+    return sp.exact_point(p, p.filter("l_orderkey % 50 = 0"), ("x", "y", "z")).select("l_orderkey", "l_linenumber")
 
 
 # --- filters
@@ -253,9 +253,9 @@ def field_compose(spark, d):
     return _time(spark, d).select("event_id", r(inner(Vec.of("x"))).alias("value"), r(inner.differentiate(Vec.of("x"))[0]).alias("slope"))
 
 
-@query(f"WITH {P1} SELECT point_id * 3 + c - 1 AS k, round([x, y, z][c], 6) AS value FROM (SELECT l_orderkey * 8 + l_linenumber AS point_id, x, y, z FROM p1 WHERE l_orderkey < 500), (SELECT unnest([1, 2, 3]) AS c)")
+@query(f"WITH {P1} SELECT point_id * 3 + c - 1 AS k, round([x, y, z][c], 6) AS value FROM (SELECT l_orderkey * 8 + l_linenumber AS point_id, x, y, z FROM p1), (SELECT unnest([1, 2, 3]) AS c)")
 def field_vectorize(spark, d):
-    p = p1(spark, d).filter("l_orderkey < 500").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), "x", "y", "z")
+    p = p1(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), "x", "y", "z")
     return vectorize(p, ("x", "y", "z")).select("k", r("value").alias("value"))
 
 
@@ -309,19 +309,19 @@ MAHA = "(cyy * (l_quantity - mx) * (l_quantity - mx) - 2 * cxy * (l_quantity - m
 
 def _mvn(spark, d):
     p = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
-    return p.filter("l_orderkey % 10 = 0").crossJoin(F.broadcast(st.moments(p, ("x", "y"))))
+    return p.crossJoin(F.broadcast(st.moments(p, ("x", "y"))))
 
 
 COV = ("cov_x_x", "cov_x_y", "cov_y_y")
 
 
-@query(f"WITH {MVN} SELECT l_orderkey, l_linenumber, round(-({MAHA}) / 2 - ln(cxx * cyy - cxy * cxy) / 2 - ln(2 * pi()), 6) AS logpdf FROM lineitem, m WHERE l_orderkey % 10 = 0")
+@query(f"WITH {MVN} SELECT l_orderkey, l_linenumber, round(-({MAHA}) / 2 - ln(cxx * cyy - cxy * cxy) / 2 - ln(2 * pi()), 6) AS logpdf FROM lineitem, m")
 def mvn_logpdf_2d(spark, d):
     value = st.log_pdf_2d(Vec.of("x", "y"), Vec.of("mean_x", "mean_y"), *map(F.col, COV))
     return _mvn(spark, d).select("l_orderkey", "l_linenumber", r(value).alias("logpdf"))
 
 
-@query(f"WITH {MVN} SELECT l_orderkey, l_linenumber, round(sqrt({MAHA}), 6) AS distance FROM lineitem, m WHERE l_orderkey % 10 = 0")
+@query(f"WITH {MVN} SELECT l_orderkey, l_linenumber, round(sqrt({MAHA}), 6) AS distance FROM lineitem, m")
 def mahalanobis_2d(spark, d):
     value = F.sqrt(st.mahalanobis2_2d(Vec.of("x", "y"), Vec.of("mean_x", "mean_y"), *map(F.col, COV)))
     return _mvn(spark, d).select("l_orderkey", "l_linenumber", r(value).alias("distance"))
@@ -462,41 +462,61 @@ def _image(spark, d):
     return t(spark, d, "part").select(F.col("p_partkey").alias("voxel_id"), F.col("p_size").cast("double").alias("value"))
 
 
-@query("WITH im AS (SELECT p_partkey AS v, p_size::DOUBLE AS s FROM part WHERE p_partkey < 100), q AS (SELECT c_custkey AS q_id, c_acctbal / 100 AS c FROM customer) SELECT q_id, round((1 - (c - floor(c))) * a.s + (c - floor(c)) * b.s, 6) AS value FROM q JOIN im a ON a.v = least(greatest(floor(c), 0), 99)::BIGINT JOIN im b ON b.v = least(greatest(floor(c) + 1, 0), 99)::BIGINT")
+def grid_of(spark, d, width: tuple[int, ...], spacing: tuple[float, ...] | None = None) -> gr.Grid:
+    """The grid whose voxels are the rows of `part`: given sizes along the first axes, as many as it takes along the last."""
+    n = t(spark, d, "part").agg(F.coalesce(F.max("p_partkey"), F.lit(0)) + 1).first()[0]
+    step = 1
+    for w in width:
+        step *= w
+    return gr.Grid((0.0,) * (len(width) + 1), spacing or (1.0,) * (len(width) + 1), (*width, max(-(-n // step), 1)))
+
+
+def last(step: int) -> str:
+    """SQL for the size of that grid's last axis."""
+    return f"(SELECT (max(p_partkey) + {step}) // {step} FROM part)"
+
+
+IMAGE = "im AS (SELECT p_partkey AS v, p_size::DOUBLE AS s FROM part)"
+
+
+@query(f"WITH {IMAGE}, n AS (SELECT {last(1)} AS n), q AS (SELECT c_custkey AS q_id, c_acctbal / 10000 * n AS c, n FROM customer, n) SELECT q_id, round((1 - (c - floor(c))) * a.s + (c - floor(c)) * b.s, 6) AS value FROM q JOIN im a ON a.v = least(greatest(floor(c), 0), n - 1)::BIGINT JOIN im b ON b.v = least(greatest(floor(c) + 1, 0), n - 1)::BIGINT")
 def linear_interp_1d(spark, d):
-    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 100).alias("x"))
-    return gr.interpolate(q, _image(spark, d), gr.Grid((0.0,), (1.0,), (100,)), ("x",)).select("q_id", r("value").alias("value"))
-
-
-def _taps_sql(dims):
-    """Multilinear interpolation with clamped taps, unit spacing and origin 0."""
-    n = len(dims)
-    ids, step = [], 1
-    for k, size in enumerate(dims):
-        ids.append(f"least(greatest(floor(c{k})::BIGINT + t{k}, 0), {size - 1}) * {step}")
-        step *= size
-    w = " * ".join(f"CASE WHEN t{k} = 0 THEN 1 - (c{k} - floor(c{k})) ELSE c{k} - floor(c{k}) END" for k in range(n))
-    taps = ", ".join(f"(SELECT unnest([0, 1]) AS t{k})" for k in range(n))
+    grid = grid_of(spark, d, ())
+    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 10000 * grid.size[0]).alias("x"))
+    return gr.interpolate(q, _image(spark, d), grid, ("x",)).select("q_id", r("value").alias("value"))
+
+
+def _taps_sql(width: tuple[int, ...]) -> str:
+    """Multilinear interpolation with clamped taps, unit spacing and origin 0; q has n, the size of the last axis."""
+    ids, step, dim = [], 1, len(width) + 1
+    for k in range(dim):
+        ids.append(f"least(greatest(floor(c{k})::BIGINT + t{k}, 0), {width[k] if k < dim - 1 else 'n'} - 1) * {step}")
+        step *= width[k] if k < dim - 1 else 1
+    w = " * ".join(f"CASE WHEN t{k} = 0 THEN 1 - (c{k} - floor(c{k})) ELSE c{k} - floor(c{k}) END" for k in range(dim))
+    taps = ", ".join(f"(SELECT unnest([0, 1]) AS t{k})" for k in range(dim))
     return f"SELECT q_id, round(sum(w * im.s), 6) AS value FROM (SELECT q_id, {' + '.join(ids)} AS v, {w} AS w FROM q, {taps}) JOIN im USING (v) GROUP BY q_id"
 
 
-@query("WITH im AS (SELECT p_partkey AS v, p_size::DOUBLE AS s FROM part), q AS (SELECT c_custkey AS q_id, c_acctbal / 1200 AS c0, (c_custkey % 97) / 9.7 AS c1 FROM customer) " + _taps_sql((10, 10)))
+@query(f"WITH {IMAGE}, n AS (SELECT {last(40)} AS n), q AS (SELECT c_custkey AS q_id, c_acctbal / 250 AS c0, (c_custkey % 97) / 97.0::DOUBLE * n AS c1, n FROM customer, n) " + _taps_sql((40,)))
 def linear_interp_2d(spark, d):
-    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 1200).alias("x"), ((F.col("c_custkey") % 97) / 9.7).alias("y"))
-    return gr.interpolate(q, _image(spark, d), gr.Grid((0.0, 0.0), (1.0, 1.0), (10, 10)), ("x", "y")).select("q_id", r("value").alias("value"))
+    grid = grid_of(spark, d, (40,))
+    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 250).alias("x"), ((F.col("c_custkey") % 97) / 97.0 * grid.size[1]).alias("y"))
+    return gr.interpolate(q, _image(spark, d), grid, ("x", "y")).select("q_id", r("value").alias("value"))
 
 
-@query("WITH im AS (SELECT p_partkey AS v, p_size::DOUBLE AS s FROM part), q AS (SELECT c_custkey AS q_id, c_acctbal / 2500 AS c0, (c_custkey % 97) / 19.7 AS c1, (c_custkey % 89) / 11.3 AS c2 FROM customer) " + _taps_sql((5, 5, 8)))
+@query(f"WITH {IMAGE}, n AS (SELECT {last(40)} AS n), q AS (SELECT c_custkey AS q_id, c_acctbal / 2500 AS c0, (c_custkey % 97) / 12.3 AS c1, (c_custkey % 89) / 89.0::DOUBLE * n AS c2, n FROM customer, n) " + _taps_sql((5, 8)))
 def linear_interp_3d(spark, d):
-    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 2500).alias("x"), ((F.col("c_custkey") % 97) / 19.7).alias("y"), ((F.col("c_custkey") % 89) / 11.3).alias("z"))
-    return gr.interpolate(q, _image(spark, d), gr.Grid((0.0,) * 3, (1.0,) * 3, (5, 5, 8)), ("x", "y", "z")).select("q_id", r("value").alias("value"))
+    grid = grid_of(spark, d, (5, 8))
+    q = t(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), (F.col("c_acctbal") / 2500).alias("x"), ((F.col("c_custkey") % 97) / 12.3).alias("y"), ((F.col("c_custkey") % 89) / 89.0 * grid.size[2]).alias("z"))
+    return gr.interpolate(q, _image(spark, d), grid, ("x", "y", "z")).select("q_id", r("value").alias("value"))
 
 
-@query("WITH im AS (SELECT p_partkey AS v, p_size::DOUBLE AS s FROM part), q AS (SELECT i AS q_id, (i % 19) * 0.5 AS c0, (i // 19) * 0.5 AS c1 FROM (SELECT unnest(range(0, 361)) AS i)) " + _taps_sql((10, 10)))
+@query(f"WITH {IMAGE}, n AS (SELECT {last(40)} AS n), q AS (SELECT i AS q_id, (i % 79) * 0.5 AS c0, (i // 79) * 0.5 AS c1, n FROM n, (SELECT unnest(range(0, 79 * (2 * {last(40)} - 1))) AS i)) " + _taps_sql((40,)))
 def resample(spark, d):
-    """A 10 x 10 image on a grid twice as fine."""
-    fine = gr.Grid((0.0, 0.0), (0.5, 0.5), (19, 19)).points(spark)
-    return gr.interpolate(fine, _image(spark, d), gr.Grid((0.0, 0.0), (1.0, 1.0), (10, 10)), ("x", "y"), "voxel_id").select("q_id", r("value").alias("value"))
+    """The image of `part` on a grid twice as fine."""
+    grid = grid_of(spark, d, (40,))
+    fine = gr.Grid((0.0, 0.0), (0.5, 0.5), tuple(2 * n - 1 for n in grid.size)).points(spark)
+    return gr.interpolate(fine, _image(spark, d), grid, ("x", "y"), "voxel_id").select("q_id", r("value").alias("value"))
 
 
 # --- meshes
@@ -726,13 +746,13 @@ def integer_blend(spark, d):
     return t(spark, d, "part").select(i, sc.blend(i % 256, F.col("p_size"), i % 10 / 10.0, "int").cast("long").alias("blended"))
 
 
-VEC = "v AS (SELECT l_orderkey, l_linenumber, l_quantity AS ax, l_discount * 100 AS ay, l_tax * 100 AS az, l_tax * 50 AS bx, l_quantity / 10 AS b_y, 3.0::DOUBLE AS bz FROM lineitem WHERE l_orderkey % 10 = 0)"
+VEC = "v AS (SELECT l_orderkey, l_linenumber, l_quantity AS ax, l_discount * 100 AS ay, l_tax * 100 AS az, l_tax * 50 AS bx, l_quantity / 10 AS b_y, 3.0::DOUBLE AS bz FROM lineitem)"
 
 
 @query(f"WITH {VEC} SELECT l_orderkey, l_linenumber, round(ax * bx + ay * b_y + az * bz, 6) AS dot, round(sqrt(ax * ax + ay * ay + az * az), 6) AS norm, round(ay * bz - az * b_y, 6) AS cx, round(az * bx - ax * bz, 6) AS cy, round(ax * b_y - ay * bx, 6) AS cz, round(ax / sqrt(ax * ax + ay * ay + az * az), 6) AS ux, round(ay * b_y, 6) AS ey, round(ax * bz, 6) AS outer_xz FROM v")
 def vector_algebra(spark, d):
     a, b = Vec.of("ax", "ay", "az"), Vec.of("bx", "by", "bz")
-    rows = t(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("ax"), (F.col("l_discount") * 100).alias("ay"), (F.col("l_tax") * 100).alias("az"), (F.col("l_tax") * 50).alias("bx"), (F.col("l_quantity") / 10).alias("by"), F.lit(3.0).alias("bz"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("ax"), (F.col("l_discount") * 100).alias("ay"), (F.col("l_tax") * 100).alias("az"), (F.col("l_tax") * 50).alias("bx"), (F.col("l_quantity") / 10).alias("by"), F.lit(3.0).alias("bz"))
     return rows.select("l_orderkey", "l_linenumber", r(a.dot(b)).alias("dot"), r(a.norm()).alias("norm"), *[r(x).alias(n) for x, n in zip(a.cross(b).parts, ("cx", "cy", "cz"))], r(a.normalized()[0]).alias("ux"), r(a.elementwise(b)[1]).alias("ey"), r(a.outer(b).rows[0][2]).alias("outer_xz"))
 
 
