@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,3 +127,26 @@ def line_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec) -> dict[s
     v, t = direction.dot(q) / over, e2.dot(q) / over
     hit = F.coalesce((u >= 0) & (v >= 0) & (u + v <= 1), F.lit(False))
     return {"hit": hit, "t": F.when(hit, t), "u": F.when(hit, 1 - u - v), "v": F.when(hit, u), "w": F.when(hit, v)}
+
+
+def containment_spheres(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, radii) of the least spheres around each of n sets of m points (n, m, 3), m from 1 to 4.
+
+    The least sphere is the circumsphere, within their plane or line, of some of the points that holds the others: of
+    all such spheres, the smallest.
+    """
+    n, m, _ = corners.shape
+    best_centre, best = np.zeros((n, 3)), np.full(n, np.inf)
+    for size in range(1, m + 1):
+        for chosen in itertools.combinations(range(m), size):
+            a = corners[:, chosen[0]]
+            edges = corners[:, list(chosen[1:])] - a[:, None]
+            # the centre is a + edges^T w with the same distance to all: 2 E E^T w = |E|^2
+            gram = edges @ edges.transpose(0, 2, 1)
+            w = np.einsum("nij,nj->ni", np.linalg.pinv(2 * gram), np.einsum("nii->ni", gram)) if size > 1 else np.zeros((n, 0))
+            centre = a + np.einsum("ni,nid->nd", w, edges)
+            radius = np.linalg.norm(centre - a, axis=1)
+            reach = np.linalg.norm(corners - centre[:, None], axis=2).max(axis=1)
+            holds = (reach <= radius + 1e-9 * (1 + radius)) & (reach < best - 1e-12 * (1 + reach))
+            best_centre[holds], best[holds] = centre[holds], reach[holds]
+    return best_centre, best

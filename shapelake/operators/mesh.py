@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +186,24 @@ class Mesh:
         ends = [f(*[F.col(f"a{k}.{n}") for k in range(self.corners)]).alias(f"{e}_{n}") for n in XYZ for e, f in (("lo", F.least), ("hi", F.greatest))]
         return corners.select(F.col("cell_id").alias("item_id"), *ends, *[F.col(f"a0.{n}").alias(f"rep_{n}") for n in XYZ])
 
+    def distance_to(self, other: Mesh, size: float) -> DataFrame:
+        """(q_id, d): the distance of each vertex to the nearest point of another mesh's surface."""
+        points = self.points.select(F.col("point_id").alias("q_id"), *XYZ)
+        return other.closest_on_surface(points, size).select("q_id", F.sqrt("d2").alias("d"))
+
+    def containment_spheres(self) -> DataFrame:
+        """(cell_id, cx, cy, cz, radius): the least sphere around each cell."""
+        n = self.corners
+        corners = self.cornered().select("cell_id", F.array(*[F.col(f"a{k}.{c}") for k in range(n) for c in XYZ]).alias("v"))
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    centre, radius = bc.containment_spheres(np.stack(pdf.v.to_numpy()).reshape(-1, n, 3))
+                    yield pd.DataFrame({"cell_id": pdf.cell_id, "cx": centre[:, 0], "cy": centre[:, 1], "cz": centre[:, 2], "radius": radius})
+
+        return corners.mapInPandas(run, "cell_id long, cx double, cy double, cz double, radius double")
+
     def intersections(self, lines: DataFrame, size: float = 1.0) -> DataFrame:
         """line_id, cell_id, t, u, v, w where lines (line_id, ox, oy, oz, dx, dy, dz) meet triangles, both ways.
 
@@ -219,6 +239,16 @@ def average_distance(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
     return nearest(a, b, start, query_id="point_id", point_id="point_id").agg(F.avg(F.sqrt("d2")).alias("avg_distance"))
 
 
+def average_surface_distance(a: Mesh, b: Mesh, size: float) -> DataFrame:
+    """Mean distance of a's vertices to b's surface: one direction only."""
+    return a.distance_to(b, size).agg(F.avg("d").alias("avg_distance"))
+
+
+def surface_hausdorff(a: Mesh, b: Mesh, size: float) -> DataFrame:
+    """Largest distance of a vertex of either mesh to the other's surface."""
+    return a.distance_to(b, size).unionByName(b.distance_to(a, size)).agg(F.max("d").alias("hausdorff"))
+
+
 def dice(inside_a: Column, inside_b: Column, samples: DataFrame) -> DataFrame:
     """2 |A and B| / (|A| + |B|) over sample points."""
     n = lambda c: F.sum(c.cast("double"))

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from shapelake.operators.grid import Grid
-from shapelake.operators.mesh import Mesh, sample_on_surface
+from shapelake.operators.mesh import Mesh, numbered, sample_on_surface
+from shapelake.storage import saved
 
 XYZ = ("x", "y", "z")
 
@@ -58,6 +59,19 @@ def in_tetrahedra(mesh: Mesh, n: int, seed: int) -> DataFrame:
     return rows.join(mesh.cornered(), "cell_id").select("cell_id", *at)
 
 
+def vertices(mesh: Mesh, n: int, seed: int) -> DataFrame:
+    """(sample_id, x, y, z, density): n draws with repetition among the points of any mesh, the same for the same seed."""
+    points = numbered(mesh.points.select("point_id", *XYZ), "point_id", "__k")
+    many, measure = mesh.points.count(), mesh.measure().select(F.col("measure").alias("total"))
+    drawn = mesh.points.sparkSession.range(n if many else 0).select(F.col("id").alias("sample_id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(many, 1))).alias("__k"))
+    return drawn.join(points, "__k").crossJoin(F.broadcast(measure)).select("sample_id", *XYZ, (1 / F.col("total")).alias("density"))
+
+
+def fixed(samples: DataFrame) -> DataFrame:
+    """The same draws each time: a sampler's rows, kept in the shared folder."""
+    return samples.transform(saved)
+
+
 @udtf(returnType=T.StructType([T.StructField(n, T.DoubleType()) for n in XYZ]))
 class UniformBox:
     """SELECT * FROM uniform_box(n, side, seed): n points uniform in a cube from the origin."""

@@ -37,10 +37,17 @@ def faces(mesh: Mesh) -> Mesh:
 
 
 def closest_in_volume(mesh: Mesh, queries: DataFrame, radius: float) -> DataFrame:
-    """q_id, inside, d2: 0 for points in a tetrahedron, else the squared distance to the nearest boundary face."""
-    inside = containing_cells(mesh, queries, radius).select("q_id", F.lit(True).alias("inside"), F.lit(0.0).alias("d2"))
-    outer = mesh.outer_surface().closest_on_surface(queries.join(inside, "q_id", "left_anti"), radius)
-    return inside.unionByName(outer.select("q_id", F.lit(False).alias("inside"), "d2"))
+    """q_id, inside, d2, x, y, z, cell_id, weights of the closest point of the volume to each (q_id, x, y, z).
+
+    A point in a tetrahedron is its own closest point: d2 is 0, cell_id the tetrahedron, weights its four. Else cell_id
+    is the nearest triangle of the outer surface (see Mesh.outer_surface) and weights are its three.
+    """
+    held = containing_cells(mesh, queries, radius).join(queries.select("q_id", *XYZ), "q_id")
+    inside = held.select("q_id", F.lit(True).alias("inside"), F.lit(0.0).alias("d2"), *XYZ, "cell_id", F.array("w0", "w1", "w2", "w3").alias("weights"))
+    surface = mesh.outer_surface()
+    hits = surface.closest_on_surface(queries.join(inside, "q_id", "left_anti"), radius).join(surface.cornered(), "cell_id")
+    at = [(F.col("u") * F.col(f"a0.{n}") + F.col("v") * F.col(f"a1.{n}") + F.col("w") * F.col(f"a2.{n}")).alias(n) for n in XYZ]
+    return inside.unionByName(hits.select("q_id", F.lit(False).alias("inside"), "d2", *at, "cell_id", F.array("u", "v", "w").alias("weights")))
 
 
 def volume_intersections(mesh: Mesh, lines: DataFrame) -> DataFrame:

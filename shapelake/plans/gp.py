@@ -75,6 +75,9 @@ class Mvn:
         return Mvn(self.mean[r] + gain @ (np.array([observed[k] for k in o]) - self.mean[o]), self.cov[np.ix_(r, r)] - gain @ self.cov[np.ix_(o, r)])
 
 
+#: The older name of the same distribution.
+NDimensionalNormal = Mvn
+
 Mean = Callable[[np.ndarray], np.ndarray]
 
 

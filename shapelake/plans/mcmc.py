@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,11 +152,15 @@ def metropolis_hastings(proposal: Proposal, evaluator: Evaluator, start: State,
 
 
 def with_prefetching(proposal: Proposal, evaluator: Evaluator, start: State, rng: np.random.Generator, batch: int = 8) -> Iterator[tuple[State, bool, str, float]]:
-    """As metropolis_hastings, with proposals from the same state evaluated in batches; after an acceptance the rest of a batch goes."""
+    """As metropolis_hastings, with proposals from the same state evaluated together, in `batch` threads; after an acceptance the rest of a batch goes.
+
+    It pays where an evaluator waits or lets go of the interpreter (NumPy on large arrays, a Spark job), and few proposals are accepted.
+    """
     current, p = np.asarray(start, float), evaluator(start)
+    pool = ThreadPoolExecutor(batch)
     while True:
         drawn = [proposal.propose(current, rng) for _ in range(batch)]
-        values = [evaluator(s) for s, _ in drawn]
+        values = list(pool.map(evaluator, [s for s, _ in drawn]))
         for (new, label), q in zip(drawn, values):
             gain = q - p - proposal.log_ratio(current, new)
             accepted = gain > 0 or rng.random() < math.exp(gain)

@@ -112,6 +112,10 @@ def gp_transformation_space(low_rank) -> Space:
         def numpy(self, points: np.ndarray) -> np.ndarray:
             return points + low_rank.instance(np.array(self.parameters), points)
 
+        def parameter_jacobian(self, point: np.ndarray, h: float = 1e-6) -> np.ndarray:
+            """Exact: the basis at the point, scaled by the standard deviations."""
+            return low_rank.q(np.atleast_2d(point))
+
     build = lambda p: Deformation(np.eye(low_rank.dim), np.zeros(low_rank.dim), tuple(p), build)
     return Space(low_rank.rank, build, (0.0,) * low_rank.rank)
 
