@@ -1,11 +1,17 @@
 """Substring dedup by recompression.
 
-Rounds of recompression name runs of equal words and then pairs of neighbouring symbols. A name is a 64-bit hash of
-what it stands for, so every round names the same run or pair alike in all documents without an exchange of names.
-Whether two symbols pair depends on them alone (a bit of each says left or right), so equal passages get equal
-symbols inside, up to the stretch at either end that the symbols' context reaches over. For each window of words the
-symbol inside it with the least hash is its anchor; anchors that occur once in the corpus rule out all their windows,
-the others' windows are compared by 128 bits of hash of their words.
+Rounds of recompression name runs of equal words and then pairs of neighbouring symbols. A name is a hash of what it
+stands for, so a run or pair is named alike in all documents; whether two symbols pair depends on them alone (a bit of
+each says left or right), so equal passages get equal symbols inside, up to the stretch at either end that the symbols'
+context reaches over. Spark exchanges names twice, over the whole corpus:
+
+* after ROUNDS rounds, those of anchors: for each window of words the symbol inside it with the least hash is its
+  anchor, and an anchor that occurs once rules out all its windows;
+* after LAST_ROUND rounds, those of the high-level symbols, which stand for LONG words and more: all occurrences but the
+  first of one that occurs twice are repeats, so their windows are settled.
+
+The windows that are left are compared one by one. High-level symbols and windows are equal if 128 bits of hash of
+their words are.
 """
 
 from __future__ import annotations
@@ -23,48 +29,74 @@ from shapelake.llm.common import ragged, read, stored, told_apart
 from shapelake.llm.wordhash import BASE_1, BASE_2, BLOCK_CHARS, Piece, forget, mix, rolling, word_blocks, word_hashes
 
 WINDOW = 20
-ROUNDS = 4
+ROUNDS, LAST_ROUND = 4, 20
+#: High-level symbols stand for so many words at least.
+LONG = 40
 LAST = 2**63 - 1
 
 
-def recompress(words: np.ndarray, lens: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, first, end) of the symbols after the rounds; [first, end) are the words that determine a symbol.
+def runs(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(symbols, first, end, start, is a word's) of runs of equal words, in positions that count words with a stop before each text and after the last.
 
-    Positions count words with a stop before each text and after the last. A stop is a symbol of its own kind that
-    never pairs; what depends on one has it in its context, which no window holds.
+    start is the position a symbol begins at; [first, end) are those that determine it. A stop is a symbol of its own
+    kind that never pairs; what depends on one has it in [first, end), which no window holds.
     """
     n, stops = len(words) + len(lens) + 1, np.concatenate([[0], np.cumsum(lens + 1)])
     sym = np.zeros(n, np.uint64)
     is_word = np.ones(n, bool)
     is_word[stops] = False
     sym[is_word] = words
-    first, end = np.arange(n), np.arange(n) + 1
-    # runs of equal words, which depend on the words next to them
+    # runs depend on the words next to them
     start = np.concatenate([[True], (sym[1:] != sym[:-1]) | ~is_word[1:] | ~is_word[:-1]])
     at = np.flatnonzero(start)
     size = np.diff(np.append(at, n))
     sym = np.where(size > 1, mix(sym[at] ^ mix(size.astype(np.uint64))), sym[at])
-    word = is_word[at]
-    first, end = np.maximum(at - 1, 0), np.minimum(at + size + 1, n)
+    return sym, np.maximum(at - 1, 0), np.minimum(at + size + 1, n), at, is_word[at]
+
+
+def paired(sym: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(names, left, right, opens, closes) of round k: a symbol that opens a pair gets its name, the one that closes it goes."""
+    left = ((mix(sym + np.uint64(k)) >> np.uint64(13)) & np.uint64(1)).astype(bool) & word
+    right = ~left & word
+    opens = np.append(left[:-1] & right[1:], False)
+    closes = np.concatenate([[False], opens[:-1]])
+    named = np.where(opens, mix(sym * np.uint64(3) + mix(np.append(sym[1:], np.uint64(0)))), sym)
+    return named, left, right, opens, closes
+
+
+def recompress(words: np.ndarray, lens: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """(symbol, first, end, start, is a word's) after the rounds; see runs."""
+    sym, first, end, start, word = runs(words, lens)
     for k in range(rounds):
-        left = ((mix(sym + np.uint64(k)) >> np.uint64(13)) & np.uint64(1)).astype(bool) & word
-        right = ~left & word
-        opens = np.append(left[:-1] & right[1:], False)
-        closes = np.concatenate([[False], opens[:-1]])
+        named, left, right, opens, closes = paired(sym, word, k)
         new_first = np.where(right & ~closes, np.concatenate([first[:1], first[:-1]]), first)
         new_end = np.where(left | opens, np.append(end[1:], end[-1:]), end)
-        named = np.where(opens, mix(sym * np.uint64(3) + mix(np.append(sym[1:], np.uint64(0)))), sym)
-        sym, first, end, word = named[~closes], new_first[~closes], new_end[~closes], word[~closes]
-    keep = word
-    return sym[keep], first[keep], end[keep]
+        sym, first, end, start, word = named[~closes], new_first[~closes], new_end[~closes], start[~closes], word[~closes]
+    return sym, first, end, start, word
 
 
-def anchors(words: np.ndarray, lens: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, name, from, to): the windows of a text that start in [from, to) have the anchor of that name.
+def long_symbols(sym: np.ndarray, start: np.ndarray, word: np.ndarray, n: int, least: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) positions of all symbols of `least` words and more that the further rounds form, of what `recompress` gives on n positions."""
+    begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(ROUNDS, LAST_ROUND):
+        named, _, _, opens, closes = paired(sym, word, k)
+        sym, start, word, formed = named[~closes], start[~closes], word[~closes], opens[~closes]
+        end = np.append(start[1:], n)
+        at = np.flatnonzero(formed & (end - start >= least))
+        begins.append(start[at])
+        ends.append(end[at])
+    return np.concatenate(begins), np.concatenate(ends)
 
-    A name covers the words that determine the anchor. A window without a symbol inside is its own anchor.
+
+def anchors(words: np.ndarray, lens: np.ndarray, width: int = WINDOW) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((text, name, from, to), (text, h, g, place, length)): anchors and high-level symbols.
+
+    The windows of a text that start in [from, to) have the anchor of that name, which covers the words that determine
+    it; a window without a symbol inside is its own anchor. A high-level symbol has the words from its place on.
     """
-    sym, first, end = recompress(words, lens)
+    sym, first, end, start, word = recompress(words, lens)
+    high = long_symbols(sym, start, word, len(words) + len(lens) + 1, max(LONG, width))
+    sym, first, end = sym[word], first[word], end[word]
     stops = np.concatenate([[0], np.cumsum(lens + 1)])
     flat = np.zeros(len(words) + len(lens) + 1, np.uint64)
     is_word = np.ones(len(flat), bool)
@@ -86,8 +118,10 @@ def anchors(words: np.ndarray, lens: np.ndarray, width: int = WINDOW) -> tuple[n
     own = a < 0
     begin, stop = p[at], p[at] + width
     begin[~own], stop[~own] = first[a[~own]], end[a[~own]]
-    name = ranges_hash(flat, begin, stop)
-    return text[at], mix(name + (stop - begin).astype(np.uint64)), place[at], place[at] + until - at
+    name = ranges_hash(flat, begin, stop, BASE_1)
+    h, g = (mix(ranges_hash(v, *high, base) + (high[1] - high[0]).astype(np.uint64)) for v, base in ((flat, BASE_1), (mix(flat), BASE_2)))
+    inside = np.searchsorted(stops, high[0], side="right") - 1
+    return (text[at], mix(name + (stop - begin).astype(np.uint64)), place[at], place[at] + until - at), (inside, h, g, high[0] - stops[inside] - 1, high[1] - high[0])
 
 
 def before(points: np.ndarray, n: int) -> np.ndarray:
@@ -112,40 +146,49 @@ def least_between(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def ranges_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def ranges_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash of values[start:stop] for each range, from one running sum."""
     n = len(values)
-    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, BASE_1, np.uint64)]))
-    inverse = np.multiply.accumulate(np.full(n, pow(BASE_1, -1, 2**64), np.uint64))
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+    inverse = np.multiply.accumulate(np.full(n, pow(base, -1, 2**64), np.uint64))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values * inverse)])
     return (sums[stop] - sums[start]) * powers[stop]
 
 
+SCANNED = "k long, t long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>, h array<long>, g array<long>, places array<int>, sizes array<int>"
+
+
 def scan(docs: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of (k, t, text): k, t, n_words, sha (of its words), names, starts, ends."""
+    """One row per row of (k, t, text): k, t, n_words, sha (of its words), anchors (names, starts, ends), high-level symbols (h, g, places, sizes)."""
+    names = [c.split()[0] for c in SCANNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             n_words, shas = np.zeros(len(batch), np.int64), [hashlib.sha256() for _ in range(len(batch))]
-            found: list[tuple[np.ndarray, ...]] = []
+            low: list[tuple[np.ndarray, ...]] = []
+            high: list[tuple[np.ndarray, ...]] = []
             for block in word_blocks(batch.column(2), width - 1, most_chars):
                 hashes, lens = word_hashes([x.words for x in block])
-                piece, name, a, b = anchors(hashes, lens, width)
+                (piece, name, a, b), (inside, h, g, place, size) = anchors(hashes, lens, width)
                 row, first = np.array([x.row for x in block]), np.array([x.first for x in block])
-                found.append((row[piece].astype(np.int32), name, (a + first[piece]).astype(np.int32), (b + first[piece]).astype(np.int32)))
+                low.append((row[piece].astype(np.int32), name.view(np.int64), (a + first[piece]).astype(np.int32), (b + first[piece]).astype(np.int32)))
+                order = np.argsort(inside, kind="stable")
+                high.append((row[inside[order]].astype(np.int32), h[order].view(np.int64), g[order].view(np.int64), (place + first[inside])[order].astype(np.int32), size[order].astype(np.int32)))
                 for x in block:
                     if x.own:
                         shas[x.row].update(((" " if n_words[x.row] else "") + " ".join(x.words[: x.own])).encode())
                         n_words[x.row] += x.own
-            row, name, a, b = (np.concatenate(c) for c in zip(*found))
-            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (name.view(np.int64), a, b)]
-            yield pa.record_batch([*batch.columns[:2], pa.array(n_words), pa.array([x.hexdigest() for x in shas], pa.string()), *lists], ["k", "t", "n_words", "sha", "names", "starts", "ends"])
+            lists = []
+            for found in (low, high):
+                row, *columns = (np.concatenate(c) for c in zip(*found))
+                offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+                lists += [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+            yield pa.record_batch([*batch.columns[:2], pa.array(n_words), pa.array([x.hexdigest() for x in shas], pa.string()), *lists], names)
         forget()
 
-    return docs.mapInArrow(run, "k long, t long, n_words long, sha string, names array<long>, starts array<int>, ends array<int>")
+    return docs.mapInArrow(run, SCANNED)
 
 
 def lists_of(column: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +208,7 @@ def marked(ranges: pa.ListArray, block: list[Piece], begin: np.ndarray, room: np
 
 
 def window_keys(found: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(h, g, k, t, p): 128 bits of hash of each window in the ranges of (k, t, text, ranges), and its place."""
+    """(h, g, k, t, p): 128 bits of hash of each window in ranges, but not in settled, of (k, t, text, ranges, settled), and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +216,8 @@ def window_keys(found: DataFrame, width: int = WINDOW, most_chars: int = BLOCK_C
             for block in word_blocks(batch.column(2), width - 1, most_chars):
                 hashes, lens = word_hashes([x.words for x in block])
                 begin, own = np.cumsum(lens) - lens, np.array([x.own for x in block])
-                at = np.flatnonzero(marked(batch.column(3), block, begin, own, 0, len(hashes)))
+                open_, settled = (marked(batch.column(c), block, begin, own, 0, len(hashes)) for c in (3, 4))
+                at = np.flatnonzero(open_ & ~settled)
                 piece = np.searchsorted(begin, at, side="right") - 1
                 row, first = np.array([x.row for x in block])[piece], np.array([x.first for x in block])[piece]
                 h, g = rolling(hashes, width, BASE_1)[at], rolling(mix(hashes), width, BASE_2)[at]
@@ -229,14 +273,20 @@ def repeats_by_row(docs: DataFrame, width: int = WINDOW, most_chars: int = BLOCK
     leaders = stored(seen.groupBy("sha").agg(F.min(F.struct("k", "t", "u")).alias("first")).select("sha", F.col("first.u").alias("leader")), "leaders")
     marked = seen.select("u", "k", "t", "n_words", "sha").join(leaders, "sha").withColumn("copy", F.col("u") != F.col("leader"))
     summary = stored(marked, "documents")
-    repeated = seen.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    repeated = stored(repeated, "repeated")
+    # of whole copies, equal names lie at equal places: they count as one occurrence
+    twice = lambda place: (F.min(F.xxhash64("sha", place)) != F.max(F.xxhash64("sha", place))).alias("twice")
+    named = seen.select("sha", F.explode(F.arrays_zip("names", "starts")).alias("x")).select("sha", F.col("x.names").alias("name"), F.col("x.starts").alias("a"))
+    repeated = stored(named.groupBy("name").agg(twice("a")).filter("twice").select("name"), "repeated")
     rows = seen.select("u", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("u", F.col("x.names").alias("name"), F.struct(F.col("x.starts").alias("a"), F.col("x.ends").alias("b")).alias("r"))
     ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("u").agg(F.collect_list("r").alias("ranges"))
+    high = seen.select("u", "k", "t", "sha", F.explode(F.arrays_zip("h", "g", "places", "sizes")).alias("x")).select("u", "k", "t", "sha", "x.h", "x.g", F.col("x.places").alias("a"), F.col("x.sizes").alias("size"))
+    shared = stored(high.groupBy("h", "g").agg(twice("a"), F.min(F.struct("k", "t", "a")).alias("first")).filter("twice").select("h", "g", "first"), "shared")
+    later = high.join(shared.hint("merge"), ["h", "g"]).filter((F.col("k") != F.col("first.k")) | (F.col("t") != F.col("first.t")) | (F.col("a") != F.col("first.a")))
+    settled = later.groupBy("u").agg(F.collect_list(F.struct("a", (F.col("a") + F.col("size") - (width - 1)).alias("b"))).alias("settled"))
     # of rows alike in (k, t) at most one is no copy, so (k, t) finds its text
-    ranges = stored(ranges.join(summary.filter("NOT copy").select("u", "k", "t"), "u"), "ranges", "zstd")
-    found = stored(texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges"), "found", "zstd")
-    groups = window_keys(found.select("k", "t", "text", "ranges"), width, most_chars).groupBy("h", "g").agg(F.min(F.struct("k", "t", "p")).alias("first"))
+    ranges = stored(ranges.join(summary.filter("NOT copy").select("u", "k", "t"), "u").join(settled, "u", "left"), "ranges", "zstd")
+    found = stored(texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges", "settled"), "found", "zstd")
+    groups = window_keys(found.select("k", "t", "text", "ranges", "settled"), width, most_chars).groupBy("h", "g").agg(F.min(F.struct("k", "t", "p")).alias("first"))
     firsts = groups.groupBy(F.col("first.k").alias("k"), F.col("first.t").alias("t")).agg(F.collect_list("first.p").alias("firsts"))
     changed = cut(found.join(firsts.hint("merge"), ["k", "t"], "left").select("u", "text", "ranges", "firsts"), width, most_chars)
     return summary, changed
