@@ -10,8 +10,8 @@ from shapelake.llm.common import n_words_of, read, stored
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: Hexadecimal digits of the seeded hash that name one of 65,536 slices of a source.
-SLICE_DIGITS = 4
+#: Hexadecimal digits of the seeded hash that name one of 4096 slices of a source, or of a slice.
+SLICE_DIGITS = 3
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -49,28 +49,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
     A source whose target is r times its size takes every document floor(r) times, and once more those that come
     first by a seeded hash, until the fraction of r is reached (to within half a document). The order within a
-    source is found in two steps so that no task sorts a whole source: slices of the hash space are summed, then
-    only the slice that holds the cut is ordered. Null sources are a source of their own, null sizes count as 0,
-    rows alike in id and size lie side by side in the order, by a hash of what they carry. Empty input gives an empty
-    result.
+    source is found in three steps so that no task sorts a whole source: slices of the hash space are summed, then slices
+    of the slice that holds the cut, and only the rows of that one of these which holds it are ordered. Rows meet one row a source,
+    so those that carry much aren't shuffled where the sources are few. Null sources are a source of their own, null
+    sizes count as 0, rows alike in id and size lie side by side in the order, by a hash of what they carry. Empty
+    input gives an empty result.
     """
-    sized = docs.select("doc_id", "source", *carry, F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("key", seeded(F.col("doc_id"), F.col("size"), seed)).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    sized = docs.select("doc_id", "source", *carry, F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("key", seeded(F.col("doc_id"), F.col("size"), seed))
+    sized = sized.withColumns({"slice": F.substring("key", 1, SLICE_DIGITS), "part": F.substring("key", SLICE_DIGITS + 1, SLICE_DIGITS)})
     slices = stored(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     targets = stored(water_fill(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs), "targets").withColumns({
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
     }).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    order = Window.partitionBy("source").orderBy("slice")
-    cuts = (
-        slices.withColumn("before", F.sum("words").over(order) - F.col("words"))
-        .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "slice", "words", "before", "source_size", "target", "whole", "wanted")
-    )
-    joined = sized.withColumnsRenamed({"source": "ds", "slice": "dl"}).join(cuts, F.col("ds").eqNullSafe(F.col("source")) & (F.col("dl") == F.col("slice")))
-    within = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), *([F.xxhash64(*carry)] if carry else []))
-    inside = (F.col("before") < F.col("wanted")) & (F.col("before") + F.col("words") > F.col("wanted"))
-    cut = joined.filter(inside).withColumn("at", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    rest = joined.filter(~inside).withColumn("at", F.col("before").cast("double"))
-    both = cut.withColumn("extra", F.col("at") <= F.col("wanted")).unionByName(rest.withColumn("extra", F.col("at") < F.col("wanted")))
+
+    def cut_of(sums: DataFrame, limits: DataFrame, step: str) -> DataFrame:
+        """limits (s, wanted, ..) with the first step of the source whose words reach beyond what is wanted, as `step`_cut, and what comes before it."""
+        order = Window.partitionBy("source").orderBy(step)
+        met = sums.withColumn("before", F.sum("words").over(order) - F.col("words")).join(limits.select(F.col("s").alias("l"), "wanted"), F.col("source").eqNullSafe(F.col("l")))
+        first = met.filter(F.col("before") + F.col("words") > F.col("wanted")).groupBy(F.col("source").alias("f")).agg(F.min(step).alias(f"{step}_cut"), F.min("before").alias("before"))
+        return limits.join(first, F.col("s").eqNullSafe(F.col("f")), "left").drop("f")
+
+    limits = stored(cut_of(slices, targets.withColumnRenamed("source", "s"), "slice"), "limits")
+    at_cut = sized.select("source", "slice", "part", "size").join(limits.select(F.col("s").alias("l"), "slice_cut"), F.col("source").eqNullSafe(F.col("l")) & (F.col("slice") == F.col("slice_cut")))
+    inner = limits.select("s", (F.col("wanted") - F.col("before")).alias("wanted"))
+    parts = cut_of(at_cut.groupBy("source", "part").agg(F.sum("size").alias("words")), inner, "part").select(F.col("s").alias("p"), "part_cut", F.col("before").alias("within"))
+    limits = stored(limits.join(parts, F.col("s").eqNullSafe(F.col("p"))).drop("p"), "cuts")
+    joined = sized.join(limits, F.col("source").eqNullSafe(F.col("s")))
+    # a source without words has no cut, and its rows aren't taken once more
+    compare = lambda mine, cut: F.when(F.col(mine) < F.col(cut), -1).when(F.col(mine) == F.col(cut), 0).otherwise(1)
+    side = F.when(compare("slice", "slice_cut") == 0, compare("part", "part_cut")).otherwise(compare("slice", "slice_cut"))
+    placed = joined.withColumn("side", side)
+    within = Window.partitionBy("source", "slice", "part").orderBy("key", F.col("doc_id").asc_nulls_last(), *([F.xxhash64(*carry)] if carry else []))
+    upto = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
+    cut = placed.filter("side = 0").withColumn("extra", F.col("before") + F.col("within") + upto <= F.col("wanted"))
+    both = placed.filter("side <> 0").withColumn("extra", F.col("side") < 0).unionByName(cut)
     repeats = F.least(F.col("whole") + F.col("extra").cast("long"), F.lit(max_epochs).cast("long"))
     return both.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), *carry)
 
