@@ -1,15 +1,35 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""The folder that all executors share, and cutting lineage in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or the context's checkpoint folder. A local session without one, as in tests, gets its own; a cluster raises."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    kept = context._jsc.sc().getCheckpointDir()
+    if not found and kept.isDefined():
+        found = kept.get()
+    if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shapelake-")
+    if not kept.isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed and checkpointed in the folder of spark.checkpoint.dir; where unset, as in tests, in one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shapelake-"))
+    """df, computed and checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from shapelake import model_queries as q
+from shapelake import more_queries as q
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not there")
@@ -40,6 +40,6 @@ def test_same_rows_as_sql(spark, duck, name):
             assert ((ours[c] == theirs[c]) | (ours[c].isna() & theirs[c].isna())).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.SQL) - {"cross_validation"}))
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.SQL)))
 def test_rows(spark, name):
     assert q.QUERIES[name](spark, DATA).count() > 0
