@@ -52,6 +52,25 @@ def vtk_tetrahedra(spark, d):
     return tb.mesh_of(spark, path).cells.select("cell_id", *[F.element_at("pids", k + 1).alias(n) for k, n in enumerate("abcd")])
 
 
+TETS = f"WITH {TET} SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_id, pids[1] AS a, pids[2] AS b, pids[3] AS c, pids[4] AS d FROM tets"
+
+
+def _tets_through(spark, d, kind):
+    path = fresh_path(spark, f"tetrahedra.{kind}")
+    tb.write_mesh(spark, _plain(tet_mesh(spark, d)), path, "value")
+    return tb.mesh_of(spark, path)
+
+
+@query(TETS)
+def vtu_tetrahedra(spark, d):
+    return _tets_through(spark, d, "vtu").cells.select("cell_id", *[F.element_at("pids", k + 1).alias(n) for k, n in enumerate("abcd")])
+
+
+@query(f"WITH {MESH} SELECT point_id, round(x, 6) AS x, round(z, 6) AS z, round(value, 6) AS value FROM pts")
+def inp_points(spark, d):
+    return _tets_through(spark, d, "inp").points.select("point_id", *[r(c).alias(c) for c in ("x", "z", "value")])
+
+
 def _line_mesh(spark, d, flipped: bool = False) -> Mesh:
     """The vertices of `part` in a row, every other piece of which may run backwards."""
     points = part_mesh(spark, d).points

@@ -108,3 +108,70 @@ def test_windowed_moments_on_a_stream(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT n, mean, var FROM moments").collect()
     assert [tuple(r) for r in rows] == [(2, 2.0, 2.0)]
+
+
+def vtu(kind, packed=False, raw=False):
+    """A file of one tetrahedron and one hexagon-like cell, its arrays in a given form."""
+    import base64
+    import zlib
+
+    arrays = [("points", "Float32", np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [5, 5, 5]], "<f4")), ("connectivity", "Int64", np.array([0, 1, 2, 0, 1, 2, 3], "<i8")), ("offsets", "Int32", np.array([3, 7], "<i4")), ("types", "UInt8", np.array([5, 10], "u1")), ("v", "Float64", np.arange(5) * 1.5)]
+    appended, parts = b"", {}
+
+    def code(a):
+        b = a.tobytes()
+        if packed:
+            half = len(b) // 2 + 1
+            blocks = [zlib.compress(x) for x in (b[:half], b[half:])]
+            head = np.array([2, half, len(b) - half, *map(len, blocks)], "<u4").tobytes()
+            return head + b"".join(blocks) if raw else base64.b64encode(head) + base64.b64encode(b"".join(blocks))
+        head = np.array([len(b)], "<u4").tobytes()
+        return head + b if raw else base64.b64encode(head + b)
+
+    for name, type_, a in arrays:
+        n = f'NumberOfComponents="{3 if name == "points" else 1}"'
+        if kind == "appended":
+            parts[name] = f'<DataArray type="{type_}" Name="{name}" {n} format="appended" offset="{len(appended)}"/>'
+            appended += code(a)
+        else:
+            body = code(a).decode() if kind == "binary" else " ".join(map(str, a.ravel().tolist()))
+            parts[name] = f'<DataArray type="{type_}" Name="{name}" {n} format="{kind}">{body}</DataArray>'
+    more = 'compressor="vtkZLibDataCompressor"' if packed else ""
+    tail = (f'<AppendedData encoding="{"raw" if raw else "base64"}">_'.encode() + appended + b"</AppendedData>") if appended else b""
+    text = f'<VTKFile type="UnstructuredGrid" byte_order="LittleEndian" {more}><UnstructuredGrid><Piece NumberOfPoints="5" NumberOfCells="2"><PointData>{parts["v"]}</PointData><Points>{parts["points"]}</Points><Cells>{parts["connectivity"]}{parts["offsets"]}{parts["types"]}</Cells></Piece></UnstructuredGrid>'
+    return text.encode() + tail + b"</VTKFile>"
+
+
+@pytest.mark.parametrize("form", [("ascii",), ("binary",), ("binary", True), ("appended",), ("appended", True), ("appended", False, True), ("appended", True, True)])
+def test_vtu_in_all_forms(form):
+    from shapelake.sources import unstructured as us
+
+    m = us.read_vtu(vtu(*form))
+    assert m.points.shape == (5, 3) and m.cells.tolist() == [[0, 1, 2, 3]] and m.values.tolist() == [0, 1.5, 3, 4.5, 6]
+
+
+def test_tetrahedra_through_text_files():
+    from shapelake.sources import unstructured as us
+
+    m = fm.MeshData(np.random.default_rng(1).normal(0, 1, (6, 3)), np.array([[0, 1, 2, 3], [2, 3, 4, 5]]), np.arange(6) / 3)
+    for read, write in ((us.read_vtu, us.write_vtu), (us.read_inp, us.write_inp)):
+        for values in (m.values, None):
+            back = read(write(fm.MeshData(m.points, m.cells, values)))
+            assert np.array_equal(back.points, m.points) and np.array_equal(back.cells, m.cells) and (back.values is None if values is None else np.array_equal(back.values, values))
+    other = b"# made by hand\n4 2 0 0 0\n10 0 0 0\n20 1 0 0\n30 0 1 0\n40 0 0 1\n1 1 tri 10 20 30\n2 1 tet 10 20 30 40\n"
+    assert us.read_inp(other).cells.tolist() == [[0, 1, 2, 3]]
+
+
+def test_binary_ply_is_read_as_tables():
+
+    for order, fmt in (("<", "binary_little_endian"), (">", "binary_big_endian")):
+        head = f"ply\nformat {fmt} 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement face {{}}\nproperty list uchar int vertex_indices\nend_header\n"
+        v = np.zeros(4, np.dtype([("x", order + "f4"), ("y", order + "f4"), ("z", order + "f4"), ("c", "u1", 3)]))
+        v["x"], v["c"] = np.arange(4), [[255, 0, 51]] * 4
+        f3 = np.zeros(2, np.dtype([("n", "u1"), ("i", order + "i4", 3)]))
+        f3["n"], f3["i"] = 3, [[0, 1, 2], [1, 2, 3]]
+        m = fm.read_ply(head.format(2).encode() + v.tobytes() + f3.tobytes())
+        assert m.points[:, 0].tolist() == [0, 1, 2, 3] and m.cells.tolist() == [[0, 1, 2], [1, 2, 3]] and np.allclose(m.rgba[0], [1, 0, 0.2, 1])
+        quad = np.uint8(4).tobytes() + np.array([0, 1, 2, 3], order + "i4").tobytes()
+        m = fm.read_ply(head.format(3).encode() + v.tobytes() + f3[:1].tobytes() + quad + f3[1:].tobytes())
+        assert m.cells.tolist() == [[0, 1, 2], [0, 1, 2], [0, 2, 3], [1, 2, 3]]
