@@ -618,4 +618,107 @@ def product_density(spark, d):
     return rows.mapInPandas(run, "event_id long, logp double").select("event_id", r("logp").alias("logp"))
 
 
+# --- searches, profiles, samplers and low-rank processes
+
+P3 = "p3 AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
+L1 = "list_sum(list_transform(list_zip(a.v, b.v), lambda q: abs(q[1] - q[2])))"
+
+
+@query(f"WITH {P3} SELECT q_id, p_id, round(d, 6) AS d, k::INT AS rank FROM (SELECT a.vec_id AS q_id, b.vec_id AS p_id, {L1} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L1}, b.vec_id) AS k FROM p3 a JOIN p3 b ON a.vec_id <> b.vec_id) WHERE k <= 3")
+def knn_l1(spark, d):
+    """By the sum of absolute differences."""
+    from shapelake.operators import spatial as sp
+
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = sp.knn(e.toDF("q_id", "q_vec"), e.toDF("p_id", "p_vec"), 3, exclude_same_id=True, metric="l1")
+    return near.select("q_id", "p_id", r("d2").alias("d"), "rank")
+
+
+LINES = "l AS (SELECT c_custkey AS line_id, c_acctbal / 300 AS ox, (c_custkey % 40) + 0.37::DOUBLE AS oy, -5.0::DOUBLE AS oz, 0.01::DOUBLE AS dx, 0.02::DOUBLE AS dy, 1.0::DOUBLE AS dz FROM customer)"
+
+
+@query(f"WITH {MESH}, {LINES}, h AS (SELECT *, bx-ax e1x, by_-ay e1y, bz-az e1z, cx-ax e2x, cy-ay e2y, cz-az e2z, ox-ax sx, oy-ay sy, oz-az sz FROM (SELECT cell_id, ax, ay, az, bx, b_y AS by_, bz, cx, cy, cz FROM tri), l), "
+       "k AS (SELECT *, dy*e2z-dz*e2y hx, dz*e2x-dx*e2z hy, dx*e2y-dy*e2x hz, sy*e1z-sz*e1y qx, sz*e1x-sx*e1z qy, sx*e1y-sy*e1x qz FROM h), "
+       "m AS (SELECT *, e1x*hx+e1y*hy+e1z*hz AS det FROM k), "
+       "n AS (SELECT line_id, (sx*hx+sy*hy+sz*hz)/det AS u, (dx*qx+dy*qy+dz*qz)/det AS v FROM m WHERE abs(det) > 1e-12) "
+       "SELECT line_id, line_id IN (SELECT line_id FROM n WHERE u >= 0 AND v >= 0 AND u + v <= 1) AS hit FROM l")
+def lines_that_hit(spark, d):
+    """Whether each customer's line meets the surface."""
+    i = F.col("c_custkey")
+    lines = t(spark, d, "customer").select(i.alias("line_id"), (F.col("c_acctbal") / 300).alias("ox"), (i % 40 + 0.37).alias("oy"), F.lit(-5.0).alias("oz"), F.lit(0.01).alias("dx"), F.lit(0.02).alias("dy"), F.lit(1.0).alias("dz"))
+    return vo.has_intersection(part_mesh(spark, d), lines)
+
+
+@query(f"WITH {MESH}, q AS (SELECT c_custkey AS q_id, c_acctbal / 250 AS x, (c_custkey % 5)::DOUBLE AS y, (c_custkey % 6) + 0.1::DOUBLE AS z FROM customer), n AS (SELECT q_id, arg_min(point_id, (d2, point_id)) AS point_id FROM (SELECT q_id, point_id, (q.x-v.x)*(q.x-v.x)+(q.y-v.y)*(q.y-v.y)+(q.z-v.z)*(q.z-v.z) AS d2 FROM q, pts v) GROUP BY q_id) SELECT q_id, round(x + 1, 6) AS x, round(y * 2, 6) AS y, round(z - point_id % 3, 6) AS z FROM n JOIN pts USING (point_id)")
+def shape_as_transformation(spark, d):
+    """Points go where the nearest vertex of the reference goes."""
+    i, m = F.col("c_custkey"), part_mesh(spark, d).points.select("point_id", *XYZ)
+    moved = m.select("point_id", (F.col("x") + 1).alias("x"), (F.col("y") * 2).alias("y"), (F.col("z") - F.col("point_id") % 3).alias("z"))
+    q = t(spark, d, "customer").select(i.alias("q_id"), (F.col("c_acctbal") / 250).alias("x"), (i % 5).cast("double").alias("y"), (i % 6 + 0.1).alias("z"))
+    return discrete.mesh_to_transformation(m, moved, q, 1.0).select("q_id", *[r(c).alias(c) for c in XYZ])
+
+
+@query("SELECT vec_id AS item_id, 0.0::DOUBLE AS error FROM embeddings")
+def members_project_to_themselves(spark, d):
+    """The model of full rank holds every shape it was made of."""
+    shapes = _shapes(spark, d)
+    errors = pdm.projection_errors(pdm.pca_model(_reference(shapes), shapes), shapes)
+    return errors.select("item_id", (F.round("error", 2) + 0).alias("error"))
+
+
+NORMALS = "v AS (SELECT point_id, avg(nx) AS x, avg(ny) AS y, avg(nz) AS z FROM corner JOIN nrm USING (cell_id) GROUP BY point_id), vn AS (SELECT point_id, x / sqrt(x*x+y*y+z*z) AS nx, y / sqrt(x*x+y*y+z*z) AS ny, z / sqrt(x*x+y*y+z*z) AS nz FROM v)"
+
+
+@query(f"WITH {MESH}, {NORMALS}, o AS (SELECT unnest(range(0, 5)) AS k) SELECT point_id, k::INT AS k, round(2 * (x + (k - 2) * 0.5 * nx) - (y + (k - 2) * 0.5 * ny) + 3 * (z + (k - 2) * 0.5 * nz), 6) + 0 AS intensity, round(CASE WHEN abs(2 * nx - ny + 3 * nz) > 1e-9 THEN sign(2 * nx - ny + 3 * nz) / 5 ELSE 0 END, 6) + 0 AS feature FROM pts JOIN vn USING (point_id), o WHERE abs(2 * nx - ny + 3 * nz) > 1e-6")
+def normal_profiles(spark, d):
+    """Profiles along the normals in a linear image: intensities, and differences over their sum."""
+    from shapelake.plans import asm
+
+    m = part_mesh(spark, d)
+    rows = m.points.select("point_id", *XYZ).join(m.vertex_normals(), "point_id")
+    image = lambda x: 2 * x[:, 0] - x[:, 1] + 3 * x[:, 2]
+    offsets = asm.offsets_of(5, 0.5)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                p, n = pdf[list(XYZ)].to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float)
+                yield pdf[["point_id"]].assign(i=list(asm.profile_features(image, p, n, offsets, False)), f=list(asm.profile_features(image, p, n, offsets)))
+
+    slope = F.abs(2 * F.col("nx") - F.col("ny") + 3 * F.col("nz")) > 1e-6
+    made = rows.filter(slope).mapInPandas(run, "point_id long, i array<double>, f array<double>")
+    return made.select("point_id", F.posexplode(F.arrays_zip("i", "f")).alias("k", "x")).select("point_id", "k", (r("x.i") + 0).alias("intensity"), (r("x.f") + 0).alias("feature"))
+
+
+@query("WITH im AS (SELECT p_partkey AS v, p_partkey % 40 AS x, p_partkey // 40 AS y, p_size::DOUBLE AS s FROM part), g AS (SELECT v, (coalesce(lead(s) OVER a, s) - coalesce(lag(s) OVER a, s)) / greatest((lead(s) OVER a IS NOT NULL)::INT + (lag(s) OVER a IS NOT NULL)::INT, 1) AS gx, (coalesce(lead(s) OVER b, s) - coalesce(lag(s) OVER b, s)) / greatest((lead(s) OVER b IS NOT NULL)::INT + (lag(s) OVER b IS NOT NULL)::INT, 1) AS gy FROM im WINDOW a AS (PARTITION BY y ORDER BY x), b AS (PARTITION BY x ORDER BY y)) SELECT v AS voxel_id, round(sqrt(gx * gx + gy * gy), 6) AS value FROM g")
+def image_gradient_magnitude(spark, d):
+    """The preprocessing of an image for a fit."""
+    from shapelake.plans import asm
+
+    return asm.gradient_magnitude(_image(spark, d), grid_of(spark, d, (40,)), 2).select("voxel_id", r("value").alias("value"))
+
+
+@query("WITH n AS (SELECT (max(p_partkey) + 40) // 40 AS n FROM part) SELECT p_partkey AS sample_id, (p_partkey % 40 * 0.5)::DOUBLE AS x, (p_partkey // 40 * 2.0)::DOUBLE AS y, round(1 / (40 * 0.5 * n * 2.0), 9)::DOUBLE AS density FROM part, n")
+def grid_sampler(spark, d):
+    from shapelake.operators import samplers
+
+    return samplers.on_grid(spark, grid_of(spark, d, (40,), (0.5, 2.0))).select("sample_id", "x", "y", F.round("density", 9).alias("density"))
+
+
+@query("SELECT event_id, round(4 * s / (25 + 4 * n), 6) AS mean FROM events, (SELECT sum(value) AS s, count(value) AS n FROM events)")
+def low_rank_regression(spark, d):
+    """A constant of variance 4, learned from the values of all events with noise 25."""
+    one = gp.LowRank(lambda x: np.zeros((len(x), 1)), np.array([4.0]), lambda x: np.ones((len(x), 1)), 1)
+    rows = _times(spark, d).join(t(spark, d, "events").select("event_id", "value"), "event_id")
+    return gp.table_regression(one, rows, ["x"], "value", 25.0, "event_id").select("event_id", r("mean").alias("mean"))
+
+
+@query("WITH h AS (SELECT hour(ts) AS h, avg(value) AS y FROM events GROUP BY 1), m AS (SELECT count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM h) SELECT round(-0.5 * (q / 25 - 4 * s * s / (25 * (25 + 4 * n))) - 0.5 * ((n - 1) * ln(25) + ln(25 + 4 * n)) - 0.5 * n * ln(2 * pi()), 4) AS likelihood FROM m")
+def low_rank_likelihood(spark, d):
+    """Of the same constant, given the mean values of the hours."""
+    one = gp.LowRank(lambda x: np.zeros((len(x), 1)), np.array([4.0]), lambda x: np.ones((len(x), 1)), 1)
+    h = t(spark, d, "events").groupBy(F.hour("ts").alias("h")).agg(F.avg("value").alias("y")).toPandas()
+    return spark.createDataFrame([(round(one.marginal_likelihood(h[["h"]].to_numpy(float), h[["y"]].to_numpy(float), 25.0), 4),)], "likelihood double")
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -61,12 +61,14 @@ class ActiveShapeModel:
 
 
 def train(shape: ShapeModel, samples: DataFrame, image_of: Callable[[int], ImageFunction], n_features: int, spacing: float, ridge: float = 1e-4) -> ActiveShapeModel:
-    """samples: (item_id, point_id, x, y, z, nx, ny, nz) on training images; features by item, distributions by point."""
+    """samples: (item_id, point_id, x, y, z, nx, ny, nz) on training images; features where the rows lie, distributions by point."""
     offsets = offsets_of(n_features, spacing)
 
-    def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = profile_features(image_of(int(pdf.item_id.iloc[0])), pdf[list(XYZ)].to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float), offsets)
-        return pd.DataFrame({"point_id": pdf.point_id, "features": list(f)})
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, own in pdf.groupby("item_id"):
+                f = profile_features(image_of(int(item)), own[list(XYZ)].to_numpy(float), own[["nx", "ny", "nz"]].to_numpy(float), offsets)
+                yield pd.DataFrame({"point_id": own.point_id, "features": list(f)})
 
     def distribution(pdf: pd.DataFrame) -> pd.DataFrame:
         f = np.stack(pdf.features.to_numpy())
@@ -74,7 +76,7 @@ def train(shape: ShapeModel, samples: DataFrame, image_of: Callable[[int], Image
         precision = np.linalg.inv(cov + ridge * np.eye(n_features))
         return pd.DataFrame({"point_id": [pdf.point_id.iloc[0]], "mean": [f.mean(axis=0)], "precision": [precision.ravel()]})
 
-    rows = samples.groupBy("item_id").applyInPandas(features, "point_id long, features array<double>")
+    rows = samples.mapInPandas(features, "point_id long, features array<double>")
     profiles = rows.groupBy("point_id").applyInPandas(distribution, "point_id long, mean array<double>, precision array<double>")
     return ActiveShapeModel(shape, profiles, n_features, spacing)
 

@@ -166,6 +166,8 @@ def gram_of(rows: DataFrame, column: str, r: int) -> np.ndarray:
 
 #: The smaller of the numbers of items and of coordinates of a PCA, whose square the driver holds, is at most this.
 MOST_SIDE = 20_000
+#: Coordinates of an item that are summed in one task.
+SPLIT = 200_000
 
 
 def pca_model(reference: DataFrame, shapes: DataFrame, cells: DataFrame | None = None, rank: int | None = None, names: Sequence[str] = XYZ) -> ShapeModel:
@@ -280,26 +282,33 @@ def distance(a: Sequence[str], b: Sequence[str]) -> Column:
 
 
 def projections(model: ShapeModel, shapes: DataFrame, noise: float = 1e-5) -> DataFrame:
-    """(item_id, a): the coefficients of every item of (item_id, point_id, components), by one grouped sum of its normal equations."""
+    """(item_id, a): the coefficients of every item of (item_id, point_id, components), each from the sum of its normal equations.
+
+    Rows of an item meet in SPLIT coordinates or less a task, where they are summed; the sums of an item's parts are then added.
+    """
     r = model.rank
     ref = model.reference.select("point_id", *[F.col(c).alias(f"r{c}") for c in model.names])
     parts = F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) - F.col(f"r{c}")).alias("value")) for k, c in enumerate(model.names)])
     long = shapes.join(ref, "point_id").select("item_id", "point_id", F.explode(parts).alias("p")).select("item_id", "point_id", "p.*")
     joined = long.join(model.points, ["point_id", "component"]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = [F.get("basis", F.lit(k)) * float(math.sqrt(v)) for k, v in enumerate(model.variance)]
-    rows = joined.select("item_id", *[x.alias(f"q{k}") for k, x in enumerate(q)], (F.col("value") - F.col("mean")).alias("y"))
-    sums = [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"m{i}_{j}") for i in range(r) for j in range(i + 1)] + [F.sum(F.col(f"q{i}") * F.col("y")).alias(f"m{i}_y") for i in range(r)]
+    splits = -(-model.reference.count() * len(model.names) // SPLIT) or 1
+    rows = joined.select("item_id", F.pmod(F.xxhash64("point_id"), F.lit(splits)).alias("part"), "basis", (F.col("value") - F.col("mean")).alias("y"))
+    deviation = np.sqrt(model.variance)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            m = np.zeros((len(pdf), r, r))
-            for i in range(r):
-                for j in range(i + 1):
-                    m[:, i, j] = m[:, j, i] = pdf[f"m{i}_{j}"]
-            y = np.stack([pdf[f"m{i}_y"].to_numpy(float) for i in range(r)], axis=1) if r else np.zeros((len(pdf), 0))
-            yield pd.DataFrame({"item_id": pdf.item_id, "a": list(np.linalg.solve(m / noise + np.eye(r), y[:, :, None] / noise)[:, :, 0])})
-
-    return rows.groupBy("item_id").agg(*sums).mapInPandas(run, "item_id long, a array<double>")
+            out = []
+            for item, own in pdf.groupby("item_id"):
+                q = np.stack(own.basis.to_numpy()) * deviation
+                out.append((item, np.concatenate([q.T @ q, (q.T @ own.y.to_numpy())[:, None]], axis=1).tobytes()))
+            yield pd.DataFrame(out, columns=["item_id", "m"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = sum(np.frombuffer(x).reshape(r, r + 1) for x in pdf.m)
+        return pd.DataFrame({"item_id": pdf.item_id[:1], "a": [np.linalg.solve(m[:, :r] / noise + np.eye(r), m[:, r] / noise)]})
+
+    met = rows.repartition("item_id", "part").sortWithinPartitions("item_id")
+    return met.mapInPandas(sums, "item_id long, m binary").groupBy("item_id").applyInPandas(solve, "item_id long, a array<double>")
 
 
 def instances(model: ShapeModel, coefficients: DataFrame, key: str = "item_id") -> DataFrame:
