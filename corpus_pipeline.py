@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return
 the columns that docs has. Nulls, empty tables, repeated rows and further columns are as the operators define them:
-a null text fails the quality rules; of rows alike in id and text one stays; a null id is an id like others.
+a null text fails the quality rules; of rows alike in id and text one stays (the one of the least hash, after the longest
+text); a null id is an id like others. Columns can be of any type that has a hash, so not maps.
 """
 
 from __future__ import annotations
@@ -27,24 +28,23 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = exact_dedup.keepers(digests, exact_dedup.DigestIndex(spark)).select("digest", "keep_id")
     rows = docs.select(exact_dedup.text_digest(F.col("text")).alias("digest"), F.struct(*docs.columns).alias("row"))
     same = (F.col("d") == F.col("digest")) & F.col("row.doc_id").eqNullSafe(F.col("keep_id"))
-    first = rows.join(kept.withColumnRenamed("digest", "d"), same).withColumn("id", F.col("row.doc_id"))
-    return first.dropDuplicates(["digest", "id"]).select("row.*")
+    stay = rows.join(kept.withColumnRenamed("digest", "d"), same)
+    longest = F.struct(-F.coalesce(F.length("row.text"), F.lit(0)), F.xxhash64("row"))
+    return stay.groupBy("digest", F.col("row.doc_id").alias("id")).agg(F.min_by("row", longest).alias("row")).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, judged by its text; of rows alike in a null id and text one."""
+    """One document of each class of near-duplicates, judged by its text; of rows alike in id and text one."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     kept = near_dedup.classes_by_row(packed).filter("kept").select(F.col("k").alias("__k"), F.col("t").alias("__t"))
-    rows = common.told_apart(packed, "row")
-    stay = rows.join(kept, (F.col("k") == F.col("__k")) & (F.col("t") == F.col("__t")), "left_semi")
-    named = stay.filter("row.doc_id IS NOT NULL").select("row.*")
-    return named.unionByName(stay.filter("row.doc_id IS NULL").dropDuplicates(["t"]).select("row.*"))
+    stay = common.told_apart(packed, "row").join(kept, (F.col("k") == F.col("__k")) & (F.col("t") == F.col("__t")), "left_semi")
+    return stay.groupBy("k", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     keyed = docs.select("doc_id", "source", common.n_words_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
-    taken = mixing.mix(keyed, carry=("row",)).filter("repeats > 0")
+    taken = mixing.mix(common.stored(keyed, "keyed"), carry=("row",)).filter("repeats > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__n")).select("row.*")
 
 
