@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,20 @@ BLOCK = 2048
 #: A cluster of a search holds about so many points on average; there are at most so many clusters, whatever the table.
 CLUSTER, MOST_CLUSTERS = 20_000, 1024
 METRICS = ("l2", "l1")
+#: "l2", "l1" or a function of arrays (n, d) and (m, d) that gives their distances (n, m) in any metric.
+Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def between(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances (l1 or l2) of all rows of a to all of b, to rounding of a matrix product; rows of a are few at a time."""
+def checked(metric: Metric) -> Metric:
+    if not callable(metric) and metric not in METRICS:
+        raise ValueError(f"metric is a function or one of {METRICS}")
+    return metric
+
+
+def between(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
+    """Distances of all rows of a to all of b, for l2 to rounding of a matrix product; rows of a are few at a time."""
+    if callable(metric):
+        return metric(a, b)
     if metric == "l1":
         return np.abs(a[:, None, :] - b[None]).sum(axis=2)
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
@@ -49,7 +59,7 @@ class Clusters:
     every task hold of them is bounded; a cluster's blocks are rows of their own, so a crowded one is no one's group.
     """
 
-    def __init__(self, points: DataFrame, point_id: str, point_vec: str, metric: str):
+    def __init__(self, points: DataFrame, point_id: str, point_vec: str, metric: Metric):
         rows = points.select(F.col(point_id).cast("long").alias("id"), F.col(point_vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
         self.metric, self.n = metric, rows.count()
         many = min(max(1, self.n // CLUSTER), MOST_CLUSTERS)
@@ -80,7 +90,7 @@ class Clusters:
             for c, low, high, n in sums.collect():
                 self.inner[c], self.outer[c], self.size[c] = low, high, n
 
-    def visits(self, rows: DataFrame, reach, metric: str) -> DataFrame:
+    def visits(self, rows: DataFrame, reach, metric: Metric) -> DataFrame:
         """Blocks of the queries (id, v, more..) for each cluster to visit; reach(batch, distances to pivots) -> (which, bound of each query)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,22 +120,23 @@ class Clusters:
         return visits.join(self.blocks.select("cluster", "ids", "vecs"), "cluster").select("q_ids", "q_vecs", "q_bounds", "ids", "vecs").mapInPandas(run, "q_id long, p_id long, d2 double")
 
 
-def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Sum of squared (l2) or absolute (l1) differences row by row."""
-    return np.abs(a - b).sum(1) if metric == "l1" else ((a - b) ** 2).sum(1)
+def exact(near: np.ndarray, q: np.ndarray, p: np.ndarray, n: np.ndarray, j: np.ndarray, metric: Metric) -> np.ndarray:
+    """Of pairs (n, j) the sum of squared (l2) or absolute (l1) differences, or the distance by another metric."""
+    if callable(metric):
+        return near[n, j]
+    return np.abs(q[n] - p[j]).sum(1) if metric == "l1" else ((q[n] - p[j]) ** 2).sum(1)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str = "q_id", query_vec: str = "q_vec", point_id: str = "p_id", point_vec: str = "p_vec", exclude_same_id: bool = False, metric: str = "l2") -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str = "q_id", query_vec: str = "q_vec", point_id: str = "p_id", point_vec: str = "p_vec", exclude_same_id: bool = False, metric: Metric = "l2") -> DataFrame:
     """q_id, p_id, d2, rank: the k nearest points of every query, ties by the smaller id. Exact, any dimension.
 
     Points lie in clusters around pivots (see Clusters). A query first meets the nearest cluster that has k points, which
     bounds the distance of its k-th neighbour, then those whose shell around their pivot comes nearer than that. A block
     of queries and one of points meet as a matrix product; products only choose candidates: distances are recomputed as
-    sums of differences, squared, or absolute for metric "l1" (then d2 is that sum). Null vectors are left out.
+    sums of differences, squared, or absolute for metric "l1" (then d2 is that sum); by another metric d2 is the distance,
+    and the metric has to keep the triangle inequality. Null vectors are left out.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric is one of {METRICS}")
-    clusters = Clusters(points, point_id, point_vec, metric)
+    clusters = Clusters(points, point_id, point_vec, checked(metric))
     rows = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     if not clusters.n:
         return queries.sparkSession.createDataFrame([], "q_id long, p_id long, d2 double, rank int")
@@ -135,7 +146,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str = "q_id
         near, want = between(q, p, metric), min(k + 8 + exclude_same_id, len(pi))
         cut = np.minimum(np.partition(near, want - 1, axis=1)[:, want - 1], bound)
         n, j = np.nonzero(near <= (cut + 1e-6 * (1 + np.where(np.isfinite(cut), cut, 0)))[:, None])
-        out = pd.DataFrame({"q_id": qi[n], "p_id": pi[j], "d2": exact(q[n], p[j], metric)})
+        out = pd.DataFrame({"q_id": qi[n], "p_id": pi[j], "d2": exact(near, q, p, n, j, metric)})
         if exclude_same_id:
             out = out[out.q_id != out.p_id]
         return out.sort_values(["q_id", "d2", "p_id"]).groupby("q_id").head(k)
@@ -157,18 +168,18 @@ def knn(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str = "q_id
         return (low <= (bound * (1 + 1e-6) + 1e-9)[:, None]) & (size > 0) & ~home(part, d)[0], bound
 
     first = saved(best(clusters.meet(clusters.visits(rows, home, metric), found)))
-    far = first.filter(F.col("rank") == k).select(F.col("q_id").alias("__q"), (F.col("d2") if metric == "l1" else F.sqrt("d2")).alias("bound"))
+    far = first.filter(F.col("rank") == k).select(F.col("q_id").alias("__q"), (F.sqrt("d2") if metric == "l2" else F.col("d2")).alias("bound"))
     bounded = rows.join(far, F.col("id") == F.col("__q"), "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     more = clusters.meet(clusters.visits(bounded, others, metric), found)
     return best(first.drop("rank").unionByName(more))
 
 
-def eps_vectors(queries: DataFrame, points: DataFrame, eps: float, exclude_same_id: bool = False, metric: str = "l2") -> DataFrame:
+def eps_vectors(queries: DataFrame, points: DataFrame, eps: float, exclude_same_id: bool = False, metric: Metric = "l2") -> DataFrame:
     """q_id, p_id, d2 of all pairs of (q_id, q_vec) and (p_id, p_vec) within eps (inclusive); any dimension.
 
     A query visits the clusters (see Clusters) whose shell around their pivot comes within eps of it.
     """
-    clusters = Clusters(points, "p_id", "p_vec", metric)
+    clusters = Clusters(points, "p_id", "p_vec", checked(metric))
     rows = queries.select(F.col("q_id").cast("long").alias("id"), F.col("q_vec").cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     if not clusters.n:
         return queries.sparkSession.createDataFrame([], "q_id long, p_id long, d2 double")
@@ -178,9 +189,10 @@ def eps_vectors(queries: DataFrame, points: DataFrame, eps: float, exclude_same_
         return (np.maximum(d - outer, inner - d) <= eps * (1 + 1e-6) + 1e-9) & (size > 0), np.full(len(d), eps)
 
     def found(qi: np.ndarray, q: np.ndarray, bound: np.ndarray, pi: np.ndarray, p: np.ndarray) -> pd.DataFrame:
-        n, j = np.nonzero(between(q, p, metric) <= eps * (1 + 1e-6) + 1e-6)
-        d2 = exact(q[n], p[j], metric)
-        out = pd.DataFrame({"q_id": qi[n], "p_id": pi[j], "d2": d2})[(d2 if metric == "l1" else np.sqrt(d2)) <= eps]
+        near = between(q, p, metric)
+        n, j = np.nonzero(near <= eps * (1 + 1e-6) + 1e-6)
+        d2 = exact(near, q, p, n, j, metric)
+        out = pd.DataFrame({"q_id": qi[n], "p_id": pi[j], "d2": d2})[(np.sqrt(d2) if metric == "l2" else d2) <= eps]
         return out[out.q_id != out.p_id] if exclude_same_id else out
 
     return clusters.meet(clusters.visits(rows, reach, metric), found)
@@ -208,6 +220,8 @@ def eps_join(queries: DataFrame, points: DataFrame, eps: float, names: Sequence[
 
 #: Cells of a level along each side of a cell of the next.
 FAN = 4
+#: Levels of at most so many cells are summed up on the driver and broadcast; larger ones are tables in the shared folder.
+SMALL_LEVEL = 20_000
 
 
 class Levels:
@@ -222,9 +236,27 @@ class Levels:
         levels, size = 1, start
         while not self.empty and max(box[f"hi_{n}"] - box[f"lo_{n}"] for n in names) > 2 * size:
             levels, size = levels + 1, size * FAN
-        self.tables = [] if self.empty else [self._summed(self.items).transform(saved)]
-        for _ in range(levels - 1 if self.tables else 0):
-            self.tables.append(self._summed(self.tables[-1].withColumns({k: F.floor(F.col(k) / FAN) for k in self.keys})).transform(saved))
+        self.tables, self.small = [], []
+        if self.empty:
+            return
+        finest = self._summed(self.items).transform(saved)
+        local = finest.toPandas() if finest.count() <= SMALL_LEVEL else None
+        self.tables, self.small = [finest], [local is not None]
+        for _ in range(levels - 1):
+            if local is None and self.tables[-1].count() <= SMALL_LEVEL:
+                local = self.tables[-1].toPandas()
+            if local is None:
+                self.tables.append(self._summed(self.tables[-1].withColumns({k: F.floor(F.col(k) / FAN) for k in self.keys})).transform(saved))
+            else:
+                local = self._coarser(local)
+                self.tables.append(items.sparkSession.createDataFrame(local, finest.schema))
+            self.small.append(local is not None)
+
+    def _coarser(self, cells: pd.DataFrame) -> pd.DataFrame:
+        moved = cells.assign(**{k: cells[k] // FAN for k in self.keys}).sort_values(self.reps)
+        ends = {e: "min" if e.startswith("lo") else "max" for e in self.ends}
+        out = moved.groupby(self.keys, as_index=False).agg(ends | {r: "first" for r in self.reps})
+        return out[[*self.keys, *self.ends, *self.reps]]
 
     def _summed(self, df: DataFrame) -> DataFrame:
         first = F.min(F.struct(*self.reps)).alias("__r")
@@ -237,11 +269,12 @@ class Levels:
         if self.empty:
             return queries.select("q_id").join(self.items.select("item_id"), F.lit(False))
         found = keep(queries.crossJoin(F.broadcast(self.tables[-1])))  # a few cells: at most 4 a side
-        for table in self.tables[-2::-1]:
+        for table, small in zip(self.tables[-2::-1], self.small[-2::-1]):
             parents = [f"__p{k}" for k in range(len(self.keys))]
             children = table.withColumns({p: F.floor(F.col(k) / FAN) for p, k in zip(parents, self.keys)})
             above = found.select(*columns, *[F.col(k).alias(p) for p, k in zip(parents, self.keys)])
-            found = keep(above.join(children, parents).drop(*parents)).transform(saved)
+            found = keep(above.join(F.broadcast(children) if small else children, parents).drop(*parents))
+            found = found if small else found.transform(saved)
         return keep(found.select(*columns, *self.keys).join(self.items, self.keys)).select("q_id", "item_id")
 
 

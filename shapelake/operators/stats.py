@@ -52,25 +52,27 @@ def huber(residual: Column, delta: float = 1.345) -> Column:
     return F.avg(F.coalesce(loss, F.lit(0.0)))
 
 
-def joint_histogram(samples: DataFrame, fixed: str, moving: str, bins: int = 30) -> DataFrame:
-    """(f, m, p): Parzen histogram; order 0 in the fixed value, order 3 in the moving one. Ranges are max + 1 - min.
+def joint_histogram(samples: DataFrame, fixed: str, moving: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., f, m, p): Parzen histogram; order 0 in the fixed value, order 3 in the moving one. Ranges are max + 1 - min.
 
-    A row adds to at most four moving bins, which are exploded before a partially aggregated sum.
+    A row adds to at most four moving bins, which are exploded before a partially aggregated sum. by: columns of few
+    values, each with a histogram of its own.
     """
-    box = samples.agg(*[g(c).alias(f"{k}_{c}") for c in (fixed, moving) for k, g in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
+    box = samples.groupBy(*by).agg(*[g(c).alias(f"{k}_{c}") for c in (fixed, moving) for k, g in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
     width = lambda c: (F.col(f"hi_{c}") + 1 - F.col(f"lo_{c}")) / bins
-    rows = samples.select(fixed, moving).crossJoin(F.broadcast(box)).select(
-        F.floor((F.col(fixed) - F.col(f"lo_{fixed}")) / width(fixed)).alias("f"), ((F.col(moving) - F.col(f"lo_{moving}")) / width(moving)).alias("x"), "n"
-    )
+    chosen = samples.select(*by, fixed, moving)
+    placed = chosen.join(F.broadcast(box), list(by)) if by else chosen.crossJoin(F.broadcast(box))
+    rows = placed.select(*by, F.floor((F.col(fixed) - F.col(f"lo_{fixed}")) / width(fixed)).alias("f"), ((F.col(moving) - F.col(f"lo_{moving}")) / width(moving)).alias("x"), "n")
     taps = F.explode(F.array(*[F.floor("x") + k for k in (-1, 0, 1, 2)])).alias("m")
-    weighted = rows.select("f", "x", "n", taps).withColumn("w", bspline(F.col("x") - F.col("m"), 3) / F.col("n"))
-    return weighted.filter("w > 0").groupBy("f", "m").agg(F.sum("w").alias("p"))
+    weighted = rows.select(*by, "f", "x", "n", taps).withColumn("w", bspline(F.col("x") - F.col("m"), 3) / F.col("n"))
+    return weighted.filter("w > 0").groupBy(*by, "f", "m").agg(F.sum("w").alias("p"))
 
 
-def mutual_information(joint: DataFrame) -> DataFrame:
-    """Negated mutual information of a joint histogram: the value to minimise."""
-    pf, pm = joint.groupBy("f").agg(F.sum("p").alias("pf")), joint.groupBy("m").agg(F.sum("p").alias("pm"))
-    return joint.join(pf, "f").join(pm, "m").agg((-F.sum(F.col("p") * F.log(F.col("p") / (F.col("pf") * F.col("pm"))))).alias("neg_mi"))
+def mutual_information(joint: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., neg_mi): negated mutual information of joint histograms, the value to minimise."""
+    pf, pm = joint.groupBy(*by, "f").agg(F.sum("p").alias("pf")), joint.groupBy(*by, "m").agg(F.sum("p").alias("pm"))
+    both = joint.join(pf, [*by, "f"]).join(pm, [*by, "m"])
+    return both.groupBy(*by).agg((-F.sum(F.col("p") * F.log(F.col("p") / (F.col("pf") * F.col("pm"))))).alias("neg_mi"))
 
 
 def shuffle_key(key: Column, seed: int) -> Column:

@@ -140,19 +140,27 @@ class MutualInformation:
     space: Space
     bins: int = 30
 
-    def value(self, parameters: np.ndarray) -> float:
+    def values(self, parameters: Sequence[np.ndarray]) -> np.ndarray:
+        """Of several sets of parameters, in one job over the samples."""
         from shapelake.operators.stats import joint_histogram, mutual_information
 
-        t, names, fixed, moving = self.space(tuple(parameters)), list(self.names), self.fixed, self.moving
+        moves, names, fixed, moving = [self.space(tuple(p)) for p in parameters], list(self.names), self.fixed, self.moving
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame({"f": pdf[fixed].to_numpy(float), "g": moving(t.numpy(pdf[names].to_numpy(float)))[0]})
+                f = pdf[fixed].to_numpy(float)
+                for k, t in enumerate(moves):
+                    yield pd.DataFrame({"k": np.full(len(f), k), "f": f, "g": moving(t.numpy(pdf[names].to_numpy(float)))[0]})
+
+        rows = self.samples.select(*names, fixed).mapInPandas(run, "k int, f double, g double").filter("NOT isnan(g)")
+        scaled = rows.select("k", (F.col("f") * self.bins).alias("fv"), (F.col("g") * self.bins).alias("gv"))
+        found = {r.k: r.neg_mi for r in mutual_information(joint_histogram(scaled, "fv", "gv", self.bins, ("k",)), ("k",)).collect()}
+        return np.array([found.get(k) or 0.0 for k in range(len(moves))])
 
-        rows = self.samples.select(*names, fixed).mapInPandas(run, "f double, g double").filter("NOT isnan(g)").toDF("fv", "gv")
-        scaled = rows.select((F.col("fv") * self.bins).alias("fv"), (F.col("gv") * self.bins).alias("gv"))
-        return float(mutual_information(joint_histogram(scaled, "fv", "gv", self.bins)).first()[0] or 0.0)
+    def value(self, parameters: np.ndarray) -> float:
+        return float(self.values([parameters])[0])
 
     def value_and_derivative(self, parameters: np.ndarray, h: float = 1e-3) -> tuple[float, np.ndarray]:
-        up_down = [(self.value(parameters + h * e), self.value(parameters - h * e)) for e in np.eye(len(parameters))]
-        return self.value(parameters), np.array([(a - b) / (2 * h) for a, b in up_down])
+        steps = [s * h * e for e in np.eye(len(parameters)) for s in (1, -1)]
+        at, *rest = self.values([np.asarray(parameters, float) + s for s in (np.zeros(len(parameters)), *steps)])
+        return float(at), (np.array(rest[::2]) - np.array(rest[1::2])) / (2 * h)

@@ -20,7 +20,14 @@ def vectors(spark, v, i, name):
     return spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], f"{i} long, {name} array<double>")
 
 
-@pytest.mark.parametrize("metric", ["l2", "l1"])
+def _chebyshev():
+    return lambda a, b: np.abs(a[:, None] - b[None]).max(axis=2)  # not a module's function, so it goes to workers by value
+
+
+chebyshev = _chebyshev()
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", chebyshev])
 @pytest.mark.parametrize("k,same", [(1, True), (4, False)])
 def test_clusters_give_exact_neighbours(spark, monkeypatch, metric, k, same):
     monkeypatch.setattr(sp, "CLUSTER", 25)
@@ -28,7 +35,7 @@ def test_clusters_give_exact_neighbours(spark, monkeypatch, metric, k, same):
     p = np.concatenate([rng.normal(c, 0.3, (60, 6)) for c in rng.normal(0, 4, (6, 6))] + [np.zeros((5, 6))])
     queries = p if same else rng.normal(0, 3, (50, 6))
     got = sp.knn(vectors(spark, queries, "q_id", "q_vec"), vectors(spark, p, "p_id", "p_vec"), k, exclude_same_id=same, metric=metric).collect()
-    d = np.abs(queries[:, None] - p[None]).sum(2) if metric == "l1" else ((queries[:, None] - p[None]) ** 2).sum(2)
+    d = chebyshev(queries, p) if metric is chebyshev else np.abs(queries[:, None] - p[None]).sum(2) if metric == "l1" else ((queries[:, None] - p[None]) ** 2).sum(2)
     if same:
         np.fill_diagonal(d, np.inf)
     want = {(i, r + 1): (j, d[i, j]) for i in range(len(d)) for r, j in enumerate(np.lexsort((np.arange(len(p)), d[i]))[:k])}
@@ -52,6 +59,17 @@ def test_clusters_give_exact_ranges(spark, monkeypatch):
     assert sp.knn(vectors(spark, p[:3], "q_id", "q_vec"), empty, 2).count() == 0 == sp.eps_vectors(vectors(spark, p[:3], "q_id", "q_vec"), empty, 1.0).count()
 
 
+@pytest.mark.parametrize("small", [0, 50, 20_000])
+def test_levels_of_cells_give_the_nearest(spark, monkeypatch, small):
+    monkeypatch.setattr(sp, "SMALL_LEVEL", small)
+    rng = np.random.default_rng(1)
+    p, at = rng.normal(0, 10, (1000, 2)), rng.uniform(-60, 60, (200, 2))
+    frame = lambda x, i: spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], f"{i} long, x double, y double")
+    got = {r.q_id: r.p_id for r in sp.nearest(frame(at, "q_id"), frame(p, "p_id"), 0.4, ("x", "y")).collect()}
+    assert [got[i] for i in range(200)] == ((at[:, None] - p[None]) ** 2).sum(2).argmin(1).tolist()
+    assert sp.nearest(frame(at, "q_id"), frame(p[:0], "p_id"), 0.4, ("x", "y")).count() == 0
+
+
 def test_lines_meet_the_boxes_they_cross(spark):
     rng = np.random.default_rng(5)
     low = rng.uniform(-20, 20, (300, 3))
