@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not found and kept.isDefined():
         found = kept.get()
     if not found:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shapelake-")
     if not kept.isDefined():
