@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees (spark.checkpoint.dir). Where it is unset, a local session gets a folder of its own; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shapelake-")
         spark.conf.set("spark.checkpoint.dir", found)
