@@ -562,7 +562,7 @@ def mvn_principal_components(spark, d):
 
 
 @query("SELECT * FROM (VALUES ('lbfgs', 3.0::DOUBLE, -2.0::DOUBLE), ('gradient_descent', 3.0, -2.0)) AS v(method, x, y)")
-def optimisers(spark, d):
+def minimisers(spark, d):
     """Both end at the minimum of a paraboloid."""
     cost = lambda p: (float((p[0] - 3) ** 2 + 2 * (p[1] + 2) ** 2), np.array([2 * (p[0] - 3), 4 * (p[1] + 2)]))
     ends = [("lbfgs", list(linalg.lbfgs(cost, np.zeros(2)))[-1]), ("gradient_descent", list(linalg.gradient_descent(cost, np.zeros(2), 200))[-1])]
