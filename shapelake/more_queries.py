@@ -18,6 +18,7 @@ from shapelake.operators.field import EVERYWHERE
 from shapelake.operators.mesh import Mesh
 from shapelake.plans import discrete, gp, kernels, linalg, mcmc, pdm, register
 from shapelake.queries import MESH, P1, TET, _image, grid_of, p1, part_mesh, query, r, t, tet_mesh
+from shapelake.sources import h5json as hj
 from shapelake.sources import landmarks as lm
 from shapelake.sources import tables as tb
 from shapelake.storage import fresh_path
@@ -193,6 +194,27 @@ def model_files(spark, d):
     return spark.createDataFrame([(round(float(tb.read_model(spark, path, "shape model").variance.sum()), 4),)], "total double")
 
 
+@query(f"WITH {COORDINATES} SELECT round(sum(s), 4) AS total FROM (SELECT var_samp(v) AS s FROM e GROUP BY k)")
+def model_hdf5_json(spark, d):
+    """The same by way of an HDF5/JSON file."""
+    path, shapes = fresh_path(spark, "model.json"), _shapes(spark, d)
+    hj.write_h5json_model(pdm.pca_model(_reference(shapes), shapes), path)
+    return spark.createDataFrame([(round(float(hj.read_h5json_model(spark, path).variance.sum()), 4),)], "total double")
+
+
+@query(f"WITH {MESH} SELECT k AS item_id, count(*) AS n, round(avg(z) + k, 6) AS z, (SELECT count(*) - 1 FROM pts) AS refused FROM pts, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k")
+def shape_collection(spark, d):
+    """Three files in correspondence with the mesh and one that lacks a point, read as a collection."""
+    folder, m = fresh_path(spark, "shapes"), _plain(part_mesh(spark, d))
+    for k in range(4):
+        points = m.points.withColumn("z", F.col("z") + k)
+        least = m.mask_points(F.col("point_id") > 0) if k == 3 else m
+        tb.write_mesh(spark, least.with_points(points.join(least.points.select("point_id"), "point_id", "left_semi")), f"{folder}/{k}.vtk")
+    shapes, refused = tb.read_shapes(spark, f"{folder}/*.vtk", m.points)
+    found = shapes.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("z")).alias("z"))
+    return found.crossJoin(F.broadcast(refused.agg(F.max("n").alias("refused"))))
+
+
 @query("SELECT 'shape model' AS kind, '1.1' AS version, false AS has_cells")
 def model_catalog(spark, d):
     path = fresh_path(spark, "model")

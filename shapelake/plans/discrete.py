@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.operators.mesh import Mesh, decimate
 from shapelake.operators.spatial import nearest
 from shapelake.plans.gp import GaussianProcess, Mvn, regression
 from shapelake.plans.kernels import MatrixKernel
@@ -128,6 +129,16 @@ def interpolated_instance(model: ShapeModel, a: Sequence[float], queries: DataFr
     return interpolated(model, queries, start).select("q_id", "component", value.alias("value"))
 
 
+def decimated(model: ShapeModel, size: float) -> ShapeModel:
+    """The model on a coarser reference (see operators.mesh.decimate), each of whose points moves like the nearest old one."""
+    first = None if model.cells is None else model.cells.first()
+    if first is None:
+        raise ValueError("a model with cells is needed")
+    small = decimate(Mesh(model.reference, model.cells, len(first.pids)), size)
+    at = interpolated(model, small.points.withColumnRenamed("point_id", "q_id"), size)
+    return ShapeModel(small.points, at.withColumnRenamed("q_id", "point_id"), model.variance, small.cells, model.names)
+
+
 @dataclass(frozen=True)
 class VolumeIntensityModel:
     """A shape model and a model of the values at the same points: reference values plus mean and basis."""

@@ -84,6 +84,19 @@ def test_volume_intensity_model(spark, tmp_path):
         discrete.VolumeIntensityModel(model.shape, model.shape)
 
 
+def test_decimated_model(spark):
+    ref = points(spark, [(0, 0, 0), (0.1, 0, 0), (5, 0, 0), (5, 5, 0)])
+    cells = spark.createDataFrame([(0, [0, 2, 3]), (1, [0, 1, 2])], "cell_id long, pids array<long>")
+    rows = [(p, c, 0.0, [float(p == 2 and c == 0)]) for p in range(4) for c in range(3)]
+    model = pdm.ShapeModel(ref, spark.createDataFrame(rows, "point_id long, component int, mean double, basis array<double>"), np.array([4.0]), cells)
+    small = discrete.decimated(model, 1.0)
+    moved = {r.point_id: r.x for r in small.instance([1.0]).collect()}
+    assert moved == {0: 0.05, 2: 7.0, 3: 5.0} and small.cells.count() == 1
+    with pytest.raises(ValueError):
+        discrete.decimated(pdm.ShapeModel(ref, model.points, model.variance), 1.0)
+    assert tables.read_statistical_mesh_model is tables.read_model
+
+
 def points(spark, rows):
     return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(rows)], "point_id long, x double, y double, z double")
 

@@ -175,3 +175,39 @@ def test_binary_ply_is_read_as_tables():
         quad = np.uint8(4).tobytes() + np.array([0, 1, 2, 3], order + "i4").tobytes()
         m = fm.read_ply(head.format(3).encode() + v.tobytes() + f3[:1].tobytes() + quad + f3[1:].tobytes())
         assert m.cells.tolist() == [[0, 1, 2], [0, 1, 2], [0, 2, 3], [1, 2, 3]]
+
+
+def test_models_in_hdf5_json(spark, tmp_path):
+    from shapelake.sources import h5json as hj
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (5, 4, 3))
+    shapes = spark.createDataFrame([(i, p, *map(float, x[i, p])) for i in range(5) for p in range(4)], "item_id long, point_id long, x double, y double, z double")
+    ref = spark.createDataFrame([(p, *map(float, x[0, p])) for p in range(4)], "point_id long, x double, y double, z double")
+    table = lambda m: sorted((r.point_id, r.component, round(r["mean"], 9), tuple(np.round(r.basis, 9))) for r in m.points.collect())
+    for corners, kind in ((0, "POINT_SET"), (2, "LINE_MESH"), (3, "POLYGON_MESH"), (4, "VOLUME_MESH")):
+        cells = None if not corners else spark.createDataFrame([(0, list(range(corners)))], "cell_id long, pids array<long>")
+        model = pdm.pca_model(ref, shapes, cells)
+        path = str(tmp_path / f"m{corners}.json")
+        hj.write_h5json_model(model, path, "/models/one")
+        file = hj.H5Json(open(path).read())
+        assert file.attribute("/models/one/representer", "datasetType") == kind and file.value("/models/one/model/pcaBasis").shape == (12, 4)
+        back = hj.read_h5json_model(spark, path, "/models/one")
+        assert table(back) == table(model) and np.allclose(back.variance, model.variance) and back.names == ("x", "y", "z")
+        assert (back.cells is None) if not corners else back.cells.first().pids == list(range(corners))
+    basis = np.eye(6)[:, :2]
+    parts = {"/representer/points": np.arange(6.0).reshape(2, 3), "/model/mean": np.arange(6.0), "/model/pcaVariance": np.array([4.0, 9.0]), "/model/pcaBasis": basis * [2, 3]}
+    attributes = {"/representer": {"name": "vtkPolyDataRepresenter", "datasetType": "POINT_SET"}}
+    (tmp_path / "old.json").write_text(hj.h5json_text(parts, attributes))
+    old = hj.read_h5json_model(spark, str(tmp_path / "old.json"))
+    assert old.names == ("x", "y") and [r.basis for r in old.points.orderBy("point_id", "component").collect()] == basis.tolist()
+    listed = {"/catalog/b/modelType": "POLYGON_MESH_MODEL", "/catalog/b/modelPath": "/b", "/catalog/a/modelType": "UNKNOWN", "/catalog/a/modelPath": "/a"}
+    (tmp_path / "list.json").write_text(hj.h5json_text(listed, {}))
+    assert [tuple(r) for r in hj.read_h5json_catalog(spark, str(tmp_path / "list.json")).collect()] == [("a", "UNKNOWN", "/a"), ("b", "POLYGON_MESH_MODEL", "/b")]
+    for version, name in (((0, 7), "itkStandardMeshRepresenter"), (None, "itkStandardMeshRepresenter")):
+        more = {} if version is None else {"/version/majorVersion": version[0], "/version/minorVersion": version[1]}
+        (tmp_path / "bad.json").write_text(hj.h5json_text(parts | more, {"/representer": {"name": name, "datasetType": "POINT_SET"}}))
+        with pytest.raises(ValueError):
+            hj.read_h5json_model(spark, str(tmp_path / "bad.json"))
+    with pytest.raises(ValueError):
+        hj.H5Json("{}")
