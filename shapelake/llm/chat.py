@@ -25,7 +25,7 @@ def turn_hashes(turns: DataFrame) -> DataFrame:
     every prefix, and a long conversation is never held in one value.
     """
     chosen = turns.select("conv_id", "turn", "role", "text")
-    named = chosen.filter(F.col("conv_id").isNotNull()).withColumn("conv", F.col("conv_id").cast("string"))
+    named = chosen.filter(F.col("conv_id").isNotNull()).withColumn("conv", F.concat(F.lit("="), F.col("conv_id").cast("string")))
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     placed = named.withColumn("k", F.row_number().over(order))
     alone = chosen.filter(F.col("conv_id").isNull()).withColumn("conv", F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"))).withColumn("k", F.lit(1))
