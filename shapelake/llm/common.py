@@ -37,11 +37,15 @@ _written: dict[str, list[str]] = {}
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. See clean."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. See clean.
+
+    Spark deletes a job's shuffle files once the driver has collected its objects as garbage, so the driver is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", codec).parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from shapelake.llm.wordhash import BASE_1, BASE_2, BLOCK_CHARS, Piece, forget, m
 WINDOW = 20
 ROUNDS, LAST_ROUND = 4, 20
 #: High-level symbols stand for so many words at least.
-LONG = 40
+LONG = 80
 LAST = 2**63 - 1
 
 
