@@ -277,12 +277,17 @@ def repeats_by_row(docs: DataFrame, width: int = WINDOW, most_chars: int = BLOCK
     twice = lambda place: (F.min(F.xxhash64("sha", place)) != F.max(F.xxhash64("sha", place))).alias("twice")
     named = seen.select("sha", F.explode(F.arrays_zip("names", "starts")).alias("x")).select("sha", F.col("x.names").alias("name"), F.col("x.starts").alias("a"))
     repeated = stored(named.groupBy("name").agg(twice("a")).filter("twice").select("name"), "repeated")
-    rows = seen.select("u", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("u", F.col("x.names").alias("name"), F.struct(F.col("x.starts").alias("a"), F.col("x.ends").alias("b")).alias("r"))
-    ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("u").agg(F.collect_list("r").alias("ranges"))
+    # pairs of places go through shuffles as one number
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    pairs = lambda x: F.transform(F.collect_list(x), lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("a"), v.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("b")))
+    rows = seen.select("u", F.explode(F.arrays_zip("names", "starts", "ends")).alias("x")).select("u", F.col("x.names").alias("name"), pair(F.col("x.starts"), F.col("x.ends")).alias("r"))
+    ranges = rows.join(repeated.hint("merge"), "name", "left_semi").groupBy("u").agg(pairs("r").alias("ranges"))
     high = seen.select("u", "k", "t", "sha", F.explode(F.arrays_zip("h", "g", "places", "sizes")).alias("x")).select("u", "k", "t", "sha", "x.h", "x.g", F.col("x.places").alias("a"), F.col("x.sizes").alias("size"))
-    shared = stored(high.groupBy("h", "g").agg(twice("a"), F.min(F.struct("k", "t", "a")).alias("first")).filter("twice").select("h", "g", "first"), "shared")
-    later = high.join(shared.hint("merge"), ["h", "g"]).filter((F.col("k") != F.col("first.k")) | (F.col("t") != F.col("first.t")) | (F.col("a") != F.col("first.a")))
-    settled = later.groupBy("u").agg(F.collect_list(F.struct("a", (F.col("a") + F.col("size") - (width - 1)).alias("b"))).alias("settled"))
+    # the first row of (k, t) is the leader of its copies, see above
+    shared = high.groupBy("h", "g").agg(twice("a"), F.min(F.struct("k", "t", "a", "u")).alias("first")).filter("twice")
+    shared = stored(shared.select("h", "g", F.col("first.u").alias("v"), F.col("first.a").alias("b")), "shared")
+    later = high.select("h", "g", "u", "a", "size").join(shared.hint("merge"), ["h", "g"]).filter("u <> v OR a <> b")
+    settled = later.groupBy("u").agg(pairs(pair(F.col("a"), F.col("a") + F.col("size") - (width - 1))).alias("settled"))
     # of rows alike in (k, t) at most one is no copy, so (k, t) finds its text
     ranges = stored(ranges.join(summary.filter("NOT copy").select("u", "k", "t"), "u").join(settled, "u", "left"), "ranges", "zstd")
     found = stored(texts.join(ranges.hint("merge"), ["k", "t"]).select("u", "k", "t", "text", "ranges", "settled"), "found", "zstd")

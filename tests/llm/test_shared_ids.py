@@ -44,8 +44,8 @@ def test_near_copies_of_rows_that_share_an_id(spark):
 def test_long_texts_go_in_pieces(spark):
     """What a passage loses doesn't depend on where a long text is cut into pieces."""
     rng = random.Random(21)
-    passage = words(22, 70)
-    texts = [words(23, 400) + passage + words(24, 300), passage[5:60] + words(25, 900) + passage, ["a"] * 500, words(26, 15) + passage[:30], passage]
+    passage = words(22, 400)  # long enough for high-level symbols
+    texts = [words(23, 400) + passage + words(24, 300), passage[5:380] + words(25, 900) + passage, ["a"] * 500, words(26, 15) + passage[:30], passage]
     texts += [[f"v{rng.randrange(3)}" for _ in range(120)] for _ in range(5)]
     docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
     seen, want = set(), []
