@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from shapelake.llm.common import PieceTable, map_batches, ragged, read, text_blocks
+from shapelake.llm.common import PieceTable, map_batches, ragged, read, release, text_blocks
 
 #: Widths of the matrices; longer pieces are merged on a heap, in the same order of merges.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128)
@@ -187,6 +187,13 @@ def load(path: str, pattern: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
 
+def forget(path: str, pattern: str) -> None:
+    """Empties the memo of pieces, for the end of a task."""
+    if load.cache_info().currsize:
+        load(path, pattern).memo.clear()
+    release()
+
+
 def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -202,7 +209,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             yield pa.record_batch([batch.column(0).slice(i, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, ids array<int>")
+    return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, ids array<int>", lambda: forget(path, pattern))
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -235,7 +242,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
             yield pa.record_batch([batch.column(0).slice(i, len(texts)), pa.array(lens, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: forget(path, pattern))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -90,12 +92,22 @@ def text_blocks(texts: pa.Array, most_chars: int = 300_000, most_texts: int = 40
         yield start, block
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with a function of one batch."""
+def release() -> None:
+    """Gives what was freed back to the system, for the end of a task: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow with a function of one batch, and one for the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
+        batch = None
+        if end:
+            end()
 
     return df.mapInArrow(run, schema)
 
