@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shapelake.llm.common import ragged, read, stored, text_blocks, told_apart
 from shapelake.llm.components import components
-from shapelake.llm.wordhash import BASE_1, BLOCK_CHARS, forget, mix, rolling, text_hashes
+from shapelake.llm.wordhash import BASE_1, BLOCK_CHARS, mix, rolling, text_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -83,7 +83,6 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 for row in range(ROWS):
                     np.add.at(table[row], cells(shingle, row), 1)
                 n += len(np.unique(text))
-        forget()
         packer = zstandard.ZstdCompressor(1)
         if n:
             rows = [packer.compress(part.tobytes()) for part in np.split(table.astype("<i8").ravel(), SLICES)]
@@ -144,18 +143,26 @@ class Sampler:
         out = np.zeros((len(starts), len(self.odd)), np.uint32)
         if not len(starts):
             return out
-        log_w, low = np.log(weight).astype(np.float32), np.uint64(0xFFFF)
-        row = np.repeat(np.arange(len(starts)), lens)
+        log_w, low, first = np.log(weight).astype(np.float32), np.int64(0xFFFF), np.arange(len(starts))
+        row = np.repeat(first, lens)
+        pick = lambda table, at: table.take(at, mode="clip")  # noqa: E731  all places are within the table
         for k, odd in enumerate(self.odd):
             z = shingle * odd
             z ^= z >> np.uint64(29)
             z *= np.uint64(0xBF58476D1CE4E5B9)
             z >>= np.uint64(16)
-            r, beta, log_c = self.r[z & low], self.beta[(z >> np.uint64(16)) & low], self.log_c[z >> np.uint64(32)]
-            t = np.floor(log_w / r + beta)
-            log_a = log_c - r * (t - beta) - r
-            hit = np.flatnonzero(log_a == np.minimum.reduceat(log_a, starts)[row])
-            at = hit[np.searchsorted(row[hit], np.arange(len(starts)))]
+            z = z.view(np.int64)
+            r, beta = pick(self.r, z & low), pick(self.beta, (z >> 16) & low)
+            t = log_w / r
+            t += beta
+            np.floor(t, out=t)
+            beta = np.subtract(t, beta, out=beta)
+            beta *= r
+            log_a = pick(self.log_c, z >> 32)
+            log_a -= beta
+            log_a -= r
+            hit = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), lens))
+            at = hit if len(hit) == len(starts) else hit[np.searchsorted(row[hit], first)]
             out[:, k] = (mix(shingle[at] ^ mix(t[at].astype(np.int64).view(np.uint64) + np.uint64(k))) >> np.uint64(32)).astype(np.uint32)
         return out
 
@@ -190,7 +197,6 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     batch.column(0).slice(i, len(texts)), batch.column(1).slice(i, len(texts)), pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([next(own).tobytes() if h else None for h in has], pa.binary()), pa.array(size, pa.int64()),
                 ], ["k", "t", "digest", "bands", "samples", "size"])
-        forget()
 
     return docs.mapInArrow(run, "k long, t long, digest binary, bands array<long>, samples binary, size long")
 
@@ -235,7 +241,6 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
             for i, texts in text_blocks(batch.column(2)):
                 sims.append(similarities(texts, batch.column(3).slice(i, len(texts)).to_pylist(), idf))
             yield pa.record_batch([*batch.columns[:2], pa.array(np.concatenate(sims) if sims else [], pa.float64())], ["a", "b", "sim"])
-        forget()
 
     joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long, sim double")

@@ -18,6 +18,11 @@ BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Characters of text that a worker takes up at once.
 BLOCK_CHARS = 300_000
 
+#: Bytes of texts that are hashed at once, and of the longest word that is hashed with others.
+CHUNK, LONG_WORD = 1 << 18, 64
+
+_low_bytes = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_odd = np.uint64(BASE_2)
 _word, _space = re.compile(WORD), re.compile(SPACE_CLASS)
 
 
@@ -112,23 +117,73 @@ def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return _hashes.of(chain.from_iterable(texts), int(lens.sum())), lens
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are ASCII white space."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Hash of each word of UTF-8 bytes (eight more follow the last), eight bytes at a time; of long words, by xxhash."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(np.uint64)
+    out = mix(lens.astype(np.uint64))
+    at, left, some = starts, np.where(lens <= LONG_WORD, lens, 0), slice(None)
+    for k in np.flatnonzero(lens > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + lens[k]].tobytes())
+    while True:
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            return out
+        at, left, some = at[live], left[live], live if isinstance(some, slice) else some[live]
+        out[some] = mix(out[some] ^ mix((eight.take(at) & _low_bytes.take(np.minimum(left, 8))) + _odd))
+        at, left = at + 8, left - 8
+
+
 def text_hashes(texts: list[str | None], digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in a row, and the number of words of each; long texts are split in pieces.
+    """Hashes of all words of the texts in a row, and the number of words of each; worked out on CHUNK bytes at a time.
 
     A list given as `digests` gets the 128-bit digest of each text's words.
     """
-    flat, lens = [], np.zeros(len(texts), np.int64)
-    for row, text in enumerate(texts):
-        digest = None if digests is None else hashlib.blake2b(digest_size=16)
-        for piece in parts(row, text, 0, BLOCK_CHARS):
-            if piece.words:
-                if digest:
-                    digest.update(((" " if lens[row] else "") + " ".join(piece.words)).encode())
-                lens[row] += len(piece.words)
-                flat.append(_hashes.of(piece.words, len(piece.words)))
-        if digest:
-            digests.append(digest.digest())
-    return np.concatenate(flat) if flat else np.zeros(0, np.uint64), lens
+    coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    begin = np.cumsum([1] + [len(c) + 1 for c in coded])
+    data = np.frombuffer(b"\n" + b"\n".join(coded) + b"\n" * 9, np.uint8)
+    del coded
+    flat, places, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    open_, some = [hashlib.blake2b(digest_size=16) for _ in texts] if digests is not None else [], np.zeros(len(texts), bool)
+    at, end = 0, len(data) - 8  # at a white space that ends what is done
+    while at < end - 1:
+        stop = min(at + CHUNK, end)
+        white = spaces(data[at:stop])
+        if stop < end:
+            last = CHUNK - 1 - int(white[::-1].argmax())
+            while not last:  # a word that is longer
+                more = spaces(data[stop : stop + CHUNK])
+                if more.any():
+                    last, white = stop + int(more.argmax()) - at, np.zeros(0, bool)
+                stop = min(stop + CHUNK, end)
+            stop = at + last + 1
+            white = white[: last + 1] if len(white) else spaces(data[at:stop])
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        starts, lens = edge[::2], edge[1::2] - edge[::2]
+        if len(starts) == 1 and lens[0] > LONG_WORD:
+            flat.append(np.array([xxhash.xxh3_64_intdigest(data[at + starts[0] : at + edge[1]].tobytes())], np.uint64))
+        else:
+            flat.append(_hashed(data[at : stop + 8], starts, lens))
+        places.append(starts + at)
+        if digests is not None and len(starts):
+            keep = ~white
+            keep[starts - 1] = True  # one space before each word
+            joined = np.where(white, np.uint8(32), data[at:stop])[keep].tobytes()
+            ends = np.concatenate([[0], np.cumsum(lens + 1)])
+            row, upto = (int(x) for x in np.searchsorted(begin, (places[-1][0], places[-1][-1]), "right") - 1)
+            cuts = ends[np.searchsorted(places[-1], begin[row : upto + 2])].tolist()
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:]), row):
+                if a < b:
+                    open_[k].update(joined[a + (not some[k]) : b])
+                    some[k] = True
+        at = stop - 1
+    if digests is not None:
+        digests += [d.digest() for d in open_]
+    return np.concatenate(flat), np.diff(np.searchsorted(np.concatenate(places), begin))
 
 
 def rolling(v: np.ndarray, width: int, base: int) -> np.ndarray:
